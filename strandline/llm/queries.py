@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, mixing, near_dup, quality_model, token_files
+from strandline.llm import decontaminate, main_text, mixing, near_dup, personal_data, quality_model, quality_rules, token_files, token_rollup, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 
+SQL = {
+    "op9_token_rollup": r"""
+        WITH counted AS (
+          SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents WHERE doc_id IS NOT NULL)
+        SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
+        FROM counted WHERE n >= 50 GROUP BY source, lang""",
+}
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,10 +33,36 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_read(spark, sf_dir, "documents"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates are inserted, revised to counts; documents under 50 words leave; the first batch comes again."""
+    docs = _read(spark, sf_dir, "documents")
+    counts = workspace.Table(token_rollup.word_counts(docs), "counts").df
+    estimate = docs.select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.floor(F.col("n_chars") / 6).alias("n_tokens"))
+    rollup = token_rollup.TokenRollup(spark, workspace.new_path(spark, "rollup"))
+    first = estimate.withColumn("op", F.lit("insert"))
+    rollup.commit("estimates", first)
+    rollup.commit("counts", counts.withColumn("op", F.lit("revise")))
+    rollup.commit("short", counts.filter("n_tokens < 50").withColumn("op", F.lit("delete")))
+    rollup.commit("estimates", first)
+    return rollup.totals()
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
@@ -45,8 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_decontaminate, op5_quality_model, op7_mix, op10_near_dup, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, op10_near_dup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -67,6 +67,28 @@ def exists(spark: SparkSession, uri: str) -> bool:
     return fs.exists(path)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a glob names anything."""
+    fs, path = _fs(spark, pattern)
+    return bool(fs.globStatus(path))
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder in one step; False if the target is there already."""
+    fs, src = _fs(spark, source)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(src, jvm.org.apache.hadoop.fs.Path(target), none)
+    except Exception:
+        if fs.exists(src) and exists(spark, target):
+            return False
+        raise
+    return True
+
+
 class Table:
     """A DataFrame written to the shared folder: lineage ends here, and a lost
     executor costs only the tasks that it ran."""
