@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, main_text, mixing, near_dup, personal_data, quality_model, quality_rules, token_files, token_rollup, workspace
+from strandline.llm import decontaminate, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, token_files, token_rollup, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +29,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).documents()
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(_read(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, op10_near_dup, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op2_passages, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, op10_near_dup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
