@@ -19,3 +19,10 @@ def count_lines(lines: DataFrame) -> DataFrame:
     parent = F.regexp_extract(cols[8], "(?:^|;)\\s*Parent=([^;]*)", 1)
     rows = rows.select(cols[2].alias("source_type"), F.when(ident != "", ident).alias("i"), (parent != "").alias("p"))
     return rows.groupBy("source_type").agg((F.count_distinct("i") + F.sum(F.col("i").isNull().cast("long"))).alias("features"), F.count("*").alias("n_rows"), F.count_if("p").alias("with_parent"))
+
+
+def count_genbank(lines: DataFrame) -> DataFrame:
+    """source_type, features of the feature tables of flat files, but for source records."""
+    key = F.regexp_extract("value", "^ {5}([A-Za-z0-9_'-]+) +", 1)
+    rows = lines.filter(F.startswith("value", F.lit("     ")) & (key != "") & (key != "source") & (F.length("value") > 21))
+    return rows.groupBy(key.alias("source_type")).agg(F.count("*").alias("features"))
