@@ -8,16 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, token_files, token_rollup, workspace
+from strandline.llm import decontaminate, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, sql_twins, token_files, token_rollup, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 
 SQL = {
-    "op9_token_rollup": r"""
-        WITH counted AS (
-          SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents WHERE doc_id IS NOT NULL)
-        SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens
-        FROM counted WHERE n >= 50 GROUP BY source, lang""",
+    "op3_decontaminate": sql_twins.DECONTAMINATE,
+    "op6_quality_rules": sql_twins.QUALITY_RULES,
+    "op9_token_rollup": sql_twins.TOKEN_ROLLUP,
+    "op10_near_dup": sql_twins.NEAR_DUP,
 }
 
 
