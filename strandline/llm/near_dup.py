@@ -14,7 +14,8 @@ copies cost a row each and nothing more.  Over the merged sets:
 2. Nodes are compared exhaustively on signatures, a dense or last one in tiles, so
    no task holds it whole.  Pairs whose estimate is within MARGIN standard errors of
    the threshold connect sets; a node returns a spanning forest of them, so the
-   rows that leave it are fewer than those that entered.
+   rows that leave it are fewer than those that entered.  A tile of two chunks
+   returns only what joins them.
 3. The components of these candidate links, dealt in tiles, are confirmed on the
    full sets: exact intersections of all pairs of a tile from a product of
    incidence matrices.  A tile returns a spanning forest of its links, which has
@@ -29,8 +30,6 @@ square of the cluster, though the rows only by n / TILE.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +46,7 @@ BRANCHES = 3
 DEPTH = 4
 NODE = 512
 DENSE = 0.5
+CHUNK = 1024
 MARGIN = 4.5
 TILE = 128
 
@@ -137,31 +137,29 @@ def tree_nodes(sets: DataFrame, *, node: int = NODE) -> tuple[DataFrame, list[wo
     return nodes, tables
 
 
-def _similar(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the signatures that agree in at least that many coordinates."""
-    same = np.zeros((len(a), len(b)), np.uint8)
+def _similar(a: np.ndarray, least: int) -> np.ndarray:
+    """Which signatures agree in at least that many coordinates."""
+    same = np.zeros((len(a), len(a)), np.uint8)
     for c in range(COORDINATES):
-        same += a[:, c, None] == b[None, :, c]
-    return np.nonzero(same >= least)
-
-
-class Forest:
-    """Union-find that remembers the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.up, self.links = list(range(n)), []
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.links.append((i, j))
+        same += a[:, c, None] == a[None, :, c]
+    return same >= least
+
+
+def forest(near: np.ndarray, parts: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric relation; in a tile of two parts only what joins
+    them, as the tile of each part has its own."""
+    label, out = np.arange(len(near)), []
+    for within in ([True, False] if (parts != parts[0]).any() else [False]):
+        for x in range(len(near)):
+            other = np.flatnonzero(near[x] & (parts == parts[x]) if within else near[x])
+            other = other[label[other] != label[x]]
+            while len(other):
+                j = int(other[0])
+                if not within:
+                    out.append((x, j))
+                label[label == label[j]] = label[x]
+                other = other[label[other] != label[x]]
+    return out
 
 
 def _least(threshold: float) -> int:
@@ -170,36 +168,31 @@ def _least(threshold: float) -> int:
 
 def node_links(rows: DataFrame, threshold: float) -> DataFrame:
     """(a, b): sets of a node that may be linked, as a spanning forest for each node,
-    from rows (node, rep, signature) clustered by node."""
+    from rows (node, rep, part, signature) clustered by node."""
     least = _least(threshold)
 
-    def close(reps, sigs):
+    def close(reps, parts, sigs):
         n = len(reps)
         matrix = np.frombuffer(b"".join(sigs), np.uint32).reshape(n, COORDINATES)
         if n == 2:
             return [(reps[0], reps[1])] if int((matrix[0] == matrix[1]).sum()) >= least else []
-        f = Forest(n)
-        for lo in range(0, n, NODE):
-            i, j = _similar(matrix[lo : lo + NODE], matrix, least)
-            for x, y in zip((i + lo).tolist(), j.tolist()):
-                if x < y:
-                    f.join(x, y)
-        return [(reps[x], reps[y]) for x, y in f.links]
+        return [(reps[x], reps[y]) for x, y in forest(_similar(matrix, least), np.array(parts))]
 
     def run(batches):
-        at, reps, sigs = None, [], []
+        at, reps, parts, sigs = None, [], [], []
         for batch in batches:
             out = []
-            for node, rep, sig in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for node, rep, part, sig in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if node != at:
                     if len(reps) > 1:
-                        out += close(reps, sigs)
-                    at, reps, sigs = node, [], []
+                        out += close(reps, parts, sigs)
+                    at, reps, parts, sigs = node, [], [], []
                 reps.append(rep)
+                parts.append(part)
                 sigs.append(sig)
             if out:
                 yield _links(out)
-        if len(reps) > 1 and (out := close(reps, sigs)):
+        if len(reps) > 1 and (out := close(reps, parts, sigs)):
             yield _links(out)
 
     return rows.mapInArrow(run, "a long, b long")
@@ -220,11 +213,11 @@ def in_tiles(members: DataFrame, key: str, size: int) -> DataFrame:
     rows = rows.withColumn("_m", F.pmod(F.xxhash64("rep"), F.col("_c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda o: F.struct(F.least("_m", o).alias("a"), F.greatest("_m", o).alias("b")))
     rows = rows.withColumn("_t", F.explode(pairs))
-    return rows.withColumn("tile", F.xxhash64(key, "_t.a", "_t.b")).drop("_n", "_c", "_m", "_t")
+    return rows.withColumn("tile", F.xxhash64(key, "_t.a", "_t.b")).withColumn("part", F.col("_m")).drop("_n", "_c", "_m", "_t")
 
 
-def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets of a tile, from exact intersections."""
+def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The links among the sets of a tile, from exact intersections."""
     n = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     values = np.concatenate(sets)
@@ -245,35 +238,32 @@ def exact_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             m[owner[a:b], column[a:b] - lo] = 1
             common += m @ m.T
     both = common.astype(np.int64)
-    i, j = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1))
-    f = Forest(n)
-    for x, y in zip(i.tolist(), j.tolist()):
-        f.join(x, y)
-    return f.links
+    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 
 def confirmed(rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): links between members of a tile, from rows (tile, rep, text) clustered by tile."""
+    """(a, b): links between members of a tile, from rows (tile, rep, part, text) clustered by tile."""
 
-    def tile(reps, texts):
-        pairs = exact_links(list(shingle_sets(texts, k)), percent)
-        return [(reps[i], reps[j]) for i, j in pairs]
+    def tile(reps, parts, texts):
+        near = exact_links(list(shingle_sets(texts, k)), percent)
+        return [(reps[i], reps[j]) for i, j in forest(near, np.array(parts))]
 
     def run(batches):
-        at, reps, texts = None, [], []
+        at, reps, parts, texts = None, [], [], []
         for batch in batches:
-            out, column = [], strings(batch.column(2))
-            for key, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column):
+            out, column = [], strings(batch.column(3))
+            for key, rep, part, text in zip(*(batch.column(i).to_pylist() for i in range(3)), column):
                 if key != at:
                     if len(reps) > 1:
-                        out += tile(reps, texts)
-                    at, reps, texts = key, [], []
+                        out += tile(reps, parts, texts)
+                    at, reps, parts, texts = key, [], [], []
                 if not reps or (reps[-1], texts[-1]) != (rep, text):  # a repeated row adds nothing
                     reps.append(rep)
+                    parts.append(part)
                     texts.append(text)
             if out:
                 yield _links(out)
-        if len(reps) > 1 and (out := tile(reps, texts)):
+        if len(reps) > 1 and (out := tile(reps, parts, texts)):
             yield _links(out)
 
     return rows.mapInArrow(run, "a long, b long")
@@ -313,15 +303,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = THRESHOLD, shingle: int =
     sets = workspace.Table(reps.dropDuplicates(["rep", "signature"]), "signatures")
 
     nodes, levels = tree_nodes(sets.df, node=node)
-    small = nodes.filter(~F.col("large")).select("node", "rep")
-    large = in_tiles(nodes.filter("large").select("node", "rep"), "node", node // 2).select(F.col("tile").alias("node"), "rep")
-    rows = small.union(large).join(sets.df, "rep").select("node", "rep", "signature")
+    small = nodes.filter(~F.col("large")).select("node", "rep", F.lit(0).alias("part"))
+    large = in_tiles(nodes.filter("large").select("node", "rep"), "node", CHUNK).select(F.col("tile").alias("node"), "rep", "part")
+    rows = small.union(large).join(sets.df, "rep").select("node", "rep", "part", "signature")
     maybe, tables = components(node_links(rows.repartition("node").sortWithinPartitions("node", "rep"), percent / 100).filter("a < b"))
     for t in levels:
         t.drop()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    tiles = in_tiles(maybe, "component", tile).select("tile", "rep").join(texts, "rep").select("tile", "rep", "text")
+    tiles = in_tiles(maybe, "component", tile).select("tile", "rep", "part").join(texts, "rep").select("tile", "rep", "part", "text")
     links = confirmed(tiles.repartition("tile").sortWithinPartitions("tile", "rep"), percent, shingle)
     split = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     split = split.join(member, "doc_id").filter("rep > a").select("a", F.col("rep").alias("b"))
@@ -354,13 +344,19 @@ def brute_force(docs: list[tuple[int, str | None]], percent: int = THRESHOLD, k:
     for _, text in docs:
         words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
         sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
-    f = Forest(len(docs))
+    up = list(range(len(docs)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                f.join(i, j)
+                up[root(i)] = root(j)
     low: dict[int, int] = {}
     for i, (doc, _) in enumerate(docs):
-        low[f.root(i)] = min(doc, low.get(f.root(i), doc))
-    return [(doc, len(sets[i]), low[f.root(i)], doc == low[f.root(i)]) for i, (doc, _) in enumerate(docs)]
+        low[root(i)] = min(doc, low.get(root(i), doc))
+    return [(doc, len(sets[i]), low[root(i)], doc == low[root(i)]) for i, (doc, _) in enumerate(docs)]
