@@ -71,6 +71,31 @@ def grouped(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         yield first, texts[first:]
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each of the ordered spans, upper case as lower, in parts of
+    bounded size: differences of running sums, brought to a common power."""
+    powers, inverse, code = _powers()
+    out = np.empty(len(start), np.uint64)
+    i, n = 0, len(start)
+    while i < n:
+        a = start[i]
+        j = int(np.searchsorted(end, a + PART_BYTES, side="right"))
+        if j <= i:  # one span longer than a part: fold its parts
+            h = np.uint64(0)
+            for k in range(a, end[i], PART_BYTES):
+                piece = code[raw[k : min(k + PART_BYTES, end[i])]]
+                h = mix(np.array([h], np.uint64) + (piece * powers[: len(piece)]).sum(dtype=np.uint64))[0]
+            out[i], i = h, i + 1
+            continue
+        b = end[j - 1]
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(code[raw[a:b]] * powers[: b - a], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
+
+
 class Words:
     """Words of a run of texts: where each starts and ends in ``buf``, its hash,
     and in ``of`` the index of the first word of each text (one more at the end)."""
@@ -84,31 +109,9 @@ class Words:
         isw = np.concatenate([[False], table[raw], [False]])
         edge = np.flatnonzero(isw[1:] != isw[:-1])
         self.start, self.end = edge[::2], edge[1::2]
-        self.hash = self._hashes(raw)
+        self.hash = span_hashes(raw, self.start, self.end)
         self.of = np.searchsorted(self.start, np.append(begins, len(raw) + 1))
 
-    def _hashes(self, raw: np.ndarray) -> np.ndarray:
-        powers, inverse, code = _powers()
-        out = np.empty(len(self.start), np.uint64)
-        i, n = 0, len(self.start)
-        while i < n:
-            a = self.start[i]
-            j = int(np.searchsorted(self.end, a + PART_BYTES, side="right"))
-            if j <= i:  # one word longer than a part: fold its parts
-                h = np.uint64(0)
-                for k in range(a, self.end[i], PART_BYTES):
-                    piece = code[raw[k : min(k + PART_BYTES, self.end[i])]]
-                    h = mix(np.array([h], np.uint64) + (piece * powers[: len(piece)]).sum(dtype=np.uint64))[0]
-                out[i], i = h, i + 1
-                continue
-            b = self.end[j - 1]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(code[raw[a:b]] * powers[: b - a], out=total[1:])
-            s, e = self.start[i:j] - a, self.end[i:j] - a
-            out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
-            i = j
-        return out
-
     def __len__(self) -> int:
         return len(self.start)
 

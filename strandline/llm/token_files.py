@@ -15,6 +15,7 @@ Ids take 16 bits where the vocabulary allows, else 32.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -29,53 +30,192 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import workspace
+from strandline.llm.textkernel import span_hashes
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
-CACHE_WORDS = 400_000
-CACHE_WORD_BYTES = 64
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 2 << 20
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
+# The normaliser and splitter for which LowerCasePieces finds the pieces itself.
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-class Encoder:
-    """Ids of whole texts, with the ids of white-space-separated pieces kept.
 
-    Holds for tokenizers whose pieces never span ASCII white space, which ``exact``
-    states; others encode each text as it is.
-    """
+class Encoder:
+    """Ids of whole texts, from the tokenizers library."""
 
-    def __init__(self, path: str, exact: bool):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.exact = Tokenizer.from_file(path), exact
+        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in found]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if not self.exact:
-            return self._encode(texts)
-        known, split = self.known, [t.split() for t in texts]
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        now = {}
-        for w, ids in zip(new, self._encode(new)):
-            (known if len(w) <= CACHE_WORD_BYTES else now)[w] = ids
-        if now:
-            return [b"".join([known[w] if w in known else now[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
-
-
-def encoder(path: str, exact: bool) -> Encoder:
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.asarray(e.ids, self.dtype) for e in found]
+
+
+class LowerCasePieces(Encoder):
+    """The same ids, with the pieces of most texts found in numpy and each distinct piece
+    encoded once.
+
+    For tokenizers that lower the case and split into contractions, runs of letters,
+    single digits and runs of other signs.  Texts with other characters than ASCII and
+    the letters up to U+00FF, or with a special token in them, are encoded whole.
+    Pieces are known by a 64-bit hash in a table of bounded size, which is emptied when
+    it is full.
+    """
+
+    SLOTS = 1 << 21
+    PROBES = 8
+    ENCODE_RUN = 100
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        config = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"].encode() for t in config["added_tokens"]]
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.mark = self.model.encode(" \x02 ", add_special_tokens=False).ids
+        kind = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 other, 4 not handled here
+        kind[0x20] = kind[0x09:0x0E] = 0
+        kind[0x41:0x5B] = kind[0x61:0x7B] = kind[0x80:0xC0] = kind[0xC3] = 1
+        kind[0x30:0x3A] = 2
+        kind[:0x09] = kind[0x0E:0x20] = kind[0x7F] = kind[0xC0:0xC3] = kind[0xC4:] = 4
+        self.kind = kind
+        self._clear()
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        split, normal = config.get("pre_tokenizer") or {}, config.get("normalizer") or {}
+        steps = split.get("pretokenizers") or [{}]
+        return normal.get("normalizers") == _LOWER and steps[0].get("pattern") == {"Regex": _SPLIT} and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not config.get("post_processor")
+
+    def _clear(self) -> None:
+        self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.begin, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int32), np.zeros(0, self.dtype)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each piece, 0 if it isn't known."""
+        out = np.zeros(len(h), np.int32)
+        rest = np.arange(len(h))
+        for p in range(self.PROBES):
+            at = (h[rest] >> np.uint64(40)) + np.uint64(p) & np.uint64(self.SLOTS - 1)
+            hit = self.keys[at] == h[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            rest = rest[~hit & (self.keys[at] != 0)]
+            if not len(rest):
+                break
+        return out
+
+    def _learn(self, h: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Encodes new pieces and returns their numbers; those without a slot are not kept."""
+        found: list[bytes] = []
+        strings = [p.decode() for p in pieces]
+        for i in range(0, len(strings), self.ENCODE_RUN):
+            ids = np.asarray(self.model.encode_batch_fast([" \x02 ".join(strings[i : i + self.ENCODE_RUN])], add_special_tokens=False)[0].ids, self.dtype)
+            found += np.split(ids, np.flatnonzero(ids == self.mark[0]))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sizes[np.arange(len(found)) % self.ENCODE_RUN != 0] -= 1  # the mark before it
+        flat = np.concatenate(found)
+        flat = flat[flat != self.mark[0]]
+        number = len(self.begin) + np.arange(len(h), dtype=np.int32)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, flat])
+        rest = np.arange(len(h))
+        for p in range(self.PROBES):
+            at = (h[rest] >> np.uint64(40)) + np.uint64(p) & np.uint64(self.SLOTS - 1)
+            free = self.keys[at] == 0
+            first = np.zeros(len(rest), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.keys[at[put]], self.values[at[put]] = h[rest[put]], number[rest[put]]
+            rest = rest[~put]
+            if not len(rest):
+                break
+        return number
+
+    def _pieces(self, texts: list[bytes]):
+        buf = b" ".join(texts)
+        raw = np.frombuffer(buf, np.uint8)
+        kind = self.kind[raw]
+        before = np.concatenate([[np.uint8(0x20)], raw[:-1]])
+        follows = (raw >= 0x80) & (raw < 0xC0)
+        bad = (kind == 4) | follows & ((before != 0xC3) | (raw == 0x97) | (raw == 0xB7))
+        bad[:-1] |= (raw[:-1] == 0xC3) & ~follows[1:]
+        lower = raw.copy()
+        lower[follows & (raw < 0x9F)] += 0x20
+        space = kind == 0
+        last = np.concatenate([[0], kind[:-1]])
+        new = ((kind != last) | (kind == 2)) & ~space
+        if b"'" in buf:
+            q = np.flatnonzero((raw == 0x27) & (last != 3))
+            low = np.concatenate([raw | 0x20, np.zeros(3, np.uint8)])
+            one, two = low[q + 1], low[q + 2]
+            short = np.isin(one, list(b"stmd"))
+            pair = (one == 0x72) & (two == 0x65) | (one == 0x76) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+            new = np.concatenate([new, [False] * 4])
+            for places, n in ((q[short], 2), (q[pair & ~short], 3)):
+                new[places + 1] = False
+                new[places + n] |= np.concatenate([~space, [False] * 4])[places + n]
+            new = new[: len(raw)]
+        start = np.flatnonzero(new)
+        stop = np.concatenate([new | space, [True]])[1:] & ~space
+        return buf, raw, lower, bad, start, np.flatnonzero(stop) + 1
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        out: list = [None] * len(texts)
+        rest = [i for i in range(len(texts)) if i not in set(whole)]
+        for _ in range(2):  # again without the texts that hold other characters
+            part = [texts[i] for i in rest]
+            if not part:
+                break
+            lens = np.fromiter(map(len, part), np.int64, len(part))
+            begins = np.cumsum(lens + 1) - (lens + 1)
+            buf, raw, lower, bad, start, end = self._pieces(part)
+            if bad.any():
+                odd = set(np.unique(np.searchsorted(begins, np.flatnonzero(bad), side="right") - 1).tolist())
+                whole += [rest[k] for k in odd]
+                rest = [i for k, i in enumerate(rest) if k not in odd]
+                continue
+            h = span_hashes(lower, start, end)
+            h[h == 0] = 1
+            if len(self.begin) > self.SLOTS // 2:
+                self._clear()
+            number = self._find(h)
+            new = np.flatnonzero(number == 0)
+            if len(new):
+                keys, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+                at = new[first]
+                low = lower.tobytes()
+                number[new] = self._learn(keys, [low[a:b].lower() for a, b in zip(start[at].tolist(), end[at].tolist())])[inverse]
+            size = self.size[number].astype(np.int64)
+            ends = np.cumsum(size)
+            index = np.repeat(self.begin[number] - (ends - size), size)
+            flat = self.ids[index + np.arange(len(index))]
+            cuts = np.concatenate([[0], ends])[np.searchsorted(start, begins[1:])]
+            for i, ids in zip(rest, np.split(flat, cuts)):
+                out[i] = ids
+            break
+        if whole:
+            for i, ids in zip(whole, super().encode([texts[i] for i in whole])):
+                out[i] = ids
+        return out
+
+
+def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, exact)
+        _ENCODERS[path] = (LowerCasePieces if LowerCasePieces.fits(path) else Encoder)(path)
     return _ENCODERS[path]
 
 
@@ -98,9 +238,8 @@ class ShardWriter:
         self.index = pa.ipc.new_file(self.sinks[1], self.index_schema)
         self.pending, self.have, self.total, self.docs = [], 0, 0, 0
 
-    def write(self, doc_ids: pa.Array, ids: list[bytes]) -> None:
-        size = self.dtype.itemsize
-        n = np.fromiter((len(x) // size for x in ids), np.int64, len(ids))
+    def write(self, doc_ids: pa.Array, ids: list[np.ndarray]) -> None:
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = self.total + np.cumsum(n) - n
         self.index.write_batch(pa.record_batch([doc_ids.cast(pa.int64()), pa.array(starts), pa.array(n)], schema=self.index_schema))
         self.pending.extend(ids)
@@ -111,7 +250,7 @@ class ShardWriter:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        flat = np.frombuffer(b"".join(self.pending), self.dtype)
+        flat = np.concatenate(self.pending) if self.pending else np.empty(0, self.dtype)
         per = BATCH_SEQUENCES * self.seq_len
         at = 0
         while len(flat) - at >= per or last and at < len(flat):
@@ -122,7 +261,7 @@ class ShardWriter:
             ids[: len(part)] = part
             columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, np.arange(whole) < len(part))]
             self.file.write_batch(pa.record_batch([c.cast(f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
-        self.pending, self.have = [flat[at:].tobytes()], len(flat) - at
+        self.pending, self.have = [flat[at:]], len(flat) - at
 
     def close(self) -> None:
         self._flush(True)
@@ -216,7 +355,6 @@ def write_token_files(
     seq_len: int = SEQ_LEN,
     folder: str | None = None,
     order_by: list[Column] | None = None,
-    piecewise: bool = True,
 ) -> TokenFiles:
     """Encode whole texts and write them in ascending order of ``order_by`` (doc_id).
 
@@ -234,8 +372,8 @@ def write_token_files(
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("_p"))
 
     def write(batches):
-        enc, writer, shard = encoder(tokenizer_path, piecewise), None, 0
-        end = np.asarray([end_id], enc.dtype).tobytes()
+        enc, writer, shard = encoder(tokenizer_path), None, 0
+        end = np.asarray([end_id], enc.dtype)
         for batch in batches:
             if writer is None:
                 shard = batch.column(2)[0].as_py()
@@ -245,7 +383,7 @@ def write_token_files(
             for i, t in enumerate(texts):
                 size += len(t)
                 if size >= ENCODE_BYTES or i + 1 == len(texts):
-                    writer.write(batch.column(0).slice(first, i + 1 - first), [x + end for x in enc.encode(texts[first : i + 1])])
+                    writer.write(batch.column(0).slice(first, i + 1 - first), [np.concatenate([x, end]) for x in enc.encode(texts[first : i + 1])])
                     first, size = i + 1, 0
         if writer is not None:
             writer.close()
