@@ -96,7 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     rate = float(y.mean()) if n else 0.5
     base = math.log(max(rate, 1e-3) / max(1 - rate, 1e-3))
     feature, threshold, left, value, roots = [], [], [], [], []
-    if 0 < rate < 1:
+    if n and 0 < rate < 1:
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(m)]
         binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(m)], 1)
         margin = np.full(n, base)

@@ -93,7 +93,7 @@ def limits(counted: DataFrame) -> DataFrame:
 
     by_source = tops(groups, "lang", "source")
     by_lang = tops(groups.groupBy("lang").agg(*merge), "lang")
-    total = tops(groups.agg(*merge))
+    total = tops(groups.agg(*merge).filter("n > 0"))
     out = by_source.join(by_lang, F.col("lang_2").eqNullSafe(F.col("lang_1"))).join(F.broadcast(total))  # one row
     pick = lambda r: F.when(F.col("ok_2"), F.col(f"{r}_2")).when(F.col("ok_1"), F.col(f"{r}_1")).otherwise(F.col(f"{r}_0"))
     return out.select(F.col("lang_2").alias("lang"), F.col("source_2").alias("source"), *[pick(r).alias(r) for r in RATIOS])
