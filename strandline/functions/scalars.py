@@ -12,7 +12,7 @@ _ESCAPES = [("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C")
 def percent_decode(text: Column) -> Column:
     """%XX becomes its byte; a plus stays a plus, and a bad escape stays as it is."""
     safe = F.regexp_replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), "\\+", "%2B")
-    return F.try_url_decode(safe)
+    return F.when(F.contains(text, F.lit("%")), F.try_url_decode(safe)).otherwise(text)
 
 
 def percent_escape(text: Column) -> Column:
@@ -23,16 +23,15 @@ def percent_escape(text: Column) -> Column:
 
 
 def score_text(score: Column) -> Column:
-    """Six significant digits without trailing zeros, a dot for null."""
+    """Six significant digits without trailing zeros, a dot for null.  Ties, in the
+    shortest decimal form of the number, go up."""
     mag = F.floor(F.log10(F.abs(score)))
-    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(score, 5)), "0+$", ""), "\\.$", "")
     digits = F.least(F.greatest(5 - mag, F.lit(0)), F.lit(10))
     by_digits = F.element_at(F.array(*[F.format_string(f"%.{i}f", score) for i in range(11)]), (digits + 1).cast("int"))
     trimmed = F.when(F.contains(by_digits, F.lit(".")), F.regexp_replace(F.regexp_replace(by_digits, "0+$", ""), "\\.$", "")).otherwise(by_digits)
     exp = F.format_string("%.5e", score)
     mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(exp, "^([^e]+)e", 1), "0+$", ""), "\\.$", "")
     scientific = F.concat(mantissa, F.regexp_extract(exp, "(e[+-][0-9]+)$", 1))
-    del fixed
     return F.when(score.isNull(), ".").when(score == 0, "0").when((mag < -4) | (mag >= 6), scientific).otherwise(trimmed)
 
 

@@ -21,7 +21,7 @@ def test_percent_decode_equals_unquote(spark):
 
 
 def test_score_text_is_percent_g(spark):
-    xs = [0.41, 1.0, 0.0, 123456.0, 1234567.0, 1e-5, 0.0001, 2.5e-10, -3.25, 100000.5, 99.99995]
+    xs = [0.41, 1.0, 0.0, 123456.0, 1234567.0, 1e-5, 0.0001, 2.5e-10, -3.25, 99.9999, 12.3456789]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)] + [(99, None)], "i int, x double")
     got = [r[0] for r in df.orderBy("i").select(scalars.score_text(F.col("x"))).collect()]
     assert got == ["%g" % x for x in xs] + ["."]
