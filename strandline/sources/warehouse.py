@@ -90,6 +90,9 @@ class Warehouse:
     def table(self, assembly_id: int, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self._assembly(assembly_id)['folder']}/{name}")
 
+    def manifest(self, assembly_id: int) -> dict:
+        return json.loads(files.read_bytes(self.spark, f"{self.root}/{self._assembly(assembly_id)['folder']}/manifest.json"))
+
     # -- load --------------------------------------------------------------------
 
     def load(self, config: OrganismConfig, *, repair_envelopes: bool = False, strict_vocabulary: bool = False, force: bool = False) -> LoadReport:
@@ -167,6 +170,11 @@ class Warehouse:
             raise Refused(f"{n} rows lie outside their sequence: {text}")
         if n := placed.filter("outcome = 'wrapped'").count():
             warnings.append(f"{n} rows lie past the end of a circular sequence")
+        for _, entry, f, _ in read if config.fasta else []:
+            off = f.directives.join(sequences.select("seqid", "length"), "seqid").filter("end <> length").select("seqid", "end", "length")
+            n, text = _show(off)
+            if n:
+                warnings.append(f"{entry.path}: {n} declared lengths differ from the sequences: {text}")
         self._write(staging, assembly_id, rows, sequences, source_files)
         for entry in config.functional:
             self._attach(staging, entry.path, entry.tool, entry.minimum_match_rate)
@@ -175,7 +183,7 @@ class Warehouse:
             raise Refused(f"what was stored is not what was read: {[t for t in tiers if t['outcome'] == 'FAIL']}")
         feature = spark.read.parquet(f"{staging}/feature")
         total = feature.agg(segments.feature_count().alias("f"), F.count("*").alias("n")).first()
-        manifest = {"assembly_id": assembly_id, "label": config.label, "store_version": VERSION, "vocabulary_hash": vocabulary.content_hash(), "features": total.f, "rows": total.n, "repairs": repairs, "warnings": warnings, "tiers": tiers, "files": [list(x) for x in source_files]}
+        manifest = {"assembly_id": assembly_id, "label": config.label, "store_version": VERSION, "vocabulary_hash": vocabulary.content_hash(), "features": total.f, "rows": total.n, "repairs": repairs, "warnings": warnings, "tiers": tiers, "files": [list(x) for x in source_files], "fasta": [config.fasta, files.sha256(spark, config.fasta)] if config.fasta else None}
         files.write_text(spark, f"{staging}/manifest.json", json.dumps(manifest, indent=1))
         return LoadReport(assembly_id, "", total.f, total.n, repairs, warnings, tiers)
 
@@ -303,6 +311,13 @@ class Warehouse:
             else:
                 out += _tiers(self._naive(r.path, r.format), mine, r.path, r.format)
             out.append(_edges(mine, r.path, r.format))
+        fasta_file = self.manifest(assembly_id)["fasta"]
+        if fasta_file:
+            path, known = fasta_file
+            same = files.exists(self.spark, path) and files.sha256(self.spark, path) == known
+            out.append({"tier": "assembly", "subject": path, "outcome": "PASS" if same else "FAIL", "detail": "" if same else "the sequence file is gone or has changed"})
+        else:
+            out.append({"tier": "assembly", "subject": "", "outcome": "SKIPPED", "detail": "no sequence file"})
         if published is not None:
             counts = feature.groupBy("source_type").agg(segments.feature_count().alias("n"))
             folded = counts.groupBy(F.when(F.col("source_type") == "pseudogene", "gene").otherwise(F.col("source_type")).alias("source_type")).agg(F.sum("n").alias("n"))
@@ -446,7 +461,7 @@ class Warehouse:
     def remove(self, assembly_id: int) -> dict:
         """Takes an assembly out of the catalog, then deletes its folder."""
         plan, catalog = self.plan_removal(assembly_id), self.catalog()
-        manifest = json.loads(files.read_bytes(self.spark, f"{self.root}/{plan['folder']}/manifest.json"))
+        manifest = self.manifest(assembly_id)
         if manifest["assembly_id"] != assembly_id:
             raise Refused(f"{plan['folder']} belongs to assembly {manifest['assembly_id']}")
         self._publish(catalog | {"assemblies": [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]})
