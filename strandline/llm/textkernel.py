@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 PART_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15
 

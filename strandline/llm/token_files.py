@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from strandline.llm.textkernel import span_hashes
 
 SEQ_LEN = 2048
 BATCH_SEQUENCES = 256
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -48,10 +49,17 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path = path
+        self.dtype = np.dtype("<u2" if self._size() <= 1 << 16 else "<u4")
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        return Tokenizer.from_file(self.path)
+
+    def _size(self) -> int:
+        return self.tokenizer.get_vocab_size()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -69,17 +77,17 @@ class LowerCasePieces(Encoder):
     it is full.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
     PROBES = 8
     ENCODE_RUN = 100
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, special: list[bytes]):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        config = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"].encode() for t in config["added_tokens"]]
-        self.model = Tokenizer.from_file(path)
+        self.special = special
+        self.model = Tokenizer.from_file(path)  # for pieces; the tokenizer itself is loaded when a text needs it
+        super().__init__(path)
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.mark = self.model.encode(" \x02 ", add_special_tokens=False).ids
@@ -91,13 +99,18 @@ class LowerCasePieces(Encoder):
         self.kind = kind
         self._clear()
 
+    def _size(self) -> int:
+        return self.model.get_vocab_size()
+
     @staticmethod
-    def fits(path: str) -> bool:
+    def special_tokens(path: str) -> list[bytes] | None:
+        """The special tokens of a tokenizer that this class can stand for, else None."""
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         split, normal = config.get("pre_tokenizer") or {}, config.get("normalizer") or {}
         steps = split.get("pretokenizers") or [{}]
-        return normal.get("normalizers") == _LOWER and steps[0].get("pattern") == {"Regex": _SPLIT} and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not config.get("post_processor")
+        fits = normal.get("normalizers") == _LOWER and steps[0].get("pattern") == {"Regex": _SPLIT} and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not config.get("post_processor")
+        return [t["content"].encode() for t in config["added_tokens"]] if fits else None
 
     def _clear(self) -> None:
         self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
@@ -155,7 +168,7 @@ class LowerCasePieces(Encoder):
         lower = raw.copy()
         lower[follows & (raw < 0x9F)] += 0x20
         space = kind == 0
-        last = np.concatenate([[0], kind[:-1]])
+        last = np.concatenate([np.zeros(1, np.uint8), kind[:-1]])
         new = ((kind != last) | (kind == 2)) & ~space
         if b"'" in buf:
             q = np.flatnonzero((raw == 0x27) & (last != 3))
@@ -213,9 +226,10 @@ class LowerCasePieces(Encoder):
         return out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: list[bytes] | None) -> Encoder:
+    """The encoder of a worker process; special is LowerCasePieces.special_tokens(path)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = (LowerCasePieces if LowerCasePieces.fits(path) else Encoder)(path)
+        _ENCODERS[path] = Encoder(path) if special is None else LowerCasePieces(path, special)
     return _ENCODERS[path]
 
 
@@ -371,8 +385,10 @@ def write_token_files(
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c.alias(k) for c, k in zip(order, keys)])
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("_p"))
 
+    special = LowerCasePieces.special_tokens(tokenizer_path)
+
     def write(batches):
-        enc, writer, shard = encoder(tokenizer_path), None, 0
+        enc, writer, shard = encoder(tokenizer_path, special), None, 0
         end = np.asarray([end_id], enc.dtype)
         for batch in batches:
             if writer is None:

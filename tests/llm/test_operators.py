@@ -69,7 +69,7 @@ def test_token_files(spark):
 
 
 def test_pieces_equal_the_tokenizer():
-    fast, plain = token_files.encoder(TOKENIZER), token_files.Encoder(TOKENIZER)
+    fast, plain = token_files.encoder(TOKENIZER, token_files.LowerCasePieces.special_tokens(TOKENIZER)), token_files.Encoder(TOKENIZER)
     assert type(fast) is token_files.LowerCasePieces
     r = random.Random(3)
     parts = ["a", "B", "'s", "'", "'re", "'Ll", "é", "É", "ß", "ÿ", "×", "1", "23", "!", "--", " ", "\n", "’", "中", "İ", "<|endoftext|>", "'ve", "x", "\x02", "\x1c", "s", "d"]
