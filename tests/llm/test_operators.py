@@ -90,6 +90,24 @@ def test_passages(spark):
     assert passages.find_passages(empty(spark)).count() == 0
 
 
+def test_passages_of_common_phrases(spark):
+    """Passages that two documents share, made of phrases that all documents have: all verbatim pairs of brute force."""
+    r, phrases = random.Random(6), [prose(9, 7000 + i).split() for i in range(24)]
+    passages_ = [sum(r.sample(phrases, 6), []) for _ in range(12)]
+    rows = []
+    for i in range(30):
+        words = sum((p + prose(12, 100 * i + k).split() for k, p in enumerate(r.sample(phrases, len(phrases)))), [])
+        rows.append((i + 1, " ".join(words + (passages_[(i - 3) % 12] if 3 <= i < 27 else []) + prose(20, 9000 + i).split())))
+    spans, want = {}, set()
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            spans.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {frozenset(s) for s in spans.values() if len(s) > 1}
+    got = {frozenset(x[:2]) for x in passages.find_passages(docs(spark, rows)).collect()}
+    assert len(want) == 12 and all(len(w) == 2 for w in want) and want <= got
+
+
 def test_compact_windows_hold_the_minimum_and_cover():
     r = np.random.default_rng(1)
     for n, high in ((60, 1 << 60), (60, 4)):
