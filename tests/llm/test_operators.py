@@ -2,6 +2,7 @@
 rows, empty tables, and extra columns with clashing names."""
 
 import html
+import math
 import random
 import re
 import zlib
@@ -108,6 +109,37 @@ def test_passages_of_common_phrases(spark):
     assert len(want) == 12 and all(len(w) == 2 for w in want) and want <= got
 
 
+def test_passages_beside_common_words():
+    """A passage with a changed word is found whatever common words follow, and a verbatim one behind a longer run."""
+    text = lambda words: passages.Text(" ".join(words).encode())
+    p, common, rest = prose(60, 61).split(), prose(5, 62).split(), prose(40, 63).split()
+    changed = [*p[:30], "changed", *p[31:]]
+    got = passages.verify(text([*rest, *changed, *prose(7, 64).split(), *common, *rest[::-1]]), text([*p, *prose(7, 65).split(), *common, *prose(30, 66).split()]))
+    assert [g[:4] for g in got] == [(40, 100, 0, 60)] and got[0][4] == pytest.approx(51 / 61)
+    # many runs: good stretches between poor ones
+    mine, theirs, want = [], [], []
+    for k in range(12):
+        block = prose(80, 700 + k).split()
+        want.append(len(mine))
+        mine += block
+        theirs += [*block[:40], "other", *block[41:]]
+        for j in range(3):
+            same = prose(5, 800 + 10 * k + j).split()
+            mine += [*prose(7, 900 + 10 * k + j).split(), *same]
+            theirs += [*prose(7, 2000 + 10 * k + j).split(), *same]
+    got = passages.verify(text(mine), text(theirs))
+    assert all(any(a <= w and w + 80 <= b for a, b, *_ in got) for w in want) and all(g[4] >= 0.8 for g in got)
+    x, v = prose(20, 67).split(), prose(55, 68).split()
+    got = passages.verify(text([*x, *v]), text([*v, *rest, *x, *v[:20]]))
+    assert (20, 75, 0, 55, 1.0) in got
+
+
+def test_functions_find_passages_at_the_threshold():
+    """Sets of similarity 0.8 agree in AGREE functions but for one pair in a thousand at most."""
+    missed = sum(math.comb(passages.HASHES, k) * 0.8**k * 0.2 ** (passages.HASHES - k) for k in range(passages.AGREE))
+    assert missed < 0.001
+
+
 def test_compact_windows_hold_the_minimum_and_cover():
     r = np.random.default_rng(1)
     for n, high in ((60, 1 << 60), (60, 4)):
