@@ -9,7 +9,7 @@ copies cost a row each and nothing more.  Over the merged sets:
    again on BRANCHES further coordinates that its path chooses, to DEPTH levels,
    unless one child would keep DENSE of its sets: such a node holds one cluster,
    and branching would only repeat it.  A pair at the threshold t shares a child of
-   the root with probability t in each tree, so 9 trees lose fewer than one in ten
+   the root with probability t in each tree, so 9 trees lose fewer than one in a
    million of them; each further level loses at most (1 - t) ** BRANCHES.
 2. Nodes are compared exhaustively on signatures, a dense or last one in tiles, so
    no task holds it whole.  Pairs whose estimate is within MARGIN standard errors of
@@ -39,7 +39,7 @@ from strandline.llm import workspace
 from strandline.llm.textkernel import Words, grouped, mix, strings
 
 SHINGLE = 5
-THRESHOLD = 85  # per cent
+THRESHOLD = 80  # per cent
 COORDINATES = 64
 TREES = 9
 BRANCHES = 3

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.llm import decontaminate, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, sql_twins, token_files, token_rollup, workspace
 
 TOKENIZER = "word_bpe_49k.json"
+NEAR_DUP_PERCENT = 85  # of op10 alone; its SQL has the same
 
 SQL = {
     "op3_decontaminate": sql_twins.DECONTAMINATE,
@@ -72,7 +73,7 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), percent=NEAR_DUP_PERCENT)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

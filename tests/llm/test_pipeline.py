@@ -22,6 +22,13 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(mixed)
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join("new" if i in (40, 80, 120, 160, 200, 240) else w for i, w in enumerate(words))), (3, " ".join("new" if i % 40 == 20 else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")  # 1 and 2: 266 / 326; 1 and 3: 256 / 336
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [1, 3]
+
+
 def stage_order(df):
     return sorted(df.selectExpr("doc_id", "_metadata.file_name as f", "_metadata.row_index as i").collect(), key=lambda r: (r.f, r.i))
 
