@@ -18,6 +18,7 @@ such tokens.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from strandline.llm import workspace
 
 KINDS = ["email", "ip", "card", "phone"]
-SEEDS, ROUNDS, BELIEF = 5, 3, 0.8
+SEEDS, BELIEF = 5, 0.8
 CONTEXT_CHARS = 120
+START = "\x02"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,6 +42,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _THING = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
+_TOKEN = re.compile(r"\S+")
+# A token of digits and their punctuation; what is left out ends a sentence or a bracket.
+_GROUP = re.compile(r"[\"'\[<{]*(\(?\+?[0-9](?:[0-9()/.+-]*[0-9])?\)?)[.,;:!?\"'\])>}]*")
+_BLANKS = re.compile(r"[ \t\xa0]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -84,8 +90,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _things(text: str, taken: list[tuple[int, int, int]]):
-    """Tokens with a digit or an @ and five characters at least, that touch no base span."""
+    """Tokens with a digit or an @ that touch no base span; neighbouring groups of digits are one."""
     spans, at, k = sorted((a, b) for _, a, b in taken), 0, 0
+    held = None  # (start, end) of groups so far
     while m := _THING.search(text, at):
         start = m.start()
         while start > at and not text[start - 1].isspace():
@@ -100,16 +107,47 @@ def _things(text: str, taken: list[tuple[int, int, int]]):
             at = max(at, spans[k][1])
             continue
         token = text[start:end]
-        cut = len(token) - len(token.lstrip("\"'([<{"))
-        stop = len(token.rstrip(".,;:!?\"')]>}"))
-        if stop - cut >= 5:
-            yield start + cut, start + stop
-
-
-def _context(text: str, start: int) -> str | None:
-    """The two tokens before a place, in lower case with digits as 0; None if there are fewer."""
-    near = text[max(0, start - CONTEXT_CHARS) : start].split()
-    return _DIGITS.sub("0", " ".join(near[-2:]).lower()) if len(near) > 1 else None
+        cut, stop = start + len(token) - len(token.lstrip("\"'([<{")), start + len(token.rstrip(".,;:!?\"')]>}"))
+        if m := _GROUP.fullmatch(token):
+            cut, stop = start + m.start(1), start + m.end(1)
+        if held and m and cut == start and _BLANKS.fullmatch(text, held[1], cut):
+            held = held[0], stop
+            continue
+        if held:
+            yield held
+        held = (cut, stop) if m else None
+        if not m and stop > cut:
+            yield cut, stop
+    if held:
+        yield held
+
+
+def _contexts(text: str, spans: list[tuple[int, int]]) -> list[str]:
+    """The two tokens before each span, in lower case with digits as 0; the start of the
+    text counts as tokens.  What stands in the span's own token after the span before is a
+    token.  Long tokens are named by a hash."""
+    if not spans:
+        return []
+    bounds = [m.span() for m in _TOKEN.finditer(text)]
+    starts, short, made, done = [a for a, _ in bounds], {}, {}, 0
+
+    def named(x: str) -> str:
+        x = _DIGITS.sub("0", x.lower())
+        return x if len(x) <= CONTEXT_CHARS else hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+    def token(i: int) -> str:
+        if i < 0:
+            return START
+        if i not in short:
+            short[i] = named(text[slice(*bounds[i])])
+        return short[i]
+
+    for a, b in sorted(spans):
+        i = bisect.bisect_right(starts, a) - 1
+        own = text[max(starts[i], min(done, a)) : a]
+        made[a, b] = f"{token(i - 1)} {named(own)}" if own else f"{token(i - 2)} {token(i - 1)}"
+        done = max(done, b)
+    return [made[x] for x in spans]
 
 
 def _spans_text(spans) -> str:
@@ -128,16 +166,16 @@ def _find(column: pa.Array) -> pa.Array:
         base = base_spans(text)
         joined = _spans_text(base)
         mentions = []
-        for k, a, b in [*base, *((None, a, b) for a, b in _things(text, base))]:
-            if pattern := _context(text, a):
-                thing = hashlib.blake2b(text[a:b].lower().encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
-                mentions.append({"kind": k, "start": a, "end": b, "pattern": pattern, "thing": thing})
+        spans = [*base, *((None, a, b) for a, b in _things(text, base))]
+        for (k, a, b), pattern in zip(spans, _contexts(text, [x[1:] for x in spans])):
+            thing = hashlib.blake2b(text[a:b].lower().encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+            mentions.append({"kind": k, "start": a, "end": b, "pattern": pattern, "thing": thing})
         row = {f"n_{name}": sum(k == i for k, _, _ in base) for i, name in enumerate(KINDS)}
         out.append(row | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "base": joined, "mentions": mentions})
     return pa.array(out, _FOUND)
 
 
-def bootstrap(mentions: DataFrame, *, seeds: int = SEEDS, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(mentions: DataFrame, *, seeds: int = SEEDS, rounds: int = 3) -> DataFrame:
     """(thing, kind, belief) of things that are no seeds, from (kind, pattern, thing) rows."""
     edges = mentions.groupBy("pattern", "thing").agg(F.max("kind").alias("seed"))
     support = edges.filter("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("pattern", F.col("seed").alias("kind"))
@@ -156,7 +194,7 @@ def bootstrap(mentions: DataFrame, *, seeds: int = SEEDS, rounds: int = ROUNDS)
     return belief
 
 
-def find_personal_data(docs: DataFrame, *, seeds: int = SEEDS, rounds: int = ROUNDS, belief: float = BELIEF) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, seeds: int = SEEDS, rounds: int = 3, belief: float = BELIEF) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each document.
 
     A null text is empty.  A thing that is believed of several kinds takes the first of

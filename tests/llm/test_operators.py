@@ -209,6 +209,24 @@ def test_personal_data_bootstraps(spark):
     assert personal_data.find_personal_data(empty(spark)).count() == 0
 
 
+def test_things_in_groups_and_contexts():
+    of = lambda t: [t[a:b] for a, b in personal_data._things(t, personal_data.base_spans(t))]
+    assert of("call me on 0201 555 0199, or (020) 7946 0958.") == ["0201 555 0199", "(020) 7946 0958"]
+    assert of("card 1234 5678 1234 5678 in room 12\n34 x1y") == ["1234 5678 1234 5678", "12", "34", "x1y"]
+    t = "Tel: 0201-555-0199 " + "x" * 500 + " " * 300 + "on 4711"
+    spans = list(personal_data._things(t, []))
+    assert [t[a:b] for a, b in spans] == ["0201-555-0199", "4711"]
+    first, second = personal_data._contexts(t, spans)
+    assert first == personal_data.START + " tel:" and second.endswith(" on") and len(second) < 50
+
+
+def test_grouped_numbers_are_found(spark):
+    rows = [(500 + i, f"please call me on +1 (20{i % 10}) 555-01{i:02} today") for i in range(20)] + [(600 + i, f"Tel: +1 (20{i % 10}) 555-02{i:02} today") for i in range(20)]
+    rows += [(100, "please call me on 0201 555 0199 today"), (101, "Tel: 0201-555-0198")]
+    got = {r.doc_id: r.spans for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
+    assert got[100] == "phone:18:31" and got[101] == "phone:5:18"
+
+
 # -- quality
 
 
