@@ -4,14 +4,16 @@ The fixed patterns give the base spans.  They are the seeds: the two tokens befo
 seed, with digits as 0, are a lexical pattern of its kind.  Patterns and the things
 they stand before make a graph, which is scored in rounds:
 
-* a pattern's confidence for a kind is the summed belief in the things of that kind
-  that it stands before, over all things it stands before, plus one;
-* the belief in a thing is 1 for seeds, else 1 - prod(1 - confidence) over its
-  patterns.
-
-Patterns of SEEDS different seeds at least take part.  Tokens with digits or an @
-that no fixed pattern took, and that are believed at BELIEF or more after ROUNDS
-rounds, are further spans of that kind.  Everything between the one pass over the texts
+* a pattern's confidence for a kind is the summed belief in the judged things of that
+  kind that it stands before, over all judged things it stands before, plus one;
+  judged are seeds, whose belief is 1, and the things that earlier rounds added;
+* the belief in another thing is 1 - prod(1 - confidence) over its patterns.
+
+Patterns of SEEDS different judged things of a kind at least take part.  Tokens with
+digits or an @ that no fixed pattern took, neighbouring groups of digits as one, are
+further spans of a kind once they are believed at BELIEF or more, and count as judged
+in the next rounds, which go on until one adds nothing.
+Everything between the one pass over the texts
 and the result is joins and sums over mentions, whose number follows the seeds and
 such tokens.
 """
@@ -175,30 +177,32 @@ def _find(column: pa.Array) -> pa.Array:
     return pa.array(out, _FOUND)
 
 
-def bootstrap(mentions: DataFrame, *, seeds: int = SEEDS, rounds: int = 3) -> DataFrame:
-    """(thing, kind, belief) of things that are no seeds, from (kind, pattern, thing) rows."""
-    edges = mentions.groupBy("pattern", "thing").agg(F.max("kind").alias("seed"))
-    support = edges.filter("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n")).filter(F.col("n") >= seeds).select("pattern", F.col("seed").alias("kind"))
-    used = workspace.Table(edges.join(support.select("pattern").distinct(), "pattern", "left_semi"), "edges")
-    links = workspace.Table(used.df.join(support, "pattern"), "links")  # pattern, thing, seed, kind
-    total = used.df.groupBy("pattern").agg(F.count("*").alias("total"))
-    belief = None
-    for _ in range(rounds):
-        rows = links.df
-        rows = rows.join(belief, ["thing", "kind"], "left") if belief is not None else rows.withColumn("belief", F.lit(None).cast("double"))
-        known = F.when(F.col("seed").isNotNull(), (F.col("seed") == F.col("kind")).cast("double")).otherwise(F.coalesce("belief", F.lit(0.0)))
-        conf = rows.groupBy("pattern", "kind").agg(F.sum(known).alias("good")).join(total, "pattern").select("pattern", "kind", (F.col("good") / (F.col("total") + 1)).alias("conf"))
-        doubt = links.df.filter("seed is null").join(conf, ["pattern", "kind"]).groupBy("thing", "kind").agg(F.sum(F.log(1 - F.col("conf"))).alias("doubt"))
-        table = workspace.Table(doubt.select("thing", "kind", F.round(1 - F.exp("doubt"), 9).alias("belief")), "belief")
-        belief = table.df
-    return belief
-
-
-def find_personal_data(docs: DataFrame, *, seeds: int = SEEDS, rounds: int = 3, belief: float = BELIEF) -> DataFrame:
+def bootstrap(mentions: DataFrame, *, seeds: int = SEEDS, rounds: int | None = None, belief: float = BELIEF) -> DataFrame:
+    """(thing, kind, belief) of the things believed at ``belief`` or more that are no seeds,
+    from (kind, pattern, thing) rows; rounds None: until a round adds none."""
+    edges = workspace.Table(mentions.groupBy("pattern", "thing").agg(F.max("kind").alias("seed")), "edges").df
+    sure = mentions.sparkSession.createDataFrame([], "thing string, kind int, belief double")
+    while rounds is None or rounds > 0:
+        judged = edges.join(sure, "thing", "left").select("pattern", "thing", F.coalesce("seed", "kind").alias("kind"), F.when(F.col("seed").isNotNull(), F.lit(1.0)).otherwise(F.col("belief")).alias("held"))
+        support = judged.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("held").alias("good"))
+        total = support.groupBy("pattern").agg(F.sum("n").alias("total"))
+        conf = support.filter(F.col("n") >= seeds).join(total, "pattern").select("pattern", F.col("kind").alias("of"), (F.col("good") / (F.col("total") + 1)).alias("conf"))
+        doubt = judged.filter("kind is null").join(conf, "pattern").groupBy("thing", "of").agg(F.sum(F.log(1 - F.col("conf"))).alias("doubt"))
+        found = doubt.select("thing", F.round(1 - F.exp("doubt"), 9).alias("belief"), "of").filter(F.col("belief") >= belief)
+        best = found.groupBy("thing").agg(F.min(F.struct((-F.col("belief")).alias("b"), "of")).alias("best"))
+        new = workspace.Table(best.select("thing", F.col("best.of").alias("kind"), (-F.col("best.b")).alias("belief")), "believed").df
+        if new.isEmpty():
+            break
+        sure = sure.union(new)
+        rounds = rounds and rounds - 1
+    return sure
+
+
+def find_personal_data(docs: DataFrame, *, seeds: int = SEEDS, rounds: int | None = None, belief: float = BELIEF) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each document.
 
     A null text is empty.  A thing that is believed of several kinds takes the first of
-    those it is believed most of.  Other columns are ignored; repeated rows are all
+    those it is believed most of in the first round that believes it.  Other columns are ignored; repeated rows are all
     returned and, as the same things in the same places, count once in the graph.
     """
     workspace.ship(docs.sparkSession)
@@ -206,9 +210,8 @@ def find_personal_data(docs: DataFrame, *, seeds: int = SEEDS, rounds: int = 3,
     found = docs.select(F.col("doc_id"), find(F.col("text").cast("string")).alias("f")).select("doc_id", F.monotonically_increasing_id().alias("row"), "f.*")
     found = workspace.Table(found, "personal").df
     mentions = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    held = bootstrap(mentions.select("kind", "pattern", "thing"), seeds=seeds, rounds=rounds)
-    sure = held.filter(F.col("belief") >= belief).groupBy("thing").agg(F.min(F.struct((-F.col("belief")).alias("b"), "kind")).alias("best"))
-    added = mentions.filter("kind is null").join(sure.select("thing", F.col("best.kind").alias("found")), "thing")
+    held = bootstrap(mentions.select("kind", "pattern", "thing"), seeds=seeds, rounds=rounds, belief=belief)
+    added = mentions.filter("kind is null").join(held.select("thing", F.col("kind").alias("found")), "thing")
     added = added.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("found").alias("kind"), "start", "end"))).alias("added"))  # of one document
     names = F.array(*[F.lit(k) for k in KINDS])
     parse = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), lambda s: F.struct((F.array_position(names, F.split(s, ":")[0]) - 1).cast("int").alias("kind"), F.split(s, ":")[1].cast("long").alias("start"), F.split(s, ":")[2].cast("long").alias("end")))

@@ -220,6 +220,15 @@ def test_things_in_groups_and_contexts():
     assert first == personal_data.START + " tel:" and second.endswith(" on") and len(second) < 50
 
 
+def test_found_things_seed_patterns(spark):
+    """Patterns are induced from found things, and many unseen things beside few seeds don't lower a pattern."""
+    rows = [(500 + i, f"please call me on +1 (20{i % 10}) 555-01{i:02} today") for i in range(20)]
+    rows += [(600 + i, f"please call me on 0201-555-02{i:02} today") for i in range(60)]
+    rows += [(700 + i, f"or ring desk 0201-555-02{i:02} today") for i in range(12)] + [(800, "or ring desk 0201-555-0399 today")]
+    got = {r.doc_id: r.spans for r in personal_data.find_personal_data(docs(spark, rows)).collect()}
+    assert got[600] == "phone:18:31" and got[700] == got[800] == "phone:13:26"
+
+
 def test_grouped_numbers_are_found(spark):
     rows = [(500 + i, f"please call me on +1 (20{i % 10}) 555-01{i:02} today") for i in range(20)] + [(600 + i, f"Tel: +1 (20{i % 10}) 555-02{i:02} today") for i in range(20)]
     rows += [(100, "please call me on 0201 555 0199 today"), (101, "Tel: 0201-555-0198")]
