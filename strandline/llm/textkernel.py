@@ -122,14 +122,22 @@ class Words:
         return b" ".join(self.word(k) for k in range(i, j))
 
     def grams(self, k: int) -> np.ndarray:
-        """Hash of the k words from each position; those across texts have no meaning."""
+        """Hash of the k words from each position; those across texts have no meaning.
+
+        Sums of word hashes times powers of _P; the sum over a + b words comes from
+        those over a and over b, so k takes about log2(k) passes.
+        """
         n = len(self) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        h = np.full(n, k, np.uint64)
-        for j in range(k):
-            h = h * np.uint64(_P) + self.hash[j : j + n]
-        return mix(h)
+        total, size, run, width, rest = None, 0, self.hash, 1, k
+        while rest:
+            if rest & 1:
+                total, size = (run, width) if total is None else (total[: len(run) - size] * np.uint64(pow(_P, width, 1 << 64)) + run[size : size + len(total)], size + width)
+            rest >>= 1
+            if rest:
+                run, width = run[:-width] * np.uint64(pow(_P, width, 1 << 64)) + run[width:], 2 * width
+        return mix(total[:n] + np.uint64(k * pow(_P, k, 1 << 64) % (1 << 64)))
 
     def whole(self, d: int) -> np.uint64:
         """Hash of all words of text d, as grams() makes it for that many words."""

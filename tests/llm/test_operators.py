@@ -160,14 +160,20 @@ ITEMS = [(1, " ".join(BASE.split()[10:40])), (2, "one, two"), (3, None), (4, "..
 def test_decontamination(spark):
     rows = [r for r in TEXTS if r[0]] + [(20, prose(13, 77)), (21, "x " + prose(40, 78)[:-1]), (22, "y " * 100 + prose(20, 79))]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for size in (decontaminate.BLOCK_BYTES, 200):  # one block, and several passes
-        got = sorted(tuple(r)[:6] for r in decontaminate.leak_report(docs(spark, rows), items, block_bytes=size).collect())
+    for bits in (decontaminate.FILTER_BITS, 64):  # few places pass the filter, and almost all
+        got = sorted(tuple(r)[:6] for r in decontaminate.leak_report(docs(spark, rows), items, bits=bits).collect())
         want = decontaminate.brute_force(rows, [i for i in ITEMS if i[0]])
         named = {tuple(w) for w in want if w[0] != 22}
         assert {g for g in got if g[0] != 22} == named and len(got) == len(want)
         assert next(g for g in got if g[0] == 22)[2:4] == (20, 0)
     kept = decontaminate.drop_leaks(docs(spark, rows), items)
     assert kept.columns == docs(spark).columns and {1, 2, 3, 4, 9, 10, 20} & {r.doc_id for r in kept.collect()} == set()
+    # a passage in a long text is far less than a twentieth of it, and goes all the same; a short item in passing doesn't count
+    long = [(30, prose(2000, 900) + " " + prose(40, 78) + " " + prose(2000, 901)), (31, prose(2000, 902)), (32, None), (33, prose(400, 903) + " one two"), (None, prose(900, 904) + " " + prose(13, 77))]
+    left = decontaminate.drop_leaks(docs(spark, long), items).collect()
+    assert sorted(r.doc_id for r in left) == [31, 32, 33]
+    windows = {tuple(w[i : i + 13]) for _, t in ITEMS for w in [(t or "").lower().split()] for i in range(len(w) - 12)}
+    assert not any(tuple(w[i : i + 13]) in windows for r in left for w in [(r.text or "").lower().split()] for i in range(len(w) - 12))
     assert decontaminate.leak_report(docs(spark, rows), items.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.leak_report(empty(spark), items).count() == 0
 
