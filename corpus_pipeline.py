@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents that hold no window of 13 benchmark words, and of which shorter items are less than a twentieth."""
     return decontaminate.drop_leaks(docs, _read(spark, sf_dir, "benchmark"))
 
 
