@@ -72,8 +72,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
     ``weights``: target of each source, null a source of its own; sources not named
     have weight 0 and follow at the end.  None: in proportion to the sizes to the
-    power ``alpha``.  Within a source the order is that of a hash of doc_id and text,
-    so it does not depend on how the rows are stored; equal rows are interchangeable.
+    power ``alpha``.  Within a source the order is that of a hash of doc_id and text
+    (where there is one), then doc_id, then the text's own hash, so it does not depend on
+    how the rows are stored; rows equal in both are interchangeable.  Rows without doc_id
+    are dealt by where they lie, as all of them may have one text: docs with such rows
+    has to be a stored table, so that they lie where they lay.
     Columns of these names are replaced.  An empty table stays empty.
 
     A source's rows are numbered in buckets of a hash, so a source of any size is
@@ -85,8 +88,8 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     text = F.col("text") if "text" in columns else F.lit(None).cast("string")
-    order = F.xxhash64(F.col("doc_id"), F.octet_length(text.cast("string")))
-    keyed = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_o", order).withColumn("_q", F.pmod("_o", F.lit(buckets)))
+    order = F.xxhash64(F.col("doc_id"), text.cast("string"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    keyed = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_o", order).withColumn("_w", F.xxhash64(text.cast("string"))).withColumn("_q", F.pmod("_o", F.lit(buckets)))
     sizes = keyed.groupBy("_source", "_q").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -102,7 +105,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
         rows.append((s, j, slot, at))
         at += min(size, counts[s] - j * size)
     plan = spark.createDataFrame(rows, "_s string, _block long, _slot long, _first long")
-    within = Window.partitionBy("_source", "_q").orderBy("_o", "doc_id")
+    within = Window.partitionBy("_source", "_q").orderBy("_o", "doc_id", "_w")
     ranked = keyed.withColumn("_r", F.row_number().over(within) - 1)
     offsets = offsets.select(F.col("_source").alias("_os"), F.col("_q").alias("_oq"), "_before")
     ranked = ranked.join(offsets, F.col("_source").eqNullSafe(F.col("_os")) & (F.col("_q") == F.col("_oq")))
