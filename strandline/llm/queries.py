@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ NEAR_DUP_PERCENT = 85  # of op10 alone; its SQL has the same
 SQL = {
     "op3_decontaminate": sql_twins.DECONTAMINATE,
     "op6_quality_rules": sql_twins.QUALITY_RULES,
-    "op9_token_rollup": sql_twins.TOKEN_ROLLUP,
+    "word_rollup": sql_twins.WORD_ROLLUP,
     "op10_near_dup": sql_twins.NEAR_DUP,
 }
 
@@ -53,20 +54,34 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(_read(spark, sf_dir, "pages"))
 
 
-def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates are inserted, revised to counts; documents under 50 words leave; the first batch comes again."""
+def _rolled(spark: SparkSession, sf_dir: str, versions: list[DataFrame]) -> DataFrame:
+    """All documents, after estimates, revisions, deletes of documents under 50 words, their return, and batches that come twice."""
     docs = _read(spark, sf_dir, "documents")
-    counts = workspace.Table(token_rollup.word_counts(docs), "counts").df
-    estimate = docs.select("doc_id", "source", "lang", F.lit("words-1").alias("tokenizer"), F.floor(F.col("n_chars") / 6).alias("n_tokens"))
+    counts = workspace.Table(reduce(DataFrame.unionByName, versions), "counts").df
+    names = F.array(*[F.lit(r.tokenizer) for r in counts.select("tokenizer").distinct().orderBy("tokenizer").collect()])  # a row for each version
     rollup = token_rollup.TokenRollup(spark, workspace.new_path(spark, "rollup"))
+    estimate = docs.select("doc_id", "source", "lang", F.explode(names).alias("tokenizer"), F.floor(F.col("n_chars") / 6).alias("n_tokens"))
     first = estimate.withColumn("op", F.lit("insert"))
+    short = counts.filter("n_tokens < 50")
     rollup.commit("estimates", first)
     rollup.commit("counts", counts.withColumn("op", F.lit("revise")))
-    rollup.commit("short", counts.filter("n_tokens < 50").withColumn("op", F.lit("delete")))
+    rollup.commit("short", short.withColumn("op", F.lit("delete")))
     rollup.commit("estimates", first)
+    rollup.commit("short again", short.withColumn("op", F.lit("insert")))
     return rollup.totals()
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over all documents, in ids of op1's tokenizer and in words."""
+    docs = _read(spark, sf_dir, "documents")
+    return _rolled(spark, sf_dir, [token_rollup.token_counts(docs, public_tokenizers.path(TOKENIZER), TOKENIZER), token_rollup.word_counts(docs)])
+
+
+def word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_token_rollup that SQL can count: the version in words."""
+    return _rolled(spark, sf_dir, [token_rollup.word_counts(_read(spark, sf_dir, "documents"))])
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source"))
     return mixed.select("doc_id", F.col("_source").alias("source"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
@@ -83,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_passages, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, op10_near_dup, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op2_passages, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, word_rollup, op10_near_dup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,6 +53,6 @@ v AS (SELECT c.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED_PE
 SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({" OR ".join(f"r.{x} > {_top(x)}" for x in RATIOS)}, false) AS kept
 FROM v LEFT JOIN r ON r.doc_id = v.doc_id LEFT JOIN s ON s.lang = v.lang AND s.source = v.source LEFT JOIN l ON l.lang = v.lang, t"""
 
-TOKEN_ROLLUP = rf"""
+WORD_ROLLUP = rf"""
 WITH counted AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS n FROM documents WHERE doc_id IS NOT NULL)
-SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted WHERE n >= 50 GROUP BY source, lang"""
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted GROUP BY source, lang"""

@@ -73,6 +73,18 @@ def matches(spark: SparkSession, pattern: str) -> bool:
     return bool(fs.globStatus(path))
 
 
+def names(spark: SparkSession, pattern: str) -> list[str]:
+    """What a glob names."""
+    fs, path = _fs(spark, pattern)
+    return [str(f.getPath().toString()) for f in fs.globStatus(path) or []]
+
+
+def make(spark: SparkSession, uri: str) -> None:
+    """An empty folder."""
+    fs, path = _fs(spark, uri)
+    fs.mkdirs(path)
+
+
 def move(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder in one step; False if the target is there already."""
     fs, src = _fs(spark, source)
