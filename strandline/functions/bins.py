@@ -33,3 +33,14 @@ def bins_overlapping(start: Column, end: Column, depth: int = DEPTH, min_shift:
         shift = min_shift + 3 * (depth - level)
         levels.append(F.sequence(F.shiftright(start - 1, shift) + _first(level), F.shiftright(end - 1, shift) + _first(level)))
     return F.flatten(F.array(*levels))
+
+
+def overlapping(lo: int, hi: int, bin_column: str = "bin", start: str = "start", end: str = "end") -> Column:
+    """Rows that overlap a span, told by their bin first: on each level the bins from that of
+    lo to that of hi, whose rows begin no earlier than the first of them."""
+    near = F.lit(False)
+    for level in range(DEPTH + 1):
+        shift = MIN_SHIFT + 3 * (DEPTH - level)
+        a, b = (lo - 1) >> shift, (hi - 1) >> shift
+        near = near | (F.col(bin_column).between(_first(level) + a, _first(level) + b) & (F.col(start) > (a << shift)))
+    return near & (F.col(start) <= hi) & (F.col(end) >= lo)

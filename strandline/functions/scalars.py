@@ -177,3 +177,14 @@ def region_parts(text: Column) -> Column:
         F.when(hit, number(2)).alias("start"),
         F.when(hit, F.coalesce(number(3), number(2))).alias("end"),
     )
+
+
+def strict_int(text: Column) -> Column:
+    """A whole number where the text is one and nothing else; null for placeholders and all other text."""
+    t = clean(text)
+    return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("long"))
+
+
+def number(text: Column) -> Column:
+    """A number where the text is one; null for placeholders and all other text."""
+    return clean(text).try_cast("double")

@@ -1,24 +1,23 @@
 """Cycle-safe graph operators over (id, parent_id) edges.
 
 Each round is a join with the frontier and an anti join with what was seen; results of
-rounds are checkpointed in the shared folder, so plans stay small and a lost executor
-costs a round at most.
+rounds are tables in the shared folder, so plans stay small, the next join knows their
+size, and a lost executor costs a round at most.
 """
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.sources import files
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint()
+    """df without its lineage: a table in the shared folder, of known size."""
+    path = files.scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, starts: DataFrame, *, up: bool = False) -> DataFrame:
@@ -26,7 +25,7 @@ def closure(edges: DataFrame, starts: DataFrame, *, up: bool = False) -> DataFra
 
     edges: (id, parent_id).  Each pair appears once, at its least depth, so cycles end.
     """
-    steps = edges.filter("parent_id is not null").select(F.col("id").alias("_c"), F.col("parent_id").alias("_p")).distinct()
+    steps = edges.filter("parent_id is not null").select(F.col("id").alias("_c"), F.col("parent_id").alias("_p"))
     src, dst = ("_c", "_p") if up else ("_p", "_c")
     seen = _cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("depth")).distinct())
     frontier, depth = seen, 0
@@ -63,24 +62,21 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def depth_first(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """(id, path): sorting by path lists parents before children, siblings by rank.
+    """(id, path): sorting by path lists parents before children and siblings by rank.
 
-    order: (id, rank), ranks of fewer than eleven digits.  Nodes on cycles follow, by rank.
+    order: (id, rank), ranks of any type that sorts.  path has the ranks from the top
+    down; nodes on cycles are late, and follow by rank.
     """
-    pad = F.lpad(F.col("rank").cast("string"), 10, "0")
-    ranked = order.select(F.col("id").alias("_o"), pad.alias("_rank"))
+    ranked = order.select(F.col("id").alias("_o"), F.col("rank").alias("_rank"))
     nodes = edges.select("id", "parent_id").join(ranked, F.col("id") == F.col("_o")).select("id", "parent_id", "_rank")
     known = nodes.select(F.col("id").alias("_k"))
     top = nodes.join(known, F.col("parent_id") == F.col("_k"), "left_anti")
-    frontier = _cut(top.select("id", F.col("_rank").alias("path")))
+    frontier = _cut(top.select("id", F.array("_rank").alias("ranks")))
     done = frontier
     while not frontier.isEmpty():
-        below = nodes.join(frontier.select(F.col("id").alias("_p"), F.col("path").alias("_path")), F.col("parent_id") == F.col("_p"))
-        frontier = _cut(below.select("id", F.concat_ws(".", "_path", "_rank").alias("path")))
+        below = nodes.join(frontier.select(F.col("id").alias("_p"), F.col("ranks").alias("_ranks")), F.col("parent_id") == F.col("_p"))
+        frontier = _cut(below.select("id", F.concat("_ranks", F.array("_rank")).alias("ranks")))
         done = done.unionByName(frontier)
-    rest = nodes.join(done.select(F.col("id").alias("_d")), F.col("id") == F.col("_d"), "left_anti")
-    return done.unionByName(rest.select("id", F.concat(F.lit("~"), "_rank").alias("path")))
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    rest = nodes.join(done.select(F.col("id").alias("_d")), F.col("id") == F.col("_d"), "left_anti").select("id", F.array("_rank").alias("ranks"))
+    path = lambda rows, late: rows.select("id", F.struct(F.lit(late).alias("late"), "ranks").alias("path"))
+    return path(done, False).unionByName(path(rest, True))

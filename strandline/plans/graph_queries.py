@@ -51,12 +51,13 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(V("""WITH f AS (SELECT source_id AS id, min(parent_id) AS parent_id, min(row_id) AS r FROM graph GROUP BY source_id),
-  p0 AS (SELECT id, lpad(r::VARCHAR,10,'0') AS path FROM f WHERE parent_id IS NULL), p1 AS (SELECT f.id, path||'.'||lpad(r::VARCHAR,10,'0') AS path FROM f JOIN p0 ON parent_id = p0.id),
-  p2 AS (SELECT f.id, path||'.'||lpad(r::VARCHAR,10,'0') AS path FROM f JOIN p1 ON parent_id = p1.id) SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2"""))
+  p0 AS (SELECT id, r::VARCHAR AS path FROM f WHERE parent_id IS NULL), p1 AS (SELECT f.id, path||'.'||r::VARCHAR AS path FROM f JOIN p0 ON parent_id = p0.id),
+  p2 AS (SELECT f.id, path||'.'||r::VARCHAR AS path FROM f JOIN p1 ON parent_id = p1.id) SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2"""))
 def depth_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that sort features depth-first, siblings by their first row."""
     f = _features(spark, sf_dir)
-    return graph.depth_first(f.select("id", "parent_id"), f.select("id", F.col("row_id").alias("rank")))
+    found = graph.depth_first(f.select("id", "parent_id"), f.select("id", F.col("row_id").alias("rank")))
+    return found.select("id", F.array_join("path.ranks", ".").alias("path"))
 
 
 @query(V("""WITH f AS (SELECT source_id AS id, min(parent_id) AS parent_id FROM graph GROUP BY source_id), a AS (SELECT id AS gene FROM f WHERE parent_id IS NULL),

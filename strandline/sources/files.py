@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 import zlib
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WHOLE_BYTES = 256 << 20
+_OWN: dict[str, str] = {}
 
 
 def _path(spark: SparkSession, uri: str):
@@ -61,14 +65,62 @@ def write_text(spark: SparkSession, uri: str, text: str) -> None:
     out.close()
 
 
+def write_bytes(spark: SparkSession, uri: str, parts: Iterable[bytes]) -> None:
+    fs, p = _path(spark, uri)
+    out = fs.create(p, True)
+    for part in parts:
+        out.write(bytearray(part))
+    out.close()
+
+
 def sha256(spark: SparkSession, uri: str) -> str:
-    """Checksum of a file of any size, streamed."""
+    """Checksum of a file of any size, streamed; of a folder's files by name."""
     h = hashlib.sha256()
-    for block in _blocks(spark, uri):
-        h.update(block)
+    if is_folder(spark, uri):
+        for name in text_parts(spark, uri):
+            h.update(f"{name} {sha256(spark, f'{uri}/{name}')}\n".encode())
+    else:
+        for block in _blocks(spark, uri):
+            h.update(block)
     return h.hexdigest()
 
 
+def is_folder(spark: SparkSession, uri: str) -> bool:
+    fs, p = _path(spark, uri)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def text_parts(spark: SparkSession, uri: str) -> list[str]:
+    """The files of a folder that count, by name."""
+    return [n for n in list_names(spark, uri) if not n.startswith(("_", "."))]
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+    Only a local session may go without and gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strandline-")
+    return _OWN[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+
+
+def write_lines(lines: DataFrame, uri: str, *order: str, compression: str = "none") -> str:
+    """Writes the column value as text, in order over the parts of a folder."""
+    rows = lines.repartitionByRange(*order).sortWithinPartitions(*order) if order else lines
+    rows.select("value").write.option("compression", compression).text(uri)
+    return uri
+
+
 def _blocks(spark: SparkSession, uri: str, block: int = 8 << 20):
     fs, p = _path(spark, uri)
     stream, io = fs.open(p), spark.sparkContext._jvm.org.apache.commons.io.IOUtils
@@ -90,30 +142,47 @@ def is_gzip(spark: SparkSession, uri: str) -> bool:
 
 
 def lines(spark: SparkSession, uri: str) -> DataFrame:
-    """(file, line, value), lines from 1.
+    """(file, line, value, block), lines from 1; a folder's files follow each other by name.
 
-    A file up to WHOLE_BYTES is split in one task; a larger plain one by Hadoop's
-    splits, numbered by their counts.  Compressed files cannot be split.
+    A plain file of any size is read by Hadoop's splits; a line's number is its place in its
+    split plus the lines of the splits before it, of which there is one row each.  block
+    names the split, for sums and states that are carried over lines.  Compressed files
+    cannot be split; a gzip file of another name is unpacked by Python.
     """
     name = F.lit(uri)
-    gz = is_gzip(spark, uri)
-    if gz and not uri.endswith(".gz"):
+    if not is_folder(spark, uri) and is_gzip(spark, uri) and not uri.endswith(".gz"):
 
         def unpack(batches):
-            for pdf in batches:
-                for content in pdf["content"]:
-                    text = zlib.decompress(content, 47).decode("utf-8")
-                    pdf = pdf.iloc[:0][[]].assign(value=None)
-                    rows = text.split("\n")
-                    import pandas as pd
-
-                    yield pd.DataFrame({"line": range(1, len(rows) + 1), "value": rows})
-
-        rows = spark.read.format("binaryFile").load(uri).select("content").mapInPandas(unpack, "line long, value string")
-    elif gz or size(spark, uri) <= WHOLE_BYTES:
-        whole = spark.read.text(uri, wholetext=True)
-        rows = whole.select(F.posexplode(F.split("value", "\n")).alias("line", "value")).select((F.col("line") + 1).cast("long").alias("line"), "value")
+            for batch in batches:
+                for content in batch.column(0).to_pylist():
+                    rows = zlib.decompress(content, 47).decode("utf-8").split("\n")
+                    yield pa.record_batch([pa.array(range(1, len(rows) + 1), pa.int64()), pa.array(rows, pa.string())], names=["line", "value"])
+
+        rows = spark.read.format("binaryFile").load(uri).select("content").mapInArrow(unpack, "line long, value string").withColumn("block", F.lit(0).cast("long"))
     else:
-        rdd = spark.sparkContext.newAPIHadoopFile(uri, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-        rows = spark.createDataFrame(rdd.values().zipWithIndex().map(lambda x: (x[1] + 1, x[0])), "line long, value string")
-    return rows.select(name.alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"))
+        # rows of a split are neighbours in one partition, so their ids go up by one
+        text = spark.read.option("lineSep", "\n").text(uri).select("value", F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_id"))
+        by = Window.orderBy("_p", "_s")  # a row for each split
+        splits = text.groupBy("_p", "_s").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+        before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        splits = splits.select("_p", "_s", (F.row_number().over(by) - 1).cast("long").alias("block"), (before + 1 - F.col("_first")).alias("_shift"))
+        rows = text.join(F.broadcast(splits), ["_p", "_s"]).withColumn("line", F.col("_id") + F.col("_shift"))
+    return rows.select(name.alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"), "block")
+
+
+def carried_sum(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the running sum of value over the lines: within a block, plus the blocks before."""
+    rows = rows.withColumn("_v", value)
+    sums = rows.groupBy("block").agg(F.sum("_v").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    inside = F.sum("_v").over(Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_in", inside).join(F.broadcast(sums.select("block", before.alias("_before"))), "block").withColumn(name, F.col("_in") + F.col("_before")).drop("_v", "_in", "_before")
+
+
+def carried_last(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with the last value up to their line that is not null, from their block or those before."""
+    rows = rows.withColumn("_v", value)
+    lasts = rows.groupBy("block").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line"))).alias("_n"))
+    before = F.last("_n", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    inside = F.last("_v", ignorenulls=True).over(Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_in", inside).join(F.broadcast(lasts.select("block", before.alias("_before"))), "block").withColumn(name, F.coalesce("_in", "_before")).drop("_v", "_in", "_before")

@@ -48,7 +48,7 @@ def read_eggnog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         out.append(
             found.select(
                 "query_id", "analysis", "accession", (F.col("d") if best else _null("string")).alias("description"), _null("int").alias("protein_start"), _null("int").alias("protein_end"),
-                (F.col("s") if best else _null("double")).alias("score"), (F.col("e") if best else _null("double")).alias("evalue"), "line", (F.lit(turn * 100_000) + F.col("_i")).alias("turn"),
+                (F.col("s") if best else _null("double")).alias("score"), (F.col("e") if best else _null("double")).alias("evalue"), "line", (F.lit(turn << 32) + F.col("_i")).alias("turn"),
             )
         )
     return reduce(DataFrame.unionByName, out), rows.select(query.alias("query_id")).distinct()
@@ -66,10 +66,10 @@ def read_interproscan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     value = scalars.clean(c(8)).try_cast("double")
     small = scalars.is_evalue(value)
     hit = lambda analysis, accession, description, turn: F.struct(analysis.alias("analysis"), accession.alias("accession"), description.alias("description"), turn.alias("turn"))
-    own = F.array(hit(c(3), c(4), scalars.clean(c(5)), F.lit(0)))
-    entry = F.when(F.startswith(F.coalesce(c(11), F.lit("")), F.lit("IPR")), F.array(hit(F.lit("InterPro"), c(11), scalars.clean(c(12)), F.lit(1)))).otherwise(F.filter(own, lambda x: F.lit(False)))
+    own = F.array(hit(c(3), c(4), scalars.clean(c(5)), F.lit(0).cast("long")))
+    entry = F.when(F.startswith(F.coalesce(c(11), F.lit("")), F.lit("IPR")), F.array(hit(F.lit("InterPro"), c(11), scalars.clean(c(12)), F.lit(1).cast("long")))).otherwise(F.filter(own, lambda x: F.lit(False)))
     go = F.filter(F.transform(F.split(F.coalesce(scalars.clean(c(13)), F.lit("")), "\\|"), lambda x: F.trim(F.regexp_replace(x, "\\(.*\\)$", ""))), lambda x: x != "")
-    terms = F.transform(go, lambda x, i: hit(F.lit("GO"), x, _null("string"), i + 2))
+    terms = F.transform(go, lambda x, i: hit(F.lit("GO"), x, _null("string"), (i + 2).cast("long")))
     rows = rows.select(c(0).alias("query_id"), F.explode(F.concat(own, entry, terms)).alias("h"), "_s", "_e", F.when(~small, value).alias("score"), F.when(small, value).alias("evalue"), "line")
     hits = rows.select("query_id", "h.analysis", "h.accession", "h.description", F.col("_s").alias("protein_start"), F.col("_e").alias("protein_end"), "score", "evalue", "line", "h.turn")
     return hits, hits.select("query_id").distinct()

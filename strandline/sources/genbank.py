@@ -18,24 +18,22 @@ def records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A record's sequence is named by its VERSION, else by its LOCUS.  Wrapped values are
     joined with a space, but after a hyphen without one; a flag has the value "".
-    State is carried over the lines of one file; files are read apart.
+    State is carried over the lines of a file within its splits, then over the splits.
     """
-    text = files.lines(spark, path).select("line", "value")
-    run = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one file
+    text = files.lines(spark, path).select("line", "value", "block")
     locus = F.regexp_extract("value", "^LOCUS\\s+(\\S+)", 1)
     version = F.regexp_extract("value", "^VERSION\\s+(\\S+)", 1)
-    entry = F.sum((locus != "").cast("int")).over(run)
-    t = text.withColumn("entry", entry)
+    t = files.carried_sum(text, "entry", (locus != "").cast("int"))
     sized = t.filter(locus != "").select("entry", locus.alias("locus"), F.regexp_extract("value", "(\\d+)\\s+(?:bp|aa)", 1).try_cast("long").alias("length"), F.lower("value").rlike("\\scircular(\\s|$)").alias("circular"))
     named = t.filter(version != "").groupBy("entry").agg(F.max_by(version, "line").alias("version"))
     entries = sized.join(named, "entry", "left").select("entry", F.coalesce("version", "locus").alias("seqid"), "length", "circular")
     switch = F.when(F.startswith("value", F.lit("FEATURES")), True)
     for e in _ENDS:
         switch = switch.when(F.startswith("value", F.lit(e)), False)
-    t = t.withColumn("on", F.last(switch, ignorenulls=True).over(run)).filter(F.col("on") & ~F.startswith("value", F.lit("FEATURES")))
+    t = files.carried_last(t, "on", switch).filter(F.col("on") & ~F.startswith("value", F.lit("FEATURES")))
     key = F.regexp_extract("value", "^ {5}(\\S+)", 1)
-    t = t.withColumn("rec", F.sum((key != "").cast("int")).over(run)).filter("rec > 0").withColumn("key", key)
-    body = F.trim(F.substring("value", 22, 1_000_000))
+    t = files.carried_sum(t, "rec", (key != "").cast("int")).filter("rec > 0").withColumn("key", key)
+    body = F.trim(F.substr("value", F.lit(22)))
     qualifier = F.col("body").rlike("^/[A-Za-z0-9_'-]+(=|$)")
     t = t.withColumn("body", body).withColumn("q", F.sum(qualifier.cast("int")).over(Window.partitionBy("rec").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = t.groupBy("rec", "q").agg(F.min("line").alias("line"), F.max("entry").alias("entry"), F.max("key").alias("type"), F.array_sort(F.collect_list(F.struct("line", "body"))).alias("p"))
@@ -92,7 +90,7 @@ def read(spark: SparkSession, path: str, *, linkage: str = "auto") -> Annotation
     )
     rows = rows.withColumn("row_id", F.col("row_id") * 1000 + F.row_number().over(Window.partitionBy("row_id").orderBy("start")) - 1)
     directives = regions.select(F.lit(0).cast("long").alias("line"), "seqid", F.lit(1).cast("long").alias("start"), F.col("length").alias("end"))
-    comments = spark.createDataFrame([], "line long, text string")
+    comments = spark.createDataFrame([], "line long, text string, block long")
     out = problems[0]
     for p in problems[1:]:
         out = out.unionByName(p)

@@ -38,7 +38,7 @@ def read(spark: SparkSession, path: str, *, tolerate_inverted: bool = False) ->
         text = text.filter(F.col("line") < end)
     text = text.filter(F.trim("value") != "")
     comment = F.startswith("value", F.lit("#"))
-    comments = text.filter(comment).select("line", F.col("value").alias("text"))
+    comments = text.filter(comment).select("line", F.col("value").alias("text"), "block")
     region = "^##sequence-region\\s+(\\S+)\\s+(\\d+)\\s+(\\d+)"
     found = [F.regexp_extract("text", region, i) for i in (1, 2, 3)]
     directives = comments.filter(F.col("text").rlike(region)).select("line", scalars.percent_decode(found[0]).alias("seqid"), found[1].cast("long").alias("start"), found[2].cast("long").alias("end"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.sources import files
 from strandline.sources.gff3 import AnnotationFile
 
 EXPORT_PRAGMA = "##strandline-export"
@@ -15,14 +16,14 @@ EXPORT_PRAGMA = "##strandline-export"
 
 def augustus_proteins(comments: DataFrame) -> DataFrame:
     """gene, protein from the comment blocks that follow "# start gene"."""
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the comments of one file
+    comments = comments if "block" in comments.columns else comments.withColumn("block", F.lit(0).cast("long"))
     gene = F.regexp_extract("text", "^# start gene (\\S+)", 1)
     opens = F.contains("text", F.lit("protein sequence = ["))
-    rows = comments.withColumn("gene", F.last(F.when(gene != "", gene), ignorenulls=True).over(w)).withColumn("block", F.sum(opens.cast("int")).over(w)).filter("block > 0 and gene is not null")
+    rows = files.carried_sum(files.carried_last(comments, "gene", F.when(gene != "", gene)), "chain", opens.cast("int")).filter("chain > 0 and gene is not null")
     closes = F.contains("text", F.lit("]"))
-    rows = rows.withColumn("closed", F.coalesce(F.sum(closes.cast("int")).over(Window.partitionBy("block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("closed = 0")
+    rows = rows.withColumn("closed", F.coalesce(F.sum(closes.cast("int")).over(Window.partitionBy("chain").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("closed = 0")
     body = F.regexp_extract("text", "^#\\s*(?:protein sequence = \\[)?\\s*([A-Za-z*]*)", 1)
-    g = rows.groupBy("block", "gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", body.alias("b")))), lambda x: x["b"]), "").alias("protein"))
+    g = rows.groupBy("chain", "gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", body.alias("b")))), lambda x: x["b"]), "").alias("protein"))
     return g.select("gene", "protein")
 
 
@@ -63,6 +64,11 @@ class DialectError(ValueError):
     """No dialect fits, or more than one does."""
 
 
+def _producers(file: AnnotationFile) -> str:
+    """The first ten producers by name, for a message."""
+    return ", ".join(r[0] for r in file.rows.select("program").distinct().orderBy("program").limit(10).collect())
+
+
 def detect(file: AnnotationFile, override: str | None = None, profiles: list[Profile] = PROFILES) -> tuple[Profile, str, str]:
     """(profile, confidence, evidence).  The export pragma outranks column 2; else exactly one
     profile's producers must appear in column 2, and its header makes that certain."""
@@ -75,10 +81,10 @@ def detect(file: AnnotationFile, override: str | None = None, profiles: list[Pro
         return by_name["export"], "HIGH", "export header"
     if file.format == "genbank":
         return by_name["genbank"], "HIGH", "GenBank flat file"
-    found = {r[0] for r in file.rows.select("program").distinct().limit(1000).collect()}  # producers, a handful
+    found = {r[0] for r in file.rows.select("program").distinct().filter(F.col("program").isin([x for p in profiles for x in p.sources])).collect()}  # at most those that profiles name
     fits = [p for p in profiles if set(p.sources) & found]
     if len(fits) != 1:
-        raise DialectError(f"{'no' if not fits else 'more than one'} dialect fits producers {', '.join(sorted(found))}")
+        raise DialectError(f"no dialect fits: {_producers(file)}" if not fits else f"more than one dialect fits producers {', '.join(sorted(found))}")
     p = fits[0]
     sure = p.header is not None and not file.comments.filter(F.col("text").rlike(p.header)).isEmpty()
     return p, "HIGH" if sure else "MEDIUM", f"producer {', '.join(sorted(set(p.sources) & found))}" + (" and header" if sure else "")

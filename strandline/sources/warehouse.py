@@ -1,18 +1,20 @@
 """The store: Parquet tables of each assembly, published in one step.
 
-root/_catalog.json            what is loaded: id, label, folder; swapped atomically
-root/assemblies/<slug>-<id>/  sequence, source_file, feature, attribute, annotation,
-                              annotation_run (Parquet) and manifest.json
+root/_catalog/<revision>.json what is loaded: id, label, folder; the last revision holds
+root/assemblies/<slug>-<id>/  sequence, source_file, feature, attribute, protein,
+                              annotation, annotation_run (Parquet) and manifest.json
+root/functional/<id>/         annotation and annotation_run of a table attached later
 
 A load is written under root/.staging, counted again from what was stored, renamed,
 and then named in the catalog; whatever fails before that leaves the catalog as it was.
+A revision is published by a rename that fails where another writer was first.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -20,13 +22,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars, vocabulary
-from strandline.functions.bins import bin_of
+from strandline.functions.bins import bin_of, overlapping
 from strandline.operators import envelope, export_rows, functional, graph, hierarchy, intervals, load_checks, reconcile, segments
 from strandline.operators.normalise import normalise
-from strandline.sources import fasta, files, functional_files, genbank, gff3, profiles, recount
+from strandline.sources import bgzf, fasta, files, functional_files, genbank, gff3, profiles, recount
 from strandline.sources.config import OrganismConfig
-
-TABLES = ["sequence", "source_file", "feature", "attribute", "annotation", "annotation_run"]
+from strandline.sources.published import protein_fasta
+
+TABLES = ["sequence", "source_file", "feature", "attribute", "protein", "annotation", "annotation_run"]
+ADDED = ["annotation", "annotation_run"]  # tables that attached runs add to
+SCHEMAS = {
+    "annotation": "feature_id long, query_id string, analysis string, accession string, description string, protein_start int, protein_end int, score double, evalue double, run string",
+    "annotation_run": "run string, path string, tool string, sha256 string, queries long, matched long, unmatched long, hits long",
+    "protein": "gene string, protein string",
+}
+# Types of two formats that name one family.
+FAMILIES = [("gene", ["gene", "pseudogene"]), ("mRNA", ["mrna", "transcript"]), ("CDS", ["cds"]), ("tRNA", ["trna"]), ("rRNA", ["rrna"]), ("ncRNA", ["ncrna", "lnc_rna", "snrna", "snorna"])]
 VERSION = "1"
 
 
@@ -61,22 +72,34 @@ class Warehouse:
     @classmethod
     def create(cls, spark: SparkSession, root: str, *, force: bool = False) -> Warehouse:
         w = cls(spark, root)
-        if files.exists(spark, f"{w.root}/_catalog.json"):
+        if w._revision():
             if not force:
                 raise Refused(f"{root} is a store already")
             files.remove(spark, w.root)
-        w._publish({"vocabulary_version": vocabulary.VERSION, "vocabulary_hash": vocabulary.content_hash(), "store_id": uuid.uuid4().hex, "next_id": 1, "assemblies": []})
+        w._publish({"revision": 0, "vocabulary_version": vocabulary.VERSION, "vocabulary_hash": vocabulary.content_hash(), "store_id": uuid.uuid4().hex, "next_id": 1, "assemblies": []})
         return w
 
+    def _revision(self) -> int:
+        return max((int(n.split(".")[0]) for n in files.list_names(self.spark, f"{self.root}/_catalog") if n.endswith(".json")), default=0)
+
     def _publish(self, catalog: dict) -> None:
+        """The revision after the one that this catalog was read from."""
+        n = catalog["revision"] + 1
         aside = f"{self.root}/.catalog-{uuid.uuid4().hex}"
-        files.write_text(self.spark, aside, json.dumps(catalog, indent=1))
-        files.rename(self.spark, aside, f"{self.root}/_catalog.json", replace=True)
+        files.write_text(self.spark, aside, json.dumps(catalog | {"revision": n}, indent=1))
+        try:
+            files.rename(self.spark, aside, f"{self.root}/_catalog/{n:08d}.json")
+        except Exception as e:
+            files.remove(self.spark, aside)
+            if self._revision() >= n:
+                raise Refused("another writer changed the store meanwhile") from e
+            raise
 
     def catalog(self) -> dict:
-        if not files.exists(self.spark, f"{self.root}/_catalog.json"):
+        n = self._revision()
+        if not n:
             raise Refused(f"{self.root} is no store")
-        c = json.loads(files.read_bytes(self.spark, f"{self.root}/_catalog.json"))
+        c = json.loads(files.read_bytes(self.spark, f"{self.root}/_catalog/{n:08d}.json"))
         if c["vocabulary_hash"] != vocabulary.content_hash():
             raise Refused("the store was made with another vocabulary")
         return c
@@ -88,7 +111,9 @@ class Warehouse:
         raise Refused(f"no assembly {assembly_id}")
 
     def table(self, assembly_id: int, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._assembly(assembly_id)['folder']}/{name}")
+        entry = self._assembly(assembly_id)
+        folders = [entry["folder"], *(entry.get("functional", []) if name in ADDED else [])]
+        return self.spark.read.parquet(*[f"{self.root}/{f}/{name}" for f in folders])
 
     def manifest(self, assembly_id: int) -> dict:
         return json.loads(files.read_bytes(self.spark, f"{self.root}/{self._assembly(assembly_id)['folder']}/manifest.json"))
@@ -115,21 +140,38 @@ class Warehouse:
             raise
         entry = {"assembly_id": assembly_id, "label": config.label, "folder": folder, "organism": f"{config.genus} {config.species}", "strain": config.strain, "loaded_at": datetime.now(UTC).isoformat(timespec="seconds")}
         kept = [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]
-        self._publish(catalog | {"assemblies": [*kept, entry], "next_id": max(catalog["next_id"], assembly_id + 1)})
+        try:
+            self._publish(catalog | {"assemblies": [*kept, entry], "next_id": max(catalog["next_id"], assembly_id + 1), "organisms": _upserted(catalog.get("organisms", []), config)})
+        except BaseException:
+            files.remove(spark, f"{self.root}/{folder}")
+            raise
         for a in same:
-            files.remove(spark, f"{self.root}/{a['folder']}")
+            for f in (a["folder"], *a.get("functional", [])):
+                files.remove(spark, f"{self.root}/{f}")
         report.folder = folder
         return report
 
+    def register(self, config: OrganismConfig, *, force: bool = False) -> LoadReport:
+        """An assembly of sequences alone: its annotation may be loaded later, with force."""
+        if not config.fasta:
+            raise Refused("an assembly is registered by its sequence file")
+        return self.load(replace(config, annotations=(), functional=()), force=force)
+
+    def organisms(self) -> DataFrame:
+        """genus, species, ncbi_taxon_id, common_name, strain: each once, whatever was loaded of it."""
+        rows = [(o["genus"], o["species"], o["ncbi_taxon_id"], o["common_name"], s) for o in self.catalog().get("organisms", []) for s in o["strains"]]
+        return self.spark.createDataFrame(rows, "genus string, species string, ncbi_taxon_id int, common_name string, strain string")
+
     def _read(self, path: str, linkage: str, repair: bool) -> gff3.AnnotationFile:
         if gff3.looks_like_genbank(self.spark, path):
             return genbank.read(self.spark, path, linkage=linkage)
         return gff3.read(self.spark, path, tolerate_inverted=repair)
 
     def _stage(self, config: OrganismConfig, assembly_id: int, staging: str, repair: bool, strict: bool) -> LoadReport:
-        spark, warnings, all_rows, source_files, read, repairs = self.spark, [], [], [], [], 0
+        spark, warnings, all_rows, source_files, read, proteins_found, repairs = self.spark, [], [], [], [], [], 0
         for i, entry in enumerate(config.annotations, 1):
             f = self._read(entry.path, entry.linkage, repair)
+            f.rows = graph._cut(f.rows)  # the text is parsed once for rows, once for problems
             n, text = _show(f.problems)
             if n:
                 raise Refused(f"{entry.path}: {n} problems in the text: {text}")
@@ -138,7 +180,12 @@ class Warehouse:
             n, text = _show(found.problems)
             if n:
                 raise Refused(f"{entry.path}: {n} problems: {text}")
-            rows = found.rows.withColumn("file_id", F.lit(i).cast("int"))
+            rows = graph._cut(found.rows.withColumn("file_id", F.lit(i).cast("int")))
+            n, text = _show(rows.filter("source_id is not null").groupBy("seqid", "source_id", "start", "end").agg(F.count("*").alias("n")).filter("n > 1"))
+            if n:
+                raise Refused(f"{entry.path}: {n} rows come twice: {text}")
+            if profile.extract:
+                proteins_found.append(profile.extract(f.comments))
             if profile.expected:
                 types = spark.createDataFrame([(t,) for t in profile.expected], "source_type string")
                 missing = [r[0] for r in types.join(rows.select("source_type").distinct(), "source_type", "left_anti").collect()]
@@ -148,14 +195,15 @@ class Warehouse:
             unknown = rows.select("source_type").distinct().join(known, "source_type", "left_anti")
             if strict and not unknown.isEmpty():
                 raise Refused(f"{entry.path}: undeclared types: {', '.join(sorted(r[0] for r in unknown.limit(20).collect()))}")
-            rows, changed = self._envelopes(rows, entry.path, repair)
+            rows, changed, explained = self._envelopes(rows, f.directives, entry.path, repair)
             repairs += changed
+            warnings += [f"{entry.path}: {x}" for x in explained]
             all_rows.append(rows)
             read.append((i, entry, f, profile))
             source_files.append((i, entry.path, files.sha256(spark, entry.path), f.format, profile.name, confidence, evidence, entry.id_prefix))
-        if not all_rows:
+        if not all_rows and not config.fasta:
             raise Refused("no annotation file")
-        rows = reduce(DataFrame.unionByName, all_rows)
+        rows = reduce(DataFrame.unionByName, all_rows) if all_rows else self._no_rows()
         n, text = _show(load_checks.cross_file_collisions(rows.withColumnRenamed("file_id", "file")))
         if n:
             raise Refused(f"{n} IDs in more than one file: {text}")
@@ -176,8 +224,10 @@ class Warehouse:
             if n:
                 warnings.append(f"{entry.path}: {n} declared lengths differ from the sequences: {text}")
         self._write(staging, assembly_id, rows, sequences, source_files)
+        proteins = reduce(DataFrame.unionByName, proteins_found) if proteins_found else spark.createDataFrame([], SCHEMAS["protein"])
+        proteins.write.parquet(f"{staging}/protein")
         for entry in config.functional:
-            self._attach(staging, entry.path, entry.tool, entry.minimum_match_rate)
+            self._attach(staging, staging, spark.read.parquet(f"{staging}/annotation_run"), entry.path, entry.tool, entry.minimum_match_rate)
         tiers = self._check(staging, read)
         if any(t["outcome"] == "FAIL" for t in tiers):
             raise Refused(f"what was stored is not what was read: {[t for t in tiers if t['outcome'] == 'FAIL']}")
@@ -187,23 +237,47 @@ class Warehouse:
         files.write_text(spark, f"{staging}/manifest.json", json.dumps(manifest, indent=1))
         return LoadReport(assembly_id, "", total.f, total.n, repairs, warnings, tiers)
 
-    def _envelopes(self, rows: DataFrame, path: str, repair: bool) -> tuple[DataFrame, int]:
-        """rows after the envelope policy: a child outside its parent is refused, or the parent
-        widened; rows of trans-spliced features are exempt."""
+    def _no_rows(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], f"row_id long, seqid string, program string, source_type string, start long, end long, score double, strand string, phase long, inverted boolean, attributes {gff3.ATTRIBUTES}, source_id string, parents array<string>")
+        return normalise(empty, profiles.PROFILES[1]).rows.withColumn("file_id", F.lit(0).cast("int"))
+
+    def _envelopes(self, rows: DataFrame, directives: DataFrame, path: str, repair: bool) -> tuple[DataFrame, int, list[str]]:
+        """(rows, repairs, what is explained) after the envelope policy: a child outside its
+        parent is refused, or the parent widened.
+
+        What the origin of a circle explains is stored as written and named: one of the two
+        runs past the length of a circular sequence, and one is trans-spliced.
+        """
         f = envelope.envelopes(rows)
-        exempt = rows.filter(F.exists(scalars.all_values(F.col("attributes"), "exception"), lambda v: F.contains(F.replace(F.lower(v), F.lit("_"), F.lit(" ")), F.lit("trans-splicing")))).select(F.col("source_id").alias("id")).distinct()
+        trans = F.exists(scalars.all_values(F.col("attributes"), "exception"), lambda v: F.contains(F.replace(F.lower(v), F.lit("_"), F.lit(" ")), F.lit("trans-splicing")))
+        spliced = rows.filter(trans).select(F.col("source_id").alias("_x")).distinct()
+        circle = rows.filter("source_type = 'region'").filter(F.lower(scalars.first_value(F.col("attributes"), "Is_circular")) == "true").groupBy("seqid").agg(F.max("end").alias("length"))
+        declared = directives.join(circle.select("seqid"), "seqid", "left_semi").groupBy("seqid").agg(F.max("end").alias("declared"))
+        circle = circle.join(declared, "seqid", "left").select(F.col("seqid").alias("_seq"), F.coalesce("declared", "length").alias("length"))
+        place = rows.filter("source_id is not null").groupBy(F.col("source_id").alias("_p")).agg(F.min("seqid").alias("seqid"))
+
+        def judged(features: DataFrame) -> DataFrame:
+            """Children outside their parent, and whether the origin explains it."""
+            v = envelope.violations(features).join(place, F.col("parent_id") == F.col("_p")).join(circle, F.col("seqid") == F.col("_seq"), "left")
+            v = v.join(spliced, (F.col("id") == F.col("_x")), "left").withColumn("_child", F.col("_x").isNotNull()).drop("_x")
+            v = v.join(spliced, (F.col("parent_id") == F.col("_x")), "left").withColumn("_parent", F.col("_x").isNotNull()).drop("_x")
+            past = F.coalesce(F.greatest("end", "parent_end") > F.col("length"), F.lit(False))
+            return v.select("id", "parent_id", "start", "end", "parent_start", "parent_end", (past & (F.col("_child") | F.col("_parent"))).alias("explained"))
+
         if not repair:
-            n, text = _show(envelope.violations(f).join(exempt, "id", "left_anti"))
+            found = graph._cut(judged(f))
+            n, text = _show(found.filter("not explained").drop("explained"))
             if n:
                 raise Refused(f"{path}: {n} features lie outside their parent: {text}")
-            return rows, 0
+            n, text = _show(found.filter("explained").drop("explained"))
+            return rows, 0, [f"{n} features cross the origin of a circular sequence: {text}"] if n else []
         fixed = graph._cut(envelope.repair(f).filter("start <> old_start or end <> old_end").select(F.col("id").alias("_id"), F.col("start").alias("_lo"), F.col("end").alias("_hi")))
         rows = rows.join(fixed, F.col("source_id") == F.col("_id"), "left")
         rows = rows.withColumn("start", F.coalesce("_lo", "start")).withColumn("end", F.coalesce("_hi", "end")).drop("_id", "_lo", "_hi")
         n, text = _show(rows.filter("start > end").select("source_id", "row_id"))
         if n:
             raise Refused(f"{path}: {n} inverted rows that no child explains: {text}")
-        return rows, fixed.count()
+        return rows, fixed.count(), []
 
     def _sequences(self, config: OrganismConfig, read: list, rows: DataFrame) -> DataFrame:
         circular = rows.filter("source_type = 'region'").filter(F.lower(scalars.first_value(F.col("attributes"), "Is_circular")) == "true").select("seqid").distinct().withColumn("circular", F.lit(True))
@@ -234,12 +308,12 @@ class Warehouse:
         stored.repartitionByRange("seqid", "start").sortWithinPartitions("seqid", "start").write.parquet(f"{staging}/feature")
         attributes = rows.select("feature_id", F.posexplode("stored_attributes").alias("position", "a")).filter("a.key <> 'linkage_method'").select("feature_id", "position", "a.key", F.posexplode("a.values").alias("ordinal", "value"))
         attributes.write.parquet(f"{staging}/attribute")
-        spark.createDataFrame([], "feature_id long, query_id string, analysis string, accession string, description string, protein_start int, protein_end int, score double, evalue double, run string").write.parquet(f"{staging}/annotation")
-        spark.createDataFrame([], "run string, path string, tool string, sha256 string, queries long, matched long, unmatched long, hits long").write.parquet(f"{staging}/annotation_run")
+        for t in ADDED:
+            spark.createDataFrame([], SCHEMAS[t]).write.parquet(f"{staging}/{t}")
 
-    def _attach(self, folder: str, path: str, tool: str | None, minimum: float) -> dict:
+    def _attach(self, folder: str, out: str, runs: DataFrame, path: str, tool: str | None, minimum: float) -> dict:
+        """Matches a functional table with the features in folder and adds it to the tables in out."""
         spark = self.spark
-        runs = spark.read.parquet(f"{folder}/annotation_run")
         if not runs.filter(F.col("path") == path).isEmpty():
             raise Refused(f"{path} is attached already")
         tool, hits, queries = functional_files.read(spark, path, tool)
@@ -257,29 +331,26 @@ class Warehouse:
         run = uuid.uuid4().hex
         named = hits.join(resolved.filter("n = 1").select("query_id", "feature_id"), "query_id")
         kept = functional.deduplicated(named, [F.col("line"), F.col("turn")]).select("feature_id", "query_id", "analysis", "accession", "description", "protein_start", "protein_end", "score", "evalue", F.lit(run).alias("run"))
-        kept.write.mode("append").parquet(f"{folder}/annotation")
-        n = spark.read.parquet(f"{folder}/annotation").filter(F.col("run") == run).count()
+        kept.write.mode("append").parquet(f"{out}/annotation")
+        n = spark.read.parquet(f"{out}/annotation").filter(F.col("run") == run).count()
         row = (run, path, tool, files.sha256(spark, path), rate.queries, rate.matched, rate.unmatched, n)
-        spark.createDataFrame([row], runs.schema).coalesce(1).write.mode("append").parquet(f"{folder}/annotation_run")
+        spark.createDataFrame([row], SCHEMAS["annotation_run"]).coalesce(1).write.mode("append").parquet(f"{out}/annotation_run")
         return {"queries": rate.queries, "matched": rate.matched, "unmatched": rate.unmatched, "hits": n, "rate": rate.rate}
 
     def attach_functional(self, assembly_id: int, path: str, *, tool: str | None = None, minimum_match_rate: float = 1.0) -> dict:
-        """Adds a functional table to an assembly that is loaded: both tables are written in a
-        copy that replaces the old ones with the catalog's next version."""
+        """Adds a functional table to an assembly that is loaded: its rows lie in a folder of their
+        own, which the catalog's next revision names."""
         catalog, entry = self.catalog(), self._assembly(assembly_id)
-        old, aside = f"{self.root}/{entry['folder']}", f"{self.root}/.staging/{uuid.uuid4().hex}"
+        aside = f"{self.root}/.staging/{uuid.uuid4().hex}"
+        folder = f"functional/{uuid.uuid4().hex}"
         try:
-            for t in TABLES:
-                self.spark.read.parquet(f"{old}/{t}").write.parquet(f"{aside}/{t}")
-            files.write_text(self.spark, f"{aside}/manifest.json", files.read_bytes(self.spark, f"{old}/manifest.json").decode())
-            report = self._attach(aside, path, tool, minimum_match_rate)
-            folder = entry["folder"].rsplit("-", 1)[0] + f"-{uuid.uuid4().hex[:8]}"
+            report = self._attach(f"{self.root}/{entry['folder']}", aside, self.table(assembly_id, "annotation_run"), path, tool, minimum_match_rate)
             files.rename(self.spark, aside, f"{self.root}/{folder}")
+            self._publish(catalog | {"assemblies": [a | {"functional": [*a.get("functional", []), folder]} if a["assembly_id"] == assembly_id else a for a in catalog["assemblies"]]})
         except BaseException:
             files.remove(self.spark, aside)
+            files.remove(self.spark, f"{self.root}/{folder}")
             raise
-        self._publish(catalog | {"assemblies": [a | {"folder": folder} if a["assembly_id"] == assembly_id else a for a in catalog["assemblies"]]})
-        files.remove(self.spark, old)
         return report
 
     # -- verification --------------------------------------------------------------
@@ -299,8 +370,15 @@ class Warehouse:
         end = text.filter(F.startswith("value", F.lit("##FASTA"))).agg(F.min("line")).first()[0]
         return recount.count_lines(text if end is None else text.filter(F.col("line") < end))
 
-    def verify(self, assembly_id: int, *, published: DataFrame | None = None) -> DataFrame:
-        """(tier, subject, outcome, detail) of every tier; an input that has changed is SKIPPED."""
+    def verify(self, assembly_id: int, *, published: DataFrame | None = None, sequences_in_assembly: int | None = None, against: str | None = None, every_tier: bool = False) -> DataFrame:
+        """(tier, subject, outcome, detail) of every tier; an input that has changed is SKIPPED.
+
+        published: counts as read_published() gives them for an accession and unit; they are
+        compared only where as many sequences are loaded as the assembly has, if that is said.
+        against: another file of the same annotation, in either format, whose features are
+        counted and compared by family.  every_tier: tiers that were not asked for are named
+        as SKIPPED.
+        """
         feature, out = self.table(assembly_id, "feature"), []
         for r in self.table(assembly_id, "source_file").orderBy("file_id").collect():
             mine = feature.filter(F.col("file_id") == r.file_id)
@@ -318,7 +396,21 @@ class Warehouse:
             out.append({"tier": "assembly", "subject": path, "outcome": "PASS" if same else "FAIL", "detail": "" if same else "the sequence file is gone or has changed"})
         else:
             out.append({"tier": "assembly", "subject": "", "outcome": "SKIPPED", "detail": "no sequence file"})
-        if published is not None:
+        loaded = self.table(assembly_id, "sequence").count()
+        if against is None and every_tier:
+            out.append({"tier": "cross format", "subject": "", "outcome": "SKIPPED", "detail": "no other file"})
+        elif against is not None:
+            families = self.spark.createDataFrame([("x", t, f) for f, types in FAMILIES for t in types], "side string, type string, family string")
+            other = self._naive(against, "genbank" if gff3.looks_like_genbank(self.spark, against) else "gff3").select("source_type", F.col("features").alias("n"))
+            mine = feature.groupBy("source_type").agg(segments.feature_count().alias("n"))
+            bad = reconcile.compare_counts(reconcile.folded(other, families, "x"), reconcile.folded(mine, families, "x"), "family").filter("delta <> 0")
+            n, text = _show(bad)
+            out.append({"tier": "cross format", "subject": against, "outcome": "FAIL" if n else "PASS", "detail": text})
+        if published is None and every_tier:
+            out.append({"tier": "published counts", "subject": "", "outcome": "SKIPPED", "detail": "no counts"})
+        elif published is not None and sequences_in_assembly not in (None, loaded):
+            out.append({"tier": "published counts", "subject": "", "outcome": "SKIPPED", "detail": f"{loaded} of {sequences_in_assembly} sequences are loaded"})
+        elif published is not None:
             counts = feature.groupBy("source_type").agg(segments.feature_count().alias("n"))
             folded = counts.groupBy(F.when(F.col("source_type") == "pseudogene", "gene").otherwise(F.col("source_type")).alias("source_type")).agg(F.sum("n").alias("n"))
             wanted = published.select(F.col("feature").alias("source_type"), "n")
@@ -331,9 +423,10 @@ class Warehouse:
     # -- questions -------------------------------------------------------------------
 
     def stats(self, by: str = "source_type") -> DataFrame:
-        """assembly_id, the type (source_type or feature_type), features."""
-        out = [self.table(a["assembly_id"], "feature").groupBy("assembly_id", by).agg(segments.feature_count().alias("features")) for a in self.catalog()["assemblies"]]
-        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], f"assembly_id int, {by} string, features long")
+        """assembly_id, the type (source_type or feature_type, or both), features."""
+        by = ["source_type", "feature_type"] if by == "both" else [by]
+        out = [self.table(a["assembly_id"], "feature").groupBy("assembly_id", *by).agg(segments.feature_count().alias("features")) for a in self.catalog()["assemblies"]]
+        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], f"assembly_id int, {', '.join(f'{b} string' for b in by)}, features long")
 
     def region(self, assembly_id: int, text: str) -> tuple[str, int, int, bool, int]:
         """(seqid, start, end, circular, length): the whole text as a name first, else up to the last colon."""
@@ -358,8 +451,7 @@ class Warehouse:
         """Features with a row in the region; on a circular sequence also past its end."""
         seqid, lo, hi, circular, length = self.region(assembly_id, text)
         feature = self.table(assembly_id, "feature")
-        at = lambda a, b: (F.col("start") <= b) & (F.col("end") >= a)
-        where = at(lo, hi) | at(lo + length, hi + length) if circular else at(lo, hi)
+        where = overlapping(lo, hi) | overlapping(lo + length, hi + length) if circular else overlapping(lo, hi)
         return self._answer(feature, feature.filter((F.col("seqid") == seqid) & where), **options)
 
     def with_term(self, assembly_id: int, term: str, *, analysis: str | None = None, descendants: bool = False, ancestors: bool = False) -> DataFrame:
@@ -387,15 +479,48 @@ class Warehouse:
             rows = rows.unionByName(feature.join(names, F.col("source_id") == F.col("_n"), "left_semi")).distinct()
         whole = intervals.whole_features(feature.withColumn("row_id", F.col("feature_id")), rows.select(F.col("feature_id").alias("row_id"), "source_id"))
         grouped = segments.regroup(whole)
-        tops = graph.roots(edges.distinct()).select(F.col("id").alias("_t"), F.col("root").alias("top_level"))
+        grouped = graph._cut(grouped)
+        # upwards from the answer, whose size it follows
+        above = graph.closure(edges, grouped.filter("source_id is not null").select(F.col("source_id").alias("id")), up=True)
+        tops = above.groupBy(F.col("start").alias("_t")).agg(F.max_by("id", "depth").alias("top_level"))
         out = grouped.join(tops, F.col("source_id") == F.col("_t"), "left").drop("_t").withColumn("top_level", F.coalesce("top_level", "source_id"))
         key = F.coalesce("source_id", F.concat(F.lit("\x00"), F.col("first_row").cast("string")))
         out = graph._cut(out.withColumn("_key", key))
-        rank = F.row_number().over(Window.orderBy("seqid", "start", "end", "first_row"))  # the features of one answer
-        order = out.select(F.col("_key").alias("id"), rank.alias("rank"))
+        order = out.select(F.col("_key").alias("id"), F.struct("seqid", "start", "end", "first_row").alias("rank"))
         place = graph.depth_first(out.select(F.col("_key").alias("id"), "parent_id"), order).select(F.col("id").alias("_i"), F.col("path").alias("place"))
         return out.join(place, F.col("_key") == F.col("_i")).drop("_i", "_key").orderBy("place")
 
+    def answer_tsv(self, answer: DataFrame, *, description: str = "", assembly_id: int | None = None, term: str | None = None, analysis: str | None = None) -> DataFrame:
+        """(value): the lines of a table of an answer, in its order; with a term, a line for each
+        of its hits on a feature.  Write it with one partition or by parts in order."""
+        names = ["source_id", "source_type", "seqid", "start", "end", "strand", "n_segments", "parent_id", "top_level"]
+        more = ["analysis", "accession", "description", "protein_start", "protein_end", "evalue"] if term is not None else []
+        rows = answer
+        if term is not None:
+            variants = self.spark.range(1).select(F.lit(term).alias("t")).select(scalars.term_variants(F.col("t"))).first()[0]
+            hits = functional.with_term(self.table(assembly_id, "annotation"), variants, analysis).join(self.table(assembly_id, "feature").select("feature_id", F.col("source_id").alias("_s")), "feature_id")
+            rows = rows.join(hits.select("_s", *more), F.col("source_id") == F.col("_s"), "left")
+        cell = lambda c: scalars.score_text(F.col(c)) if c == "evalue" else F.col(c).cast("string")
+        order = [F.col("place"), *[F.col(c) for c in more[:2]]]
+        body = rows.orderBy(*order).select(F.concat_ws("\t", *[F.coalesce(F.when(F.col(c).isNotNull(), cell(c)), F.lit("")) for c in [*names, *more]]).alias("value"))
+        head = self.spark.createDataFrame([(x,) for x in (f"# {description}", "\t".join([*names, *more]))], "value string")
+        return head.unionByName(body)
+
+    def answer_gff3(self, assembly_id: int, answer: DataFrame) -> DataFrame:
+        """(seqid, start, end, name, line) of the rows of an answer's features and of all above them."""
+        feature = self.table(assembly_id, "feature")
+        edges = feature.filter("source_id is not null").select(F.col("source_id").alias("id"), "parent_id")
+        named = answer.filter("source_id is not null").select(F.col("source_id").alias("id")).distinct()
+        wanted = graph.closure(edges, named, up=True).select(F.col("id").alias("_w")).distinct()
+        lines = self._lines(assembly_id)
+        alone = answer.filter("source_id is null").select(F.col("first_row").alias("_w"))
+        out = lines.join(wanted, F.col("name") == F.col("_w"), "left_semi").unionByName(lines.join(alone, F.col("feature_id") == F.col("_w"), "left_semi"))
+        return out.select("seqid", "start", "end", "name", "line")
+
+    def export_proteins(self, assembly_id: int) -> DataFrame:
+        """(gene, value): records of the proteins that the producer wrote beside its genes."""
+        return protein_fasta(self.table(assembly_id, "protein"))
+
     def explain(self, identifier: str, assembly_id: int | None = None) -> DataFrame:
         """Where an identifier is: assembly, type, place, parent, children, terms."""
         out = []
@@ -428,22 +553,42 @@ class Warehouse:
         return rows.select("seqid", "start", "end", "f_start", "f_end", "source_type", F.coalesce("source_id", F.lit("")).alias("name"), "feature_id", export_rows.gff3_line(F.col("linkage_method")).alias("line"))
 
     def export_gff3(self, assembly_id: int) -> DataFrame:
-        """(ordinal, value): the lines of the file, in order: header, sequences, features by
+        """(value): the lines of the file, in order: header, sequences, features by
         (sequence, start, end, type, ID), the rows of one by start."""
+        return self._sorted_lines(assembly_id).orderBy("a", "b", "c", "d", "e", "f", "value").select("value")
+
+    def write_gff3(self, assembly_id: int, uri: str) -> str:
+        """The same lines as files of a folder that follow each other by name."""
+        return files.write_lines(self._sorted_lines(assembly_id), uri, "a", "b", "c", "d", "e", "f", "value")
+
+    def _sorted_lines(self, assembly_id: int) -> DataFrame:
         seqs = self.table(assembly_id, "sequence").orderBy("seqid").collect()  # a row for each sequence
         head = ["##gff-version 3", f"{profiles.EXPORT_PRAGMA} version={VERSION} vocabulary={vocabulary.content_hash()}", *[f"##sequence-region {s.seqid} 1 {s.length}" for s in seqs]]
-        top = self.spark.createDataFrame([("", i, 0, "", "", 0, x) for i, x in enumerate(head)], "a string, b long, c long, d string, e string, f long, value string")
-        rows = self._lines(assembly_id).select(F.concat(F.lit("\x01"), "seqid").alias("a"), F.col("f_start").alias("b"), F.col("f_end").alias("c"), F.col("source_type").alias("d"), F.col("name").alias("e"), F.col("start").alias("f"), F.col("line").alias("value"))
-        return top.unionByName(rows).orderBy("a", "b", "c", "d", "e", "f", "value").select("value")
+        rows, top = self._ordered(assembly_id), self.spark.createDataFrame([("", i, 0, "", "", 0, x) for i, x in enumerate(head)], "a string, b long, c long, d string, e string, f long, value string")
+        return top.unionByName(rows)
+
+    def _ordered(self, assembly_id: int) -> DataFrame:
+        """(a to f, value): the lines of all rows and what they are sorted by."""
+        return self._lines(assembly_id).select(F.concat(F.lit("\x01"), "seqid").alias("a"), F.col("f_start").alias("b"), F.col("f_end").alias("c"), F.col("source_type").alias("d"), F.col("name").alias("e"), F.col("start").alias("f"), F.col("line").alias("value"))
 
     def export_indexed(self, assembly_id: int) -> tuple[bytes, bytes | None]:
-        """Blocked gzip text and its index, sequences in the order of the assembly; rows come
-        sorted from the executors, a partition at a time."""
-        from strandline.sources import bgzf
+        """Blocked gzip text and its index as bytes, for small assemblies."""
+        return bgzf.to_bytes(*self._packed(assembly_id))
+
+    def write_indexed(self, assembly_id: int, uri: str) -> bool:
+        """The same as files uri and uri.tbi; False if rows end past what an index can address.
+
+        Executors compress and index their share of the rows; the driver copies block by
+        block and moves the index entries to their place.
+        """
+        return bgzf.to_files(self.spark, *self._packed(assembly_id), uri)
 
+    def _packed(self, assembly_id: int) -> tuple[DataFrame, list[str], list[str]]:
         order = self.table(assembly_id, "sequence").select("seqid", "ordinal")
-        rows = self._lines(assembly_id).join(order, "seqid").orderBy("ordinal", "start", "end", "name", "feature_id").select("seqid", "start", "end", "line")
-        return bgzf.write_indexed(((r.seqid, r.start, r.end, r.line) for r in rows.toLocalIterator()), ["##gff-version 3"])
+        names = [r.seqid for r in order.orderBy("ordinal").collect()]  # a row for each sequence
+        keys = ["ordinal", "start", "end", "name", "feature_id"]
+        rows = self._lines(assembly_id).join(order, "seqid").repartitionByRange(*keys).sortWithinPartitions(*keys)
+        return bgzf.packed(rows.select("ordinal", "start", "end", "line")), names, ["##gff-version 3"]
 
     def export_functional(self, assembly_id: int) -> DataFrame:
         """The functional table, by ID, analysis and accession."""
@@ -458,17 +603,52 @@ class Warehouse:
         entry = self._assembly(assembly_id)
         return {"label": entry["label"], "folder": entry["folder"]} | {t: self.table(assembly_id, t).count() for t in TABLES}
 
-    def remove(self, assembly_id: int) -> dict:
-        """Takes an assembly out of the catalog, then deletes its folder."""
-        plan, catalog = self.plan_removal(assembly_id), self.catalog()
+    def remove(self, assembly_id: int, *, keep_files: bool = False, dry_run: bool = False) -> dict:
+        """Takes an assembly out of the catalog, with organisms and strains that have no other,
+        then deletes its folders.
+
+        The folder must be the assembly's own by its manifest.  It is held aside first, and
+        put back if the catalog cannot be published.  keep_files leaves the folders; dry_run
+        only counts.
+        """
+        plan, catalog, entry = self.plan_removal(assembly_id), self.catalog(), self._assembly(assembly_id)
         manifest = self.manifest(assembly_id)
-        if manifest["assembly_id"] != assembly_id:
-            raise Refused(f"{plan['folder']} belongs to assembly {manifest['assembly_id']}")
-        self._publish(catalog | {"assemblies": [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]})
-        files.remove(self.spark, f"{self.root}/{plan['folder']}")
+        if (manifest["assembly_id"], manifest["label"]) != (assembly_id, entry["label"]):
+            raise Refused(f"{plan['folder']} belongs to assembly {manifest['assembly_id']}, {manifest['label']}")
+        if dry_run:
+            return plan
+        left = [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]
+        organisms = [o | {"strains": [s for s in o["strains"] if any(a["organism"] == f"{o['genus']} {o['species']}" and a["strain"] == s for a in left)]} for o in catalog.get("organisms", [])]
+        folders = [] if keep_files else [entry["folder"], *entry.get("functional", [])]
+        held = []
+        try:
+            for f in folders:
+                aside = f"{self.root}/.held/{uuid.uuid4().hex}"
+                files.rename(self.spark, f"{self.root}/{f}", aside)
+                held.append((f, aside))
+            self._publish(catalog | {"assemblies": left, "organisms": [o for o in organisms if o["strains"]]})
+        except BaseException:
+            for f, aside in held:
+                files.rename(self.spark, aside, f"{self.root}/{f}")
+            raise
+        for _, aside in held:
+            files.remove(self.spark, aside)
         return plan
 
 
+def _upserted(organisms: list[dict], config: OrganismConfig) -> list[dict]:
+    """organisms with this one and its strain, each once; what the config says of it is kept where it says nothing."""
+    out, found = [], False
+    for o in organisms:
+        if (o["genus"], o["species"]) == (config.genus, config.species):
+            found = True
+            o = o | {"ncbi_taxon_id": config.ncbi_taxon_id or o["ncbi_taxon_id"], "common_name": config.common_name or o["common_name"], "strains": sorted({*o["strains"], config.strain})}
+        out.append(o)
+    if not found:
+        out.append({"genus": config.genus, "species": config.species, "ncbi_taxon_id": config.ncbi_taxon_id, "common_name": config.common_name, "strains": [config.strain]})
+    return out
+
+
 def scalars_slug(text: str) -> str:
     import re
 
