@@ -226,6 +226,23 @@ def test_compact_windows_hold_the_minimum_and_cover():
                 assert any(lo <= a and b <= hi and v == int(h[a:b].min()) for v, lo, hi in w)
 
 
+def test_window_tokens_are_the_wide_nodes_of_the_tree():
+    """The smallest tokens of the tree's compact windows, with their room, from one sliding minimum over several texts."""
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        texts = [r.integers(1, 1 << 63, n).astype(np.uint64) for n in r.integers(1, 90, 4)]
+        h, least, at, want = np.concatenate(texts), int(r.integers(2, 20)), 0, []
+        inside = np.zeros(len(h), bool)
+        for t in texts:
+            inside[at : at + max(0, len(t) - least + 1)] = True
+            for v, lo, hi in passages.compact_windows(t, least):
+                c = lo + int(t[lo:hi].argmin())
+                want.append((at + c, min(c - lo, least - 1), min(hi - c, least)))
+            at += len(t)
+        got = zip(*(x.tolist() for x in passages.window_tokens(h, least, inside)))
+        assert sorted(got) == sorted(want)
+
+
 # -- decontamination
 
 ITEMS = [(1, " ".join(BASE.split()[10:40])), (2, "one, two"), (3, None), (4, "..."), (5, prose(13, 77)), (6, prose(40, 78)), (None, prose(20, 79))]
