@@ -17,9 +17,10 @@ def percent_decode(text: Column) -> Column:
 
 def percent_escape(text: Column) -> Column:
     """The characters that column 9 reserves, the percent sign first."""
+    out = text
     for plain, escaped in _ESCAPES:
-        text = F.replace(text, F.lit(plain), F.lit(escaped))
-    return text
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.when(text.rlike("[%;=&,\t\n\r]"), out).otherwise(text)
 
 
 def score_text(score: Column) -> Column:

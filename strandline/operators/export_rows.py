@@ -20,7 +20,8 @@ def attribute_column(linkage: Column | None = None) -> Column:
     ordered = F.transform(F.array_sort(F.transform(others, lambda a: F.struct(rank(a).alias("r"), a["key"].alias("k"), escaped(a).alias("t")))), lambda x: x["t"])
     head = F.array(F.concat(F.lit("ID="), scalars.percent_escape(F.col("source_id"))), F.concat(F.lit("Parent="), scalars.percent_escape(F.col("parent_id"))))
     last = F.array(F.concat(F.lit(f"{LINKAGE_KEY}="), linkage)) if linkage is not None else F.array().cast("array<string>")
-    text = F.array_join(F.array_compact(F.concat(head, ordered, last)), ";")
+    bare = F.array_join(F.array_compact(F.concat(head, last)), ";")  # many rows have no more
+    text = F.when(F.size("attributes") == 0, bare).otherwise(F.array_join(F.array_compact(F.concat(head, ordered, last)), ";"))
     return F.when(text == "", ".").otherwise(text)
 
 

@@ -32,7 +32,8 @@ def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attr_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column 9 parsed and exploded to a row for each key and value."""
-    rows = _line(spark, sf_dir).select(F.explode("attributes").alias("a")).select("a.key", F.posexplode("a.values").alias("ordinal", "value"))
+    # of an inner explode Spark infers a filter that parses every line again
+    rows = _line(spark, sf_dir).select(F.explode_outer("attributes").alias("a")).filter("a is not null").select("a.key", F.posexplode("a.values").alias("ordinal", "value"))
     return rows.groupBy("key", "value", "ordinal").agg(F.count("*").alias("n"))
 
 

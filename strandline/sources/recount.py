@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 def count_lines(lines: DataFrame) -> DataFrame:
     """source_type, features, n_rows, with_parent from lines (value)."""
-    cols = F.split("value", "\t")
-    rows = lines.filter(~F.startswith("value", F.lit("#")) & (F.size(cols) >= 9))
-    ident = F.regexp_extract(cols[8], "(?:^|;)ID=([^;]*)", 1)
-    parent = F.regexp_extract(cols[8], "(?:^|;)\\s*Parent=([^;]*)", 1)
-    rows = rows.select(cols[2].alias("source_type"), F.when(ident != "", ident).alias("i"), (parent != "").alias("p"))
+    tabs = F.length("value") - F.length(F.replace("value", F.lit("\t"), F.lit("")))
+    rows = lines.filter(~F.startswith("value", F.lit("#")) & (tabs >= 8))
+    nine = F.split_part("value", F.lit("\t"), F.lit(9))
+    ident = F.regexp_extract(nine, "(?:^|;)ID=([^;]*)", 1)
+    parent = F.regexp_extract(nine, "(?:^|;)\\s*Parent=([^;]*)", 1)
+    rows = rows.select(F.split_part("value", F.lit("\t"), F.lit(3)).alias("source_type"), F.when(ident != "", ident).alias("i"), (parent != "").alias("p"))
     return rows.groupBy("source_type").agg((F.count_distinct("i") + F.sum(F.col("i").isNull().cast("long"))).alias("features"), F.count("*").alias("n_rows"), F.count_if("p").alias("with_parent"))
 
 
