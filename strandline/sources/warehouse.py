@@ -58,6 +58,8 @@ class LoadReport:
 
 def _show(problems: DataFrame, n: int = 10) -> tuple[int, str]:
     total = problems.count()
+    if not total:
+        return 0, ""
     first = problems.orderBy(*problems.columns).limit(n).collect()
     text = "; ".join(" ".join(str(v) for v in r if v is not None) for r in first)
     return total, text + (f"; {total - n} more" if total > n else "")
