@@ -1,7 +1,7 @@
 """Tables in the folder that driver and executors share.
 
-The folder is the one the session names in ``spark.checkpoint.dir``.  Only where
-that is unset (tests, a laptop) a temporary folder is made.
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only a local
+session where that is unset (tests, a laptop) gets a temporary one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from strandline.sources import files
+
 _SHIPPED: set[str] = set()
 
 
@@ -36,14 +37,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return _OWN[app]
+    """URI of the shared folder; only a local session may go without a setting."""
+    return files.shared_root(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
