@@ -1,67 +1,74 @@
 """Near-duplicate passages by compact windows.
 
-Tokens are 5-word shingles.  For each of FUNCTIONS hash functions a Cartesian tree over
-a text's token hashes gives its compact windows: a smallest token and the widest range
-in which it is smallest, so that every subsequence of the range that holds the token
-has the same min-hash.  Only ranges that can hold a passage of SPAN words are kept,
-about 2 n / SPAN of n tokens.  A verbatim passage lies whole in such a window of
-both texts for every function; of passages of similarity J a share J of the functions
-agrees.
-
-A common phrase can be the smallest token of many unrelated windows, so windows meet
-under a key of the smallest token and the words round it:
-
-* the first function has two keys, the SPAN / 2 words from the token on, and as many
-  words up to it.  A verbatim passage holds one of the two, wherever the token lies in it.
-* each other function has one key, the token with BEFORE words before and AFTER after it,
-  for passages that differ in some words.
-
-In a group of one key the window of the first document leads; windows of one wider
-context (WIDE words) have the first document of these as a second leader.  A window is
-joined to its leaders where the intervals, laid over each other at the token, still hold
-a passage (interval join).  Documents whose words are the same are then one, the first of
-them, and the pairs that are left go on to verification.  Members of one group may have
-passages in common that their leader has not: spans of SPAN words in windows of the first
-function that verification does not find in the leader are keyed on all their words, and
-meet whatever else has the same words.  So no verbatim passage is left out.
-
-A key that holds many windows of a batch is hot: its windows are dealt to SALTS
-groups by their wider context (by document where that is hot too), and the leaders of
-these groups are led by the first of them.
+Tokens are 5-word shingles.  A Cartesian tree over a text's token hashes gives its compact
+windows: a smallest token and the widest range in which it is smallest, so that every
+subsequence of the range that holds the token has the same min-hash.  Only ranges that can
+hold RUN words are kept, about 2 n / RUN of n tokens.
+
+A passage of similarity SIMILARITY holds RUN words verbatim: with b breaks, each of which
+costs 9 shingles at least, its runs have 40 b + 4 words or more, so the longest of its
+b + 1 runs has 22.  (Only where all shingles across a break come again inside runs could a
+passage do with shorter ones.)  A run of RUN words lies whole in such a window of both
+texts, so one hash function finds all passages, verbatim and near.
+
+A common phrase can be the smallest token of many unrelated windows, so windows meet under
+two keys, the RUN / 2 words from the token on, and as many words up to it: a run holds one
+of the two, wherever the token lies in it.  Under the second only those meet that have not
+met under the first.  Windows of one key are joined where the
+intervals, laid over each other at the token, still hold a run (interval join):
+
+* those whose words agree REACH words to both sides are one, the first of them;
+* of up to HOT different ones all pairs go on to verification, as do all pairs of documents
+  where these are no more than PAIRS for each window;
+* of more, each is held against all that it isn't connected with: words compared from the
+  token outwards give verbatim passages, and leave out whom no shingle follows within GAP
+  words of a common run too short to do alone, and who have too few shingles in common;
+  what is left is verified on these words.  Pairs that connect what is linked go on to
+  verification.
+
+So no link is left out, but links inside what others connect are not listed.
 
 Verification: exact runs of words, joined over short gaps, of SPAN words and a shingle
-similarity of SIMILARITY at least; of a chain of runs that fails, its longest parts
-that pass.
+similarity of SIMILARITY at least, also with words that differ at its ends; of a chain of
+runs that fails, its longest parts that pass.  The places of passages, those that overlap in one document as one, and the
+links between them make classes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm import workspace
-from strandline.llm.textkernel import Words, grouped, mix, sliding_min, strings
+from strandline.llm import near_dup, workspace
+from strandline.llm.textkernel import _P, Words, grouped, mix, sliding_min, strings
 
 SHINGLE = 5
 SPAN = 50
 SIMILARITY = 0.8
-FUNCTIONS = 5
-BEFORE, AFTER = 2, 2
-WIDE = 25
+RUN = 22
+FUNCTIONS = 1
 GAP = 8
 MEMBERS = 64
 FEW_RUNS = 16
-HOT, SALTS = 64, 4096
+HOT = 3
+PAIRS = 4
 BATCH_WINDOWS = 1 << 18
+BLOCK = 4096
 
 _SEEDS = mix(np.arange(101, 101 + FUNCTIONS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-#: key, wider context, place of the token, words of room on its left and right, whether of the first function
-_WINDOW = np.dtype([("key", "<i8"), ("wide", "<i4"), ("at", "<i4"), ("left", "<i2"), ("right", "<i2"), ("verbatim", "?")])
-_ROOM = 10  # bits
+#: key, hash of the words around, other key (32 bits; 0: none), place of the token, tokens of room on its left and right
+_WINDOW = np.dtype([("key", "<i8"), ("around", "<i8"), ("other", "<i4"), ("at", "<i8"), ("left", "<i8"), ("right", "<i8")])
+_ROOM = 5  # bits
+
+
+def _reach(span: int) -> int:
+    """Words on each side of a token that hold a passage's shortest part that passes: two runs, each shorter than a span, and a gap."""
+    return 2 * span + GAP - 2
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -107,36 +114,40 @@ def window_tokens(h: np.ndarray, least: int, inside: np.ndarray) -> tuple[np.nda
     return token, token - first, last + least - token
 
 
+def _around(words: Words, begin: np.ndarray, end: np.ndarray, token: np.ndarray, reach: int) -> np.ndarray:
+    """Hash of the words up to reach before and after each token, as far as its text goes, and of where the token is in them."""
+    p = np.uint64(_P)
+    powers, inverse = (np.append(np.uint64(1), np.multiply.accumulate(np.full(len(words), x, np.uint64))) for x in (p, np.uint64(pow(_P, -1, 1 << 64))))
+    total = np.append(np.uint64(0), np.cumsum(words.hash * powers[:-1], dtype=np.uint64))
+    a, b = np.maximum(begin, token - reach), np.minimum(end, token + reach)
+    h = (total[b] - total[a]) * inverse[a]
+    return mix(mix(h) + ((token - a) << 32 | b - a).astype(np.uint64)).view(np.int64)
+
+
 def _keyed(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, window) of the windows of a run of texts, with their keys."""
-    least, half, size = span - SHINGLE + 1, span // 2, SHINGLE + BEFORE + AFTER
+    """(text, window) of the windows of a run of texts, with their keys; texts shorter than a span have none."""
+    run = min(span, RUN)
+    least, half = run - SHINGLE + 1, run // 2
     n = len(words)
     of = np.repeat(np.arange(len(words.of) - 1), np.diff(words.of))
     begin, end = words.of[:-1][of], words.of[1:][of]  # of the text of each word
-    inside = np.arange(n) + span <= end
-    grams = {k: words.grams(k) for k in {SHINGLE, half, half + SHINGLE, size, WIDE}}
+    inside = (np.arange(n) + run <= end) & (end - begin >= span)
     docs, parts = [], []
-
-    def gram(k: int, start: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the k words from each place, and where the token's text has so many."""
-        good = (start >= begin[token]) & (start + k <= end[token])
-        out = np.zeros(len(start), np.uint64)
-        out[good] = grams[k][start[good]]
-        return out, good
-
-    if len(grams[SHINGLE]) < least:
+    tokens = words.grams(SHINGLE)
+    if len(tokens) < least:
         return np.empty(0, np.int64), np.empty(0, _WINDOW)
     for i in range(FUNCTIONS):
-        token, left, right = window_tokens(grams[SHINGLE] * _SEEDS[i], least, inside)
-        kinds = [(half, token), (half + SHINGLE, token - half)] if i == 0 else [(size, token - BEFORE)]
-        wide = gram(WIDE, token - WIDE // 2 + SHINGLE // 2, token)[0].view(np.int64) >> 32
-        for turn, (k, start) in enumerate(kinds):
-            h, good = gram(k, start, token)
+        token, left, right = window_tokens(tokens * _SEEDS[i], least, inside)
+        around = _around(words, begin[token], end[token], token, _reach(span))
+        other = np.zeros(len(token), np.int32)
+        for turn, (k, start) in enumerate(((half, token), (half + SHINGLE, token - half))):
+            good = (start >= begin[token]) & (start + k <= end[token])
             rows = np.zeros(int(good.sum()), _WINDOW)
-            rows["key"] = mix(h[good] + np.uint64(2 * i + turn)).view(np.int64)
-            if i:
-                rows["wide"] = wide[good]
-            rows["at"], rows["left"], rows["right"], rows["verbatim"] = (token - begin[token])[good], left[good], right[good], i == 0
+            rows["key"] = mix(words.grams(k)[start[good]] + np.uint64(2 * i + turn)).view(np.int64)
+            rows["other"] = other[good]
+            if not turn:
+                other[good] = rows["key"] >> 32 | 1
+            rows["around"], rows["at"], rows["left"], rows["right"] = around[good], (token - begin[token])[good], left[good], right[good]
             docs.append(of[token][good])
             parts.append(rows)
     return np.concatenate(docs), np.concatenate(parts)
@@ -159,27 +170,10 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(key, salt, wide, doc, place) of the windows of all documents.
-
-    place packs token, room on both sides, and two bits: first function, and hot key.
-    A hot key's windows have a salt, and one of them comes again, marked, without.
-    """
+    """(key, around, doc, place, other) of the windows of all documents; place packs token and room on both sides."""
     def pack(docs, rows):
-        key = rows["key"]
-        place = rows["at"].astype(np.int64) << (2 * _ROOM + 2) | rows["left"].astype(np.int64) << (_ROOM + 2) | rows["right"].astype(np.int64) << 2 | rows["verbatim"]
-        _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        hot = count[inverse] >= HOT
-        # by the wider context, so that its second leader is there for all; by document where that is hot too
-        fine = mix(key.view(np.uint64)) ^ rows["wide"].astype(np.uint64)
-        _, of, many = np.unique(fine, return_inverse=True, return_counts=True)
-        by = np.where(many[of] >= HOT, docs, rows["wide"].astype(np.int64)).view(np.uint64)
-        salt = np.where(hot, 1 + mix(by) % np.uint64(SALTS), 0).astype(np.int32)
-        again = first[count >= HOT]
-        both = lambda x, y: pa.array(np.concatenate([x, y]))
-        return pa.record_batch(
-            [both(key, key[again]), both(salt, np.zeros(len(again), np.int32)), both(rows["wide"], rows["wide"][again]), both(docs, docs[again]), both(place, place[again] | 2)],
-            names=["key", "salt", "wide", "doc", "place"],
-        )
+        place = rows["at"] << 2 * _ROOM | rows["left"] << _ROOM | rows["right"]
+        return pa.record_batch([pa.array(x) for x in (rows["key"], rows["around"], docs, place, rows["other"])], names=["key", "around", "doc", "place", "other"])
 
     def run(batches):
         held, size = [], 0
@@ -196,98 +190,267 @@ def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pack(*(np.concatenate(x) for x in zip(*held)))
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, salt int, wide int, doc long, place long")
+    return rows.mapInArrow(run, "key long, around long, doc long, place long, other int")
+
+
+def _meet(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Whether the intervals of two windows, laid over each other at the token, hold so many tokens."""
+    room = (1 << _ROOM) - 1
+    return np.minimum(a >> _ROOM & room, b >> _ROOM & room) + np.minimum(a & room, b & room) >= least
 
 
 def met(rows: DataFrame, least: int) -> DataFrame:
-    """Windows that meet a leader, from rows clustered by (key, salt) in the order of doc.
+    """Windows that meet, from rows clustered by key in the order of (around, doc).
 
-    (doc, lead, lo, hi, key, place): lo, hi are the words of the window where only
-    verification tells whether the leader has all of it, else -1; rows with a key are the
-    leaders of groups of a hot key.
+    (doc, lead, key, place, other): pairs to verify, a window with the first whose words around are
+    the same, and all pairs of up to HOT different ones; rows with a key are the different
+    ones of keys that have more.
     """
-    names, kinds = ["doc", "lead", "lo", "hi", "key", "place"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    room = lambda place: (place >> (_ROOM + 2) & (1 << _ROOM) - 1, place >> 2 & (1 << _ROOM) - 1)
+    names, kinds = ["doc", "lead", "key", "place", "other"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+
+    def groups(key, around, doc, place, other):
+        """What comes of whole groups."""
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        differ = new | np.concatenate([[True], around[1:] != around[:-1]])
+        lead = doc[np.maximum.accumulate(np.where(differ, np.arange(len(key)), 0))]
+        same = np.flatnonzero((doc != lead) & (other == 0))
+        yield doc[same], lead[same], None, None, None
+        key, doc, place, other, new = key[differ], doc[differ], place[differ], other[differ], new[differ]
+        at = np.flatnonzero(new)
+        many = np.diff(np.append(at, len(key)))
+        least_other = np.minimum.reduceat(other, at)
+        several = np.repeat((np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)) & ((least_other < np.maximum.reduceat(other, at)) | (least_other == 0)), many)
+        many = np.repeat(many, many)
+        for k in range(1, HOT):
+            i = np.flatnonzero((many[k:] <= HOT) & (key[k:] == key[:-k]) & (doc[k:] != doc[:-k])) if len(key) > k else at[:0]
+            i = i[_meet(place[i], place[i + k], least) & ((other[i] != other[i + k]) | (other[i] == 0))]
+            yield np.maximum(doc[i], doc[i + k]), np.minimum(doc[i], doc[i + k]), None, None, None
+        hot = np.flatnonzero(several & (many > HOT))
+        if not len(hot):
+            return
+        # of few documents, or few beside their windows, all pairs
+        order = hot[np.lexsort((doc[hot], key[hot]))]
+        fresh = order[np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])])]
+        _, start, docs = np.unique(key[fresh], return_index=True, return_counts=True)
+        few = docs * (docs - 1) // 2 <= PAIRS * many[fresh[start]]
+        for size in np.unique(docs[few]).tolist():
+            at = start[few & (docs == size)]
+            a, b = np.triu_indices(size, 1)
+            yield doc[fresh[at[:, None] + b]].ravel(), doc[fresh[at[:, None] + a]].ravel(), None, None, None
+        hot = hot[~np.isin(key[hot], key[fresh[start[few]]])]
+        yield doc[hot], doc[hot], key[hot], place[hot], other[hot]
 
     def run(batches):
-        open_ = None  # the group that the last row is of: its key and salt, its leader, and those of its contexts
+        held = []  # rows of the last key, which may go on
         for batch in batches:
-            key, salt, wide, doc, place = (batch.column(i).to_numpy() for i in range(5))
-            n = len(key)
-            if not n:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if held and columns[0][0] == columns[0][-1] == held[-1][0][-1]:
+                held.append(columns)
                 continue
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
-            new[0] = open_ is None or (key[0], salt[0]) != open_[0]
-            group = np.cumsum(new)
-            # leaders by place in the batch; -1: that of the open group
-            lead = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            order = np.lexsort((wide, group))  # stable: rows of a context stay in the order of doc
-            near = np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (wide[order][1:] != wide[order][:-1])])
-            second = np.empty(n, np.int64)
-            second[order] = order[np.maximum.accumulate(np.where(near, np.arange(n), 0))]
-            led, led_at = np.where(lead >= 0, doc[lead], open_[1] if open_ else 0), np.where(lead >= 0, place[lead], open_[2] if open_ else 0)
-            close, close_at = doc[second], place[second]
-            if not new[0]:
-                for i in np.flatnonzero(group == 0).tolist():
-                    close[i], close_at[i] = open_[3].setdefault(int(wide[i]), (close[i], close_at[i]))
-            same = {} if new[group == group[-1]].any() or open_ is None else open_[3]
-            last = np.flatnonzero(group == group[-1])
-            for w, d, at in zip(wide[last].tolist(), close[last].tolist(), close_at[last].tolist()):
-                same.setdefault(w, (d, at))
-            open_ = ((key[-1], salt[-1]), led[-1], led_at[-1], same)
-            verbatim = place & 1 > 0
-            left, right = room(place)
+            columns = [np.concatenate(x) for x in zip(*held, columns)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [[x[last:] for x in columns]]
+            yield from pack([x[:last] for x in columns])
+        if held:
+            yield from pack([np.concatenate(x) for x in zip(*held)])
+
+    def pack(columns):
+        for out in groups(*columns) if len(columns[0]) else ():
+            if len(out[0]):
+                yield pa.record_batch([pa.nulls(len(out[0]), t) if c is None else pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+
+    return rows.mapInArrow(run, "doc long, lead long, key long, place long, other int")
+
+
+def neighbourhoods(crowd: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """(key, doc, place, other, left, words): 32-bit hashes of the words around each window, and how many are before its token."""
+    reach = _reach(span)
+    rows = crowd.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "other")).alias("places")).join(texts, "doc").select("doc", "text", "places")
+
+    def run(batches):
+        for batch in batches:
+            ids, places, out, size = batch.column(0).to_pylist(), batch.column(2), [], 0
+            for first, group in grouped(strings(batch.column(1))):
+                words = Words(group, "space")
+                short = (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                for k in range(len(group)):
+                    a, b = int(words.of[k]), int(words.of[k + 1])
+                    for p in places[first + k].as_py():
+                        t = a + (p["place"] >> 2 * _ROOM)
+                        if t >= b:  # of a repeated row with other words
+                            continue
+                        lo = max(a, t - reach)
+                        out.append((p["key"], ids[first + k], p["place"], p["other"], t - lo, short[lo : min(b, t + reach)].tobytes()))
+                        size += len(out[-1][5])
+                    if size > 1 << 23:
+                        yield pack(out)
+                        out, size = [], 0
+            if out:
+                yield pack(out)
+
+    def pack(out):
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "doc", "place", "other", "left", "words"])
+
+    return rows.mapInArrow(run, "key long, doc long, place long, other int, left int, words binary")
+
+
+@lru_cache(maxsize=4)
+def _parts(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, shingles that a passage has in common at least) of the stretches of so many shingles or more."""
+    p, q = np.triu_indices(n, size)
+    return p, q, np.maximum(SIMILARITY / (1 + SIMILARITY) * (q - p + size), SIMILARITY * (q - p)) - 1e-9
+
+
+class Crowd:
+    """The windows of one key."""
+
+    def __init__(self, span: int, least: int):
+        self.span, self.least, self.side = span, least, _reach(span)
+        self.docs, self.places, self.others, self.lefts, self.words = [], [], [], [], []
+
+    def add(self, *window) -> None:
+        for held, x in zip((self.docs, self.places, self.others, self.lefts, self.words), window):
+            held.append(x)
+
+    def _text(self, i: int) -> Text:
+        if i not in self._texts:
+            if len(self._texts) >= BLOCK:
+                self._texts.clear()
+            self._texts[i] = Text(np.frombuffer(self.words[i], np.uint32).astype(np.uint64))
+        return self._texts[i]
+
+    def _prepare(self) -> None:
+        """Words and shingles on both sides of the token; 0 where the text has none."""
+        n, side = len(self.docs), self.side
+        self._texts = {}
+        self.doc, self.place, self.other = np.array(self.docs), np.array(self.places), np.array(self.others)
+        self.w = np.zeros((n, 2 * side), np.uint32)
+        for i, (left, words) in enumerate(zip(self.lefts, self.words)):
+            x = np.frombuffer(words, np.uint32)[max(0, left - side) : left + side]
+            self.w[i, side - min(left, side) :][: len(x)] = x
+        m = 2 * side - SHINGLE + 1
+        good, h = np.ones((n, m), bool), np.zeros((n, m), np.uint32)
+        for k in range(SHINGLE):
+            good &= self.w[:, k : k + m] != 0
+            h = (h * np.uint32(0x9E3779B1)) ^ self.w[:, k : k + m]
+        self.s = np.zeros_like(self.w)
+        self.s[:, :m] = np.where(good, h | np.uint32(1), 0)
+
+    def _linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that share a passage with i."""
+        side, size = self.side, self.span - SHINGLE + 1
+        others = others[(self.doc[others] != self.doc[i]) & ((self.other[others] != self.other[i]) | (self.other[i] == 0)) & _meet(self.place[others], self.place[i], self.least)]
+        if not len(others):
+            return others
+        # the verbatim run at the token
+        differ = (self.w[others] != self.w[i]) | (self.w[i] == 0)
+        right, left = differ[:, side:].argmax(1), differ[:, side - 1 :: -1].argmax(1)
+        right[~differ[:, side:].any(1)] = side
+        left[~differ[:, :side].any(1)] = side
+        verbatim = left + right >= self.span
+        out, rest = [others[verbatim]], np.flatnonzero(~verbatim)
+        # a run that is long enough with words that differ, or a shingle within a gap of its ends
+        near, k = (left + right)[rest] - SHINGLE + 1 >= _common(self.span, SIMILARITY), np.arange(GAP + 1)
+        for at in ((side + right[rest])[:, None] + k, (side - left[rest])[:, None] - SHINGLE - k):
+            good = (at >= 0) & (at < 2 * side)
+            at = np.clip(at, 0, 2 * side - 1)
+            mine, theirs = np.where(good, self.s[i][at], 0), self.s[others[rest][:, None], at]
+            near |= ((mine[:, :, None] == theirs[:, None, :]) & (mine[:, :, None] != 0)).any((1, 2))
+        rest = rest[near]
+        if not len(rest):
+            return out[0]
+        # words that differ one for one: a span with enough shingles in place is a passage
+        mine = self.s[i]
+        alike = (self.s[others[rest]] == mine) & (mine != 0)
+        total = np.cumsum(alike, 1, dtype=np.int32)
+        plain = (total[:, size:] - total[:, :-size]).max(1) >= _common(self.span, SIMILARITY)
+        some = mine[mine != 0]
+        plain &= len(np.unique(some)) == len(some)
+        out.append(others[rest[plain]])
+        # of a passage's own shingles so many are in the other: those of a like span, or, where that is shorter, SIMILARITY of them
+        whole = len(np.unique(some)) == len(some)
+        p, q, enough = _parts(2 * side - SHINGLE + 2, size)
+        for j in others[rest[~plain]].tolist():
+            if whole:
+                found = np.append(0, np.cumsum(np.isin(mine, self.s[j][self.s[j] != 0])))
+                if not (found[q] - found[p] >= enough).any():
+                    continue
+            if verify(self._text(i), self._text(j), self.span):
+                out.append(np.array([j]))
+        return np.concatenate(out)
+
+    def links(self) -> list[tuple[int, int]]:
+        """(doc, lead): links that connect all windows that are linked.
+
+        Breadth first: each window is held against all that nothing has reached yet.
+        """
+        self._prepare()
+        out, left, reached = [], np.arange(len(self.docs)), []
+        while len(left):
+            i = reached.pop() if reached else int(left[0])
+            left = left[left != i]
+            for lo in range(0, len(left), BLOCK):
+                found = self._linked(i, left[lo : lo + BLOCK]).tolist()
+                out += [(max(self.docs[i], self.docs[j]), min(self.docs[i], self.docs[j])) for j in found]
+                reached += found
+            left = left[~np.isin(left, reached)] if reached else left
+        return out
+
+
+def connected(rows: DataFrame, span: int) -> DataFrame:
+    """(doc, lead): links that connect the windows of each key, from neighbourhoods() clustered by key."""
+    least = min(span, RUN) - SHINGLE + 1
+
+    def run(batches):
+        at, crowd = None, None
+        for batch in batches:
             out = []
-            for other, theirs, wanted in ((led, led_at, np.ones(n, bool)), (close, close_at, ~verbatim & (close != led))):
-                l2, r2 = room(theirs)
-                good = wanted & (other != doc) & ((np.minimum(left, l2) + np.minimum(right, r2) >= least) | verbatim)
-                c = place[good] >> (2 * _ROOM + 2)
-                lo, hi = (np.where(verbatim[good], x, -1) for x in (c - left[good], c + right[good] + SHINGLE - 1))
-                mine, its = doc[good], other[good]
-                swap = ~verbatim[good] & (mine < its)  # one direction of a pair is enough
-                out.append((np.where(swap, its, mine), np.where(swap, mine, its), lo, hi, None, None))
-            hot = np.flatnonzero((new & (salt > 0)) | (place & 2 > 0))
-            out.append((led[hot], led[hot], np.full(len(hot), -1), np.full(len(hot), -1), key[hot], led_at[hot]))
-            for columns in out:
-                if len(columns[0]):
-                    yield pa.record_batch([pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-    return rows.mapInArrow(run, "doc long, lead long, lo int, hi int, key long, place long")
-
-
-def candidate_pairs(found_in: DataFrame, reps: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc, lead, places): the pairs to verify, with the windows (lo, hi) of doc of which what
-    the leader lacks has to be keyed, from windows(); reps (doc_id, rep) names the first of
-    the documents with the same words.
-
-    Leaders of the groups of a hot key meet the first of them; that one, as doc and lead of
-    a row, keys all of its window.
-    """
-    least = span - SHINGLE + 1
-    rows = found_in.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc", "place")
-    found = workspace.Table(met(rows, least), "met").df
-    groups = workspace.Table(found.filter("key is not null").select("key", "doc", "place").distinct(), "groups").df
-    first = groups.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("f"))
-    mask = (1 << _ROOM) - 1
-    c, left, right = F.shiftright("place", 2 * _ROOM + 2), F.shiftright("place", _ROOM + 2).bitwiseAND(mask), F.shiftright("place", 2).bitwiseAND(mask)
-    exact = F.col("place").bitwiseAND(1) == 1
-    led = groups.join(first, "key").filter(exact | (F.col("doc") != F.col("f.doc"))).select(
-        F.when(exact, F.col("doc")).otherwise(F.greatest("doc", "f.doc")).alias("doc"), F.when(exact, F.col("f.doc")).otherwise(F.least("doc", "f.doc")).alias("lead"), F.when(exact, c - left).otherwise(-1).cast("int").alias("lo"), F.when(exact, c + right + SHINGLE - 1).otherwise(-1).cast("int").alias("hi")
-    )
-    pairs = found.filter("key is null").select("doc", "lead", "lo", "hi").union(led)
+            for key, *window in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
+                    out += crowd.links() if crowd else []
+                    at, crowd = key, Crowd(span, least)
+                crowd.add(*window)
+            if out:
+                yield pack(out)
+        if crowd and (out := crowd.links()):
+            yield pack(out)
+
+    def pack(out):
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "lead"])
+
+    return rows.mapInArrow(run, "doc long, lead long")
+
+
+def candidate_pairs(found_in: DataFrame, reps: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc, lead): the pairs to verify, from windows(); reps (doc_id, rep) names the first of
+    the documents with the same words."""
+    rows = found_in.repartition("key").sortWithinPartitions("key", "around", "doc", "place")
+    found = workspace.Table(met(rows, min(span, RUN) - SHINGLE + 1), "met").df
+    around = neighbourhoods(found.filter("key is not null").select("key", "doc", "place", "other"), texts, span)
+    linked = connected(around.repartition("key").sortWithinPartitions("key", "doc", "place"), span)
+    pairs = found.filter("key is null").select("doc", "lead").union(linked).distinct()
     named = lambda c: reps.select(F.col("doc_id").alias(f"_{c}"), F.col("rep").alias(f"{c}_rep"))
     pairs = pairs.join(named("doc"), F.col("doc") == F.col("_doc")).join(named("lead"), F.col("lead") == F.col("_lead"))
-    alone = F.col("doc") == F.col("lead")  # what the leader of a hot key keys itself
-    pairs = pairs.filter(alone | (F.col("doc_rep") != F.col("lead_rep"))).select(F.col("doc_rep").alias("doc"), F.col("lead_rep").alias("lead"), "lo", "hi").distinct()
-    place = F.struct("lo", "hi")
-    return pairs.groupBy("doc", "lead").agg(F.collect_set(F.when(F.col("lo") >= 0, place)).alias("places"))
+    return pairs.filter("doc_rep <> lead_rep").select(F.greatest("doc_rep", "lead_rep").alias("doc"), F.least("doc_rep", "lead_rep").alias("lead")).distinct()
+
+
+class Hashes(Words):
+    """Words of which only the hashes are known."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hash = hashes
+
+    def __len__(self) -> int:
+        return len(self.hash)
 
 
 class Text:
-    """Words and shingles of one text."""
+    """Words and shingles of one text, or of hashes of words."""
 
-    def __init__(self, text: bytes):
-        w = Words([text], "space")
+    def __init__(self, text: bytes | np.ndarray):
+        w = Words([text], "space") if isinstance(text, bytes) else Hashes(text)
         self.words, self.grams = w.hash, w.grams(SHINGLE)
         self.order = np.argsort(self.grams, kind="stable")
         self.sorted = self.grams[self.order]
@@ -361,9 +524,17 @@ def _best_part(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: i
     m = len(chain)
     start, end = np.array([(i, j) for i, j, _ in chain]), np.array([(i + n, j + n) for i, j, n in chain])
     if m <= FEW_RUNS:
-        parts = [(p, q) for p in range(m) for q in range(p + 1, m + 1) if q - p < m and (end[q - 1] - start[p]).min() >= span]
-        parts.sort(key=lambda x: -int((end[x[1] - 1] - start[x[0]]).sum()))
-        return next(((p, q) for p, q in parts if _jaccard(doc, lead, start[p, 0], end[q - 1, 0], start[p, 1], end[q - 1, 1]) >= similarity), None)
+        p, q = np.triu_indices(m)
+        size = end[q] - start[p]
+        good = (q - p + 1 < m) & (size.min(1) >= span)
+        x, y = (t.grams[start[0, k] : end[-1, k] - SHINGLE + 1] for k, t in enumerate((doc, lead)))
+        if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):  # the shingles of a part that are in the other chain at all
+            hits = np.append(0, np.cumsum(np.isin(x, y)))
+            most = hits[end[q, 0] - start[0, 0] - SHINGLE + 1] - hits[start[p, 0] - start[0, 0]]
+            good &= (1 + similarity) * most >= similarity * (size.sum(1) - 2 * (SHINGLE - 1)) - 1e-9
+        parts = np.flatnonzero(good)
+        parts = parts[np.argsort(-size[parts].sum(1), kind="stable")].tolist()
+        return next(((p, q) for p, q in zip(p[parts].tolist(), (q[parts] + 1).tolist()) if _jaccard(doc, lead, start[p, 0], end[q - 1, 0], start[p, 1], end[q - 1, 1]) >= similarity), None)
     common = np.append(0, np.cumsum([n - SHINGLE + 1 for _, _, n in chain]))
     left = (1 + similarity) * common[:-1] - similarity * start.sum(1)
     right = (1 + similarity) * common[1:] - similarity * (end.sum(1) - 2 * (SHINGLE - 1)) + 1e-9
@@ -379,6 +550,30 @@ def _best_part(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: i
     return p, q + 1
 
 
+def _common(span: int, similarity: float) -> float:
+    """Shingles that two spans of that similarity have in common at least."""
+    return 2 * similarity / (1 + similarity) * (span - SHINGLE + 1) - 1e-9
+
+
+def _widened(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: int, similarity: float) -> tuple[int, int, tuple] | None:
+    """(p, q, passage): a run, or two neighbours, shorter than a span, that passes together with words that differ beside it.
+
+    More than one break costs a span too many shingles.
+    """
+    for k in (2, 1):
+        for p in range(len(chain) - k + 1):
+            (a, c, _), (i, j, n) = chain[p], chain[p + k - 1]
+            if sum(x[2] - SHINGLE + 1 for x in chain[p : p + k]) < _common(span, similarity) or min(len(doc.words), len(lead.words)) < span:
+                continue
+            ends = []
+            for lo, hi, size in ((a, i + n, len(doc.words)), (c, j + n, len(lead.words))):
+                hi = max(hi, min(size, lo + span))
+                ends += [max(0, min(lo, hi - span)), hi]
+            if (s := _jaccard(doc, lead, *ends)) >= similarity:
+                return p, p + k, (*ends, s)
+    return None
+
+
 def _passages(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
     """The passages of a chain of runs: the whole, or its longest parts that pass."""
     out, stack = [], [chain]
@@ -387,12 +582,16 @@ def _passages(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: in
         if not part:
             continue
         (a, c, _), (i, j, n) = part[0], part[-1]
-        if min(i + n - a, j + n - c) < span:
-            continue
-        if (s := _jaccard(doc, lead, a, i + n, c, j + n)) >= similarity:
-            out.append((a, i + n, c, j + n, s))
-        elif len(part) > 1 and (cut := _best_part(doc, lead, part, span, similarity)):
-            stack += [part[: cut[0]], part[cut[0] : cut[1]], part[cut[1] :]]
+        if min(i + n - a, j + n - c) >= span:
+            if (s := _jaccard(doc, lead, a, i + n, c, j + n)) >= similarity:
+                out.append((a, i + n, c, j + n, s))
+                continue
+            if len(part) > 1 and (cut := _best_part(doc, lead, part, span, similarity)):
+                stack += [part[: cut[0]], part[cut[0] : cut[1]], part[cut[1] :]]
+                continue
+        if wide := _widened(doc, lead, part, span, similarity):
+            out.append(wide[2])
+            stack += [part[: wide[0]], part[wide[1] :]]
     return out
 
 
@@ -439,91 +638,83 @@ def verify(doc: Text, lead: Text, span: int = SPAN, similarity: float = SIMILARI
     return sorted(out + _left_out(doc, lead, out, span))
 
 
-OUT = "doc_id long, partner_id long, start_word long, end_word long, partner_start long, partner_end long, similarity double, key long"
-
-
-def lacking(doc: Text, lead: Text | None, places: list[dict], span: int) -> np.ndarray:
-    """Hashes of the spans of words in the places of doc that the leader, if any, does not have."""
-    keys = doc.spans(span)
-    inside = np.zeros(len(keys) + 1, np.int64)
-    for w in places:  # of a repeated row with other words, places may lie beyond its end
-        inside[min(w["lo"], len(keys))] += 1
-        inside[min(max(w["lo"], w["hi"] - span + 1), len(keys))] -= 1
-    found = np.unique(keys[np.cumsum(inside[:-1]) > 0])
-    return found[~lead.has(found, span)] if lead else found
+OUT = "doc_id long, partner_id long, start_word long, end_word long, partner_start long, partner_end long, similarity double"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
-    """Passages of documents against their leaders, and rows (doc_id, key) of spans that leaders lack."""
+    """Passages of documents against their leaders."""
     salts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
-    members = pairs.join(salts, "lead").select("lead", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "doc", "places")
-    none = F.array().cast("array<struct<lo:int,hi:int>>").alias("places")
-    leads = salts.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("lead").alias("doc"), none)
-    rows = members.union(leads).join(texts, "doc").select("lead", "salt", "member", "doc", "text", "places")
+    members = pairs.join(salts, "lead").select("lead", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), "doc")
+    leads = salts.select("lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("lead").alias("doc"))
+    rows = members.union(leads).join(texts, "doc").select("lead", "salt", "member", "doc", "text")
     rows = rows.repartition("lead", "salt").sortWithinPartitions("lead", "salt", "member")
 
     def run(batches):
         at, leads = None, []
         for batch in batches:
             out = []
-            texts, places = strings(batch.column(4)), batch.column(5)
+            texts = strings(batch.column(4))
             for k, (lead, salt, member, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
                 if (lead, salt) != at:
                     at, leads = (lead, salt), []
-                text = texts[k]
+                text = Text(texts[k])
                 if not member:
-                    leads.append(Text(text))
+                    leads.append(text)
                     continue
-                mine, where = Text(text), places[k].as_py()
-                for other in leads if doc != lead else []:
-                    out += [(doc, lead, a, b, c, d, s, None) for a, b, c, d, s in verify(mine, other, span)]
-                for other in (leads if doc != lead else [None]) if where else []:
-                    out += [(doc, *[None] * 6, x) for x in lacking(mine, other, where, span).view(np.int64).tolist()]
+                for other in leads:
+                    out += [(doc, lead, *x) for x in verify(text, other, span)]
             if out:
-                columns = list(zip(*out))
-                kinds = [pa.int64()] * 6 + [pa.float64(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in OUT.split(", ")])
+                kinds = [pa.int64()] * 6 + [pa.float64()]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in OUT.split(", ")])
 
     return rows.mapInArrow(run, OUT)
 
 
+def classes(links: DataFrame) -> DataFrame:
+    """A row for each place of a passage but the first of its class, which is its partner.
+
+    Passages of a document that overlap by a shingle or more are one place.
+    """
+    sides = [links.select(F.col(d).alias("doc"), F.col(a).alias("start"), F.col(b).alias("end"), "similarity") for d, a, b in (("doc_id", "start_word", "end_word"), ("partner_id", "partner_start", "partner_end"))]
+    spans = sides[0].union(sides[1]).groupBy("doc", "start", "end").agg(F.max("similarity").alias("similarity"))
+    before = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("_end", F.max("end").over(before))
+    spans = spans.withColumn("place", F.last(F.when(F.col("_end").isNull() | (F.col("start") > F.col("_end") - SHINGLE), F.col("start")), True).over(upto))
+    spans = workspace.Table(spans.select("doc", "start", "end", "similarity", F.struct("doc", F.col("place").alias("start")).alias("node")), "spans").df
+    named = lambda c, d, a, b: spans.select(F.col("doc").alias(d), F.col("start").alias(a), F.col("end").alias(b), F.col("node").alias(c))
+    edges = links.join(named("x", "doc_id", "start_word", "end_word"), ["doc_id", "start_word", "end_word"]).join(named("y", "partner_id", "partner_start", "partner_end"), ["partner_id", "partner_start", "partner_end"])
+    label, _ = near_dup.components(edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b"))
+    places = spans.groupBy("node").agg(F.max("end").alias("end"), F.max("similarity").alias("similarity"))
+    first = places.select(F.col("node").alias("component"), F.col("end").alias("partner_end"))
+    rows = places.join(label.withColumnRenamed("rep", "node"), "node").filter("node <> component").join(first, "component")
+    return rows.select(
+        F.col("node.doc").alias("doc_id"), F.col("component.doc").alias("partner_id"), F.col("node.start").alias("start_word"), F.col("end").alias("end_word"),
+        F.col("component.start").alias("partner_start"), "partner_end", "similarity",
+    )
+
+
 def find_passages(docs: DataFrame, *, span: int = SPAN) -> DataFrame:
-    """A row for each shared passage: doc_id, partner_id, where it lies in the words of
-    both, and its similarity.
-
-    A document whose words equal those of another is a row with the first such document
-    as partner, over all its words, and nothing else: the first stands for it.  Of several
-    documents with one passage each is a row with a leader, not with all the others; a
-    verbatim passage has one partner, the first of those found.  Null,
-    empty and shorter texts share nothing; rows without doc_id are left out; rows that
-    repeat a document with other words are compared as they are.  Other columns are
-    ignored.
+    """A row for each place of a passage that is not the first of its class: doc_id, start_word,
+    end_word; the first place, as partner_id, partner_start, partner_end; and the highest
+    similarity of the place's verified links.
+
+    Partner and first word name the class: all places that links of SIMILARITY or more
+    connect, in whatever texts.  A document whose words equal those of another is a row with
+    the first such document as partner, over all its words, and nothing else: the first
+    stands for it.  Null, empty and shorter texts share nothing; rows without doc_id are left
+    out; rows that repeat a document with other words are compared as they are.  Other
+    columns are ignored.
     """
-    if span - SHINGLE >= 1 << _ROOM:
-        raise ValueError(f"a span of {span} words is too long")
     workspace.ship(docs.sparkSession)
     described = workspace.Table(describe(docs), "passages").df.filter(F.col("n_words") >= span)
-    classes = described.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
-    reps = workspace.Table(described.join(classes, "words_key").select("doc_id", "n_words", "rep").distinct(), "reps").df
+    alike = described.groupBy("words_key").agg(F.min("doc_id").alias("rep"))
+    reps = workspace.Table(described.join(alike, "words_key").select("doc_id", "n_words", "rep").distinct(), "reps").df
     copies = reps.filter("doc_id <> rep").select(
         "doc_id", F.col("rep").alias("partner_id"), F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"),
         F.lit(0).cast("long").alias("partner_start"), F.col("n_words").alias("partner_end"), F.lit(1.0).alias("similarity"),
     )
-    pairs = workspace.Table(candidate_pairs(windows(docs, span), reps.select("doc_id", "rep"), span), "pairs").df
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    first = workspace.Table(verified(pairs, texts, span), "verified").df
-    keys = first.filter("key is not null").select("key", F.col("doc_id").alias("doc")).distinct()
-    firsts = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).filter("lead < last").select("key", "lead")
-    more = keys.join(firsts, "key").filter("doc <> lead").select("doc", "lead").distinct()
-    more = more.join(pairs.select("doc", "lead"), ["doc", "lead"], "left_anti").join(pairs.select(F.col("lead").alias("doc"), F.col("doc").alias("lead")), ["doc", "lead"], "left_anti")
-    more = workspace.Table(more.withColumn("places", F.array().cast("array<struct<lo:int,hi:int>>")), "more").df
-    rows = first.filter("key is null").union(verified(more, texts, span)).drop("key")
-    # the later document is named first
-    turned = rows.filter("doc_id < partner_id").select(
-        F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), F.col("partner_start").alias("start_word"), F.col("partner_end").alias("end_word"), F.col("start_word").alias("partner_start"), F.col("end_word").alias("partner_end"), "similarity"
-    )
-    rows = rows.filter("doc_id > partner_id").union(turned)
-    # verbatim in several partners: they share it among themselves, so the first stands for them
-    same = rows.filter("similarity = 1").groupBy("doc_id", "start_word", "end_word").agg(F.min(F.struct("partner_id", "partner_start", "partner_end")).alias("p"))
-    same = same.select("doc_id", "p.partner_id", "start_word", "end_word", "p.partner_start", "p.partner_end", F.lit(1.0).alias("similarity"))
-    return rows.filter("similarity < 1").union(same).union(copies).distinct()
+    pairs = workspace.Table(candidate_pairs(windows(docs, span), reps.select("doc_id", "rep"), texts, span), "pairs").df
+    links = workspace.Table(verified(pairs, texts, span).distinct(), "verified").df
+    return classes(links).union(copies).distinct()

@@ -214,6 +214,50 @@ def test_recall_of_near_passages(spark):
         assert len(band) > 10 and sum(k in got for k in band) >= 0.9 * len(band)
 
 
+def brute_near(rows, span=50, similarity=0.8):
+    """Pairs of documents with spans of words of that similarity of shingles."""
+    ids = {}
+    texts = [(i, [ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(len(w) - 4)]) for i, w in ((i, t.split()) for i, t in rows)]
+    m, out = span - 4, set()
+    for a, (i, x) in enumerate(texts):
+        for j, y in texts[:a]:
+            if len(set(x) & set(y)) * (1 + similarity) < 2 * similarity * m - 1e-9:
+                continue
+            parts = [[set(z[k : k + m]) for k in range(len(z) - m + 1)] for z in (x, y)]
+            if any(len(p & q) >= similarity * len(p | q) for p in parts[0] for q in parts[1]):
+                out.add(frozenset((i, j)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [3, 100])
+def test_near_passages_equal_brute_force(spark, monkeypatch, hot):
+    """Near copies among strangers that share a line of 30 words with them: whoever comes first, all are linked, and each place is one row."""
+    monkeypatch.setattr(passages, "HOT", hot)
+    r, lines = random.Random(10), [prose(30, 7700 + i).split() for i in range(2)]
+    families = [prose(11, 7800 + i).split() + lines[i % 2] + prose(11, 7900 + i).split() for i in range(8)]
+    rows = []
+    for i in range(60):
+        p = list(families[i % 8]) if i >= 12 and i % 3 else prose(4, 60_000 + i).split() + lines[i % 2]
+        if len(p) > 40 and i % 3 == 2:
+            p[r.choice((2, 9, 26, 43, 49))] = f"changed{i}"
+        rows.append((i + 1, " ".join(prose(r.randint(20, 60), 61_000 + i).split() + p + prose(r.randint(20, 60), 62_000 + i).split())))
+    want, got = brute_near(rows), [tuple(x) for x in passages.find_passages(docs(spark, rows)).collect()]
+    same, true = linked(x[:2] for x in got), linked(map(tuple, want))
+    assert len(want) > 40 and all(same(a) == same(b) for a, b in map(tuple, want))
+    assert all(true(a) == true(b) for a, b, *_ in got)
+    assert len({(x[0], x[2]) for x in got}) == len(got) < 60 and all(x[6] >= 0.8 for x in got)
+
+
+def test_passages_that_differ_at_their_ends():
+    """Spans that pass though their first or last words differ: 46 words of 50, and 49 in two runs."""
+    text = lambda words: passages.Text(" ".join(words).encode())
+    p, rest = prose(50, 71).split(), prose(40, 72).split()
+    for q in ([*p[:46], *prose(4, 73).split()], ["x", *p[1:]], [*p[:48], "x", p[49]]):
+        got = passages.verify(text([*q, *rest]), text([*rest[::-1], *p]))
+        assert len(got) == 1 and got[0][1] - got[0][0] == 50 and got[0][4] >= 0.8
+    assert not passages.verify(text([*p[:44], *rest]), text([*rest[::-1], *p[:44]]))
+
+
 def test_compact_windows_hold_the_minimum_and_cover():
     r = np.random.default_rng(1)
     for n, high in ((60, 1 << 60), (60, 4)):
