@@ -588,6 +588,19 @@ def test_differencing_takes_lines_on_the_given_pages(spark):
     assert main_text.extract_main_text(p).agg(F.sum("n_shared")).first()[0] > 0
 
 
+def test_differencing_takes_articles_that_neighbours_share(spark):
+    """A teaser in an article of its own, on pages with different articles; but no copy of a page's article."""
+    teaser, page = "<div><article><h2>Top story</h2><p>Read on</article></div>", lambda x: f"<article><p>Text {x}<p>Same line</article>"
+    html = {"a": page(1) + teaser, "b": teaser + page(2), "c": teaser, "d": page(3) + teaser, "e": page(3) + teaser}
+    hosts = [("x", "ab"), ("y", "ac"), ("z", "de"), ("w", "a")]
+    rows = [(10 * i + k, f"https://{h}.example/{k}", html[p]) for i, (h, names) in enumerate(hosts) for k, p in enumerate(names)]
+    got = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), segments=3).collect()}
+    both = "Top story\nRead on"
+    assert got[0] == "Text 1\nSame line" and got[1] == "Text 2\nSame line"
+    assert got[10] == f"Text 1\nSame line\n{both}" and got[11] == both  # the other page is that article's own
+    assert got[20] == got[21] == f"Text 3\nSame line\n{both}" and got[30] == f"Text 1\nSame line\n{both}"  # copies, and alone
+
+
 def test_longest_common_subsequence():
     r = random.Random(4)
     for _ in range(300):
