@@ -306,8 +306,9 @@ def _parts(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Crowd:
     """The windows of one key."""
 
-    def __init__(self, span: int, least: int):
-        self.span, self.least, self.side = span, least, _reach(span)
+    def __init__(self, span: int):
+        self.span, self.run, self.side = span, min(span, RUN), _reach(span)
+        self.least = self.run - SHINGLE + 1
         self.docs, self.places, self.others, self.lefts, self.words = [], [], [], [], []
 
     def add(self, *window) -> None:
@@ -330,6 +331,7 @@ class Crowd:
         for i, (left, words) in enumerate(zip(self.lefts, self.words)):
             x = np.frombuffer(words, np.uint32)[max(0, left - side) : left + side]
             self.w[i, side - min(left, side) :][: len(x)] = x
+        self.halves = self.w[:, [side - self.run // 2, side + self.run // 2]]
         m = 2 * side - SHINGLE + 1
         good, h = np.ones((n, m), bool), np.zeros((n, m), np.uint32)
         for k in range(SHINGLE):
@@ -342,6 +344,8 @@ class Crowd:
         """Those of others that share a passage with i."""
         side, size = self.side, self.span - SHINGLE + 1
         others = others[(self.doc[others] != self.doc[i]) & ((self.other[others] != self.other[i]) | (self.other[i] == 0)) & _meet(self.place[others], self.place[i], self.least)]
+        # a run with the token holds the word half a run before or behind it
+        others = others[((self.halves[others] == self.halves[i]) & (self.halves[i] != 0)).any(1)]
         if not len(others):
             return others
         # the verbatim run at the token
@@ -349,6 +353,8 @@ class Crowd:
         right, left = differ[:, side:].argmax(1), differ[:, side - 1 :: -1].argmax(1)
         right[~differ[:, side:].any(1)] = side
         left[~differ[:, :side].any(1)] = side
+        common = left + right >= self.run
+        others, left, right, differ = others[common], left[common], right[common], None
         verbatim = left + right >= self.span
         out, rest = [others[verbatim]], np.flatnonzero(~verbatim)
         # a run that is long enough with words that differ, or a shingle within a gap of its ends
@@ -401,8 +407,6 @@ class Crowd:
 
 def connected(rows: DataFrame, span: int) -> DataFrame:
     """(doc, lead): links that connect the windows of each key, from neighbourhoods() clustered by key."""
-    least = min(span, RUN) - SHINGLE + 1
-
     def run(batches):
         at, crowd = None, None
         for batch in batches:
@@ -410,7 +414,7 @@ def connected(rows: DataFrame, span: int) -> DataFrame:
             for key, *window in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
                     out += crowd.links() if crowd else []
-                    at, crowd = key, Crowd(span, least)
+                    at, crowd = key, Crowd(span)
                 crowd.add(*window)
             if out:
                 yield pack(out)
