@@ -136,8 +136,12 @@ def _keyed(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     tokens = words.grams(SHINGLE)
     if len(tokens) < least:
         return np.empty(0, np.int64), np.empty(0, _WINDOW)
+    again = np.append(0, np.cumsum(words.hash[1:] == words.hash[:-1]))
     for i in range(FUNCTIONS):
         token, left, right = window_tokens(tokens * _SEEDS[i], least, inside)
+        inner = (token > begin[token]) & (token + run < end[token])
+        inner[inner] = again[token[inner] + run] - again[token[inner] - 1] == run + 1
+        token, left, right = token[~inner], left[~inner], right[~inner]
         around = _around(words, begin[token], end[token], token, _reach(span))
         other = np.zeros(len(token), np.int32)
         for turn, (k, start) in enumerate(((half, token), (half + SHINGLE, token - half))):
@@ -264,6 +268,36 @@ def met(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, lead long, key long, place long, other int")
 
 
+def sharing(crowd: DataFrame, texts: DataFrame, span: int) -> DataFrame:
+    """Rows of crowd, those alone whose window holds a run that is in a window of another document under the same key."""
+    run = min(span, RUN)
+    least, room = run - SHINGLE + 1, (1 << _ROOM) - 1
+    rows = crowd.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places"), F.collect_list("other").alias("others")).join(texts, "doc").select("doc", "text", "keys", "places", "others")
+
+    def runs(batches):
+        for batch in batches:
+            ids, at = batch.column(0).to_numpy(), batch.column(2).offsets.to_numpy()
+            key, place, other = (batch.column(c).values.to_numpy() for c in (2, 3, 4))
+            for first, group in grouped(strings(batch.column(1))):
+                words = Words(group, "space")
+                grams = words.grams(run)
+                lo, hi = at[first], at[first + len(group)]
+                text = np.repeat(np.arange(len(group)), np.diff(at[first : first + len(group) + 1]))
+                token = words.of[text] + (place[lo:hi] >> 2 * _ROOM)
+                for k in range(least):
+                    # a run that begins k words before the token
+                    good = np.flatnonzero((place[lo:hi] >> _ROOM & room >= k) & (place[lo:hi] & room >= least - k) & (token - k + run <= words.of[text + 1]))
+                    if len(good):
+                        x = lo + good
+                        h = mix(mix(grams[token[good] - k] + np.uint64(k)) ^ key[x].view(np.uint64)).view(np.int64)
+                        yield pa.record_batch([pa.array(c) for c in (h, key[x], ids[first + text[good]], place[x], other[x])], names=["run", "key", "doc", "place", "other"])
+
+    rows, same = rows.mapInArrow(runs, "run long, key long, doc long, place long, other int"), Window.partitionBy("run")
+    for c in ("doc", "other"):
+        rows = rows.withColumn(f"_{c}", F.min(c).over(same)).withColumn(f"{c}_", F.max(c).over(same))
+    return rows.filter("_doc < doc_ and (_other < other_ or _other = 0)").select("key", "doc", "place", "other").distinct()
+
+
 def neighbourhoods(crowd: DataFrame, texts: DataFrame, span: int) -> DataFrame:
     """(key, doc, place, other, left, words): 32-bit hashes of the words around each window, and how many are before its token."""
     reach = _reach(span)
@@ -432,7 +466,7 @@ def candidate_pairs(found_in: DataFrame, reps: DataFrame, texts: DataFrame, span
     the documents with the same words."""
     rows = found_in.repartition("key").sortWithinPartitions("key", "around", "doc", "place")
     found = workspace.Table(met(rows, min(span, RUN) - SHINGLE + 1), "met").df
-    around = neighbourhoods(found.filter("key is not null").select("key", "doc", "place", "other"), texts, span)
+    around = neighbourhoods(sharing(found.filter("key is not null").select("key", "doc", "place", "other"), texts, span), texts, span)
     linked = connected(around.repartition("key").sortWithinPartitions("key", "doc", "place"), span)
     pairs = found.filter("key is null").select("doc", "lead").union(linked).distinct()
     named = lambda c: reps.select(F.col("doc_id").alias(f"_{c}"), F.col("rep").alias(f"{c}_rep"))

@@ -214,6 +214,26 @@ def test_recall_of_near_passages(spark):
         assert len(band) > 10 and sum(k in got for k in band) >= 0.9 * len(band)
 
 
+def test_repeated_words_and_short_lines_are_few_windows(spark):
+    """Of one word that repeats, the first and the last run are windows; a line under a run is compared with nothing: the same groups as brute force."""
+    r, line, texts = random.Random(12), prose(13, 7950).split(), []
+    for i in range(40):
+        repeats = [[w] * r.randint(15, 70) for w in r.sample(["same", "other", "third"], 2)]
+        texts.append(sum(repeats, []) + prose(60, 65_000 + i).split() + line)
+    texts[7] = prose(30, 65_100).split() + texts[8][-60:]  # the line, with words before it
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    want, got = brute_spans(rows), [tuple(x)[:2] for x in passages.find_passages(docs(spark, rows)).collect()]
+    same, true = linked(got), linked(map(tuple, want))
+    assert len(want) > 40 and all(same(a) == same(b) for a, b in map(tuple, want))
+    assert all(true(a) == true(b) for a, b in got)
+    assert passages.windows(docs(spark, [(1, "same " * 1000)])).select("place").distinct().count() < 25
+    found = passages.windows(docs(spark, rows)).coalesce(1).sortWithinPartitions("key", "around", "doc", "place")
+    crowd = passages.met(found, passages.RUN - 4).filter("key is not null").select("key", "doc", "place", "other")
+    kept = passages.sharing(crowd, docs(spark, rows).selectExpr("doc_id doc", "text"), 50)
+    in_line = lambda x: {i for i, place in x.select("doc", "place").collect() if (place >> 2 * passages._ROOM) >= len(texts[i - 1]) - len(line)}
+    assert len(in_line(crowd)) > 10 and in_line(kept) <= {8, 9}
+
+
 def brute_near(rows, span=50, similarity=0.8):
     """Pairs of documents with spans of words of that similarity of shingles."""
     ids = {}
