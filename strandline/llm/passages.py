@@ -373,6 +373,14 @@ class Crowd:
             h = (h * np.uint32(0x9E3779B1)) ^ self.w[:, k : k + m]
         self.s = np.zeros_like(self.w)
         self.s[:, :m] = np.where(good, h | np.uint32(1), 0)
+        # a shingle of its own, first within a span; none where the text has no shingle
+        order = np.argsort(self.s, 1, kind="stable")
+        sorted_ = np.take_along_axis(self.s, order, 1)
+        again = np.zeros(self.s.shape, bool)
+        again[:, 1:] = (sorted_[:, 1:] == sorted_[:, :-1]) & (np.diff(order, axis=1) < self.span - SHINGLE + 1)
+        self.fresh = np.empty_like(again)
+        np.put_along_axis(self.fresh, order, ~again, 1)
+        self.fresh = np.where(self.s == 0, np.int32(4 * side), self.fresh)
 
     def _linked(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of others that share a passage with i."""
@@ -409,13 +417,30 @@ class Crowd:
         some = mine[mine != 0]
         plain &= len(np.unique(some)) == len(some)
         out.append(others[rest[plain]])
+        # common shingles on both sides that gaps can join to a passage's size
+        rest = others[rest[~plain]]
+        values, which = np.unique(mine, return_inverse=True)
+        theirs = self.s[rest]
+        place = np.minimum(np.searchsorted(values, theirs), len(values) - 1)
+        theirs = (values[place] == theirs) & (theirs != 0)
+        row = np.nonzero(theirs)[0]
+        found = np.zeros((len(rest), len(values)), bool)
+        found[row, place[theirs]] = True
+        # no more shingles of its own in some span than a quarter of the common ones
+        most, found = found.sum(1) * (1 / SIMILARITY - 1) + 1e-9, found[:, which]
+        good = np.ones(len(rest), bool)
+        for x, fresh in ((theirs, self.fresh[rest]), (found, self.fresh[i])):
+            total = np.zeros((len(rest), 2 * side + 1), np.int32)
+            np.cumsum(np.where(x, 0, fresh), 1, out=total[:, 1:])
+            good &= (total[:, size:] - total[:, :-size]).min(1) <= most
+        good = np.flatnonzero(good)
         # of a passage's own shingles so many are in the other: those of a like span, or, where that is shorter, SIMILARITY of them
-        whole = len(np.unique(some)) == len(some)
+        whole = len(values) - (values[0] == 0) == len(some)
         p, q, enough = _parts(2 * side - SHINGLE + 2, size)
-        for j in others[rest[~plain]].tolist():
+        for j, f in zip(rest[good].tolist(), found[good]):
             if whole:
-                found = np.append(0, np.cumsum(np.isin(mine, self.s[j][self.s[j] != 0])))
-                if not (found[q] - found[p] >= enough).any():
+                total = np.append(0, np.cumsum(f))
+                if not (total[q] - total[p] >= enough).any():
                     continue
             if verify(self._text(i), self._text(j), self.span):
                 out.append(np.array([j]))
@@ -492,7 +517,15 @@ class Text:
         self.words, self.grams = w.hash, w.grams(SHINGLE)
         self.order = np.argsort(self.grams, kind="stable")
         self.sorted = self.grams[self.order]
-        self._words, self._spans = w, {}
+        self.distinct = bool((self.sorted[1:] != self.sorted[:-1]).all())
+        self._words, self._spans, self._lead = w, {}, None
+
+    def places(self, lead: Text) -> np.ndarray:
+        """The place of each shingle in a lead of distinct ones, -1 where it isn't there."""
+        if self._lead is not lead:
+            at = np.minimum(np.searchsorted(lead.sorted, self.grams), len(lead.sorted) - 1)
+            self._lead, self._places = lead, np.where(lead.sorted[at] == self.grams, lead.order[at], -1) if len(lead.sorted) else np.full(len(at), -1)
+        return self._places
 
     def spans(self, span: int) -> np.ndarray:
         """Hash of the span of words from each position."""
@@ -520,11 +553,53 @@ def _run(a: np.ndarray, b: np.ndarray) -> int:
     return n
 
 
+def _joined(row: np.ndarray, at: np.ndarray, span: int, similarity: float) -> np.ndarray:
+    """Rows with common shingles, at these places in order, that a passage can be made of: runs and gaps of a span, or as many shingles as two runs need."""
+    if not len(at):
+        return row
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > GAP + SHINGLE)]))
+    last = np.append(first[1:], len(at)) - 1
+    return np.unique(row[first[(at[last] - at[first] + SHINGLE >= span) | (last - first + 1 >= _common(span, similarity))]])
+
+
+def _may_hold(doc: Text, lead: Text, span: int, similarity: float = SIMILARITY) -> bool:
+    """Whether the shingles in common can make a passage in both; if not, verify() gives none."""
+    for x, y in ((doc, lead), (lead, doc)):
+        if not len(x.grams) or not len(y.grams):
+            return False
+        if doc.distinct and lead.distinct:
+            at = doc.places(lead)
+            at = np.flatnonzero(at >= 0) if x is doc else np.sort(at[at >= 0])
+        else:
+            at = np.flatnonzero(y.sorted[np.minimum(np.searchsorted(y.sorted, x.grams), len(y.sorted) - 1)] == x.grams)
+        if not len(_joined(np.zeros_like(at), at, span, similarity)):
+            return False
+    return True
+
+
 def exact_runs(doc: Text, lead: Text) -> list[tuple[int, int, int]]:
     """(start, start in lead, words) of common runs in order of the doc: at each place the
     longest there is, at least SHINGLE words."""
-    lo, hi = np.searchsorted(lead.sorted, doc.grams, "left"), np.searchsorted(lead.sorted, doc.grams, "right")
-    hits, out, done = np.flatnonzero(hi > lo), [], 0
+    out, done = [], 0
+    if lead.distinct:
+        there = doc.places(lead)
+        hits = np.flatnonzero(there >= 0)
+        there = there[hits]
+    else:
+        lo, hi = np.searchsorted(lead.sorted, doc.grams, "left"), np.searchsorted(lead.sorted, doc.grams, "right")
+        hits = np.flatnonzero(hi > lo)
+        there = lead.order[lo[hits]] if len(hits) and (hi - lo).max() == 1 else None
+    if not len(hits):
+        return out
+    if there is not None:  # one place for each: runs are neighbours in both
+        new = np.flatnonzero((np.diff(hits) != 1) | (np.diff(there) != 1)) + 1
+        first = np.append(0, new)
+        for i, j, last in zip(hits[first].tolist(), there[first].tolist(), hits[np.append(new, len(hits)) - 1].tolist()):
+            at = max(i, done)
+            if at <= last:
+                done = last + SHINGLE
+                out.append((at, j + at - i, done - at))
+        return out
     for i in hits.tolist():
         if i < done:
             continue
@@ -546,11 +621,20 @@ def exact_runs(doc: Text, lead: Text) -> list[tuple[int, int, int]]:
 
 
 def _jaccard(doc: Text, lead: Text, a: int, b: int, c: int, d: int) -> float:
+    if doc.distinct and lead.distinct:
+        x, hi = doc.places(lead)[a : max(a + 1, b - SHINGLE + 1)], min(max(c + 1, d - SHINGLE + 1), len(lead.grams))
+        both = int(np.count_nonzero((x >= c) & (x < hi)))
+        return both / (len(x) + hi - c - both)
     x, y = np.unique(doc.grams[a : max(a + 1, b - SHINGLE + 1)]), np.unique(lead.grams[c : max(c + 1, d - SHINGLE + 1)])
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
 
+@lru_cache(maxsize=FEW_RUNS)
+def _triangle(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(m)
+
+
 def _best_part(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: int, similarity: float) -> tuple[int, int] | None:
     """The longest part [p, q) of a failing chain worth testing, None if there is none.
 
@@ -562,12 +646,17 @@ def _best_part(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: i
     m = len(chain)
     start, end = np.array([(i, j) for i, j, _ in chain]), np.array([(i + n, j + n) for i, j, n in chain])
     if m <= FEW_RUNS:
-        p, q = np.triu_indices(m)
+        p, q = _triangle(m)
         size = end[q] - start[p]
         good = (q - p + 1 < m) & (size.min(1) >= span)
         x, y = (t.grams[start[0, k] : end[-1, k] - SHINGLE + 1] for k, t in enumerate((doc, lead)))
-        if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):  # the shingles of a part that are in the other chain at all
-            hits = np.append(0, np.cumsum(np.isin(x, y)))
+        if doc.distinct and lead.distinct:
+            there = doc.places(lead)[start[0, 0] : end[-1, 0] - SHINGLE + 1]
+            hits = (there >= start[0, 1]) & (there < end[-1, 1] - SHINGLE + 1)
+        else:
+            hits = np.isin(x, y) if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y) else None
+        if hits is not None:  # the shingles of a part that are in the other chain at all
+            hits = np.append(0, np.cumsum(hits))
             most = hits[end[q, 0] - start[0, 0] - SHINGLE + 1] - hits[start[p, 0] - start[0, 0]]
             good &= (1 + similarity) * most >= similarity * (size.sum(1) - 2 * (SHINGLE - 1)) - 1e-9
         parts = np.flatnonzero(good)
@@ -691,16 +780,19 @@ def verified(pairs: DataFrame, texts: DataFrame, span: int) -> DataFrame:
         at, leads = None, []
         for batch in batches:
             out = []
-            texts = strings(batch.column(4))
-            for k, (lead, salt, member, doc) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)))):
-                if (lead, salt) != at:
-                    at, leads = (lead, salt), []
-                text = Text(texts[k])
-                if not member:
-                    leads.append(text)
-                    continue
-                for other in leads:
-                    out += [(doc, lead, *x) for x in verify(text, other, span)]
+            ids = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            for first, group in grouped(strings(batch.column(4))):
+                words = Words(group, "space")
+                for (lead, salt, member, doc), a, b in zip(ids[first : first + len(group)], words.of[:-1].tolist(), words.of[1:].tolist()):
+                    if (lead, salt) != at:
+                        at, leads = (lead, salt), []
+                    text = Text(words.hash[a:b].copy())
+                    if not member:
+                        leads.append(text)
+                        continue
+                    for other in leads:
+                        if _may_hold(text, other, span):
+                            out += [(doc, lead, *x) for x in verify(text, other, span)]
             if out:
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in OUT.split(", ")])
