@@ -359,7 +359,7 @@ class Crowd:
     def _prepare(self) -> None:
         """Words and shingles on both sides of the token; 0 where the text has none."""
         n, side = len(self.docs), self.side
-        self._texts = {}
+        self._texts, self.passages = {}, {}
         self.doc, self.place, self.other = np.array(self.docs), np.array(self.places), np.array(self.others)
         self.w = np.zeros((n, 2 * side), np.uint32)
         for i, (left, words) in enumerate(zip(self.lefts, self.words)):
@@ -442,12 +442,20 @@ class Crowd:
                 total = np.append(0, np.cumsum(f))
                 if not (total[q] - total[p] >= enough).any():
                     continue
-            if verify(self._text(i), self._text(j), self.span):
+            if passages := verify(self._text(i), self._text(j), self.span):
+                self.passages[i, j] = passages
                 out.append(np.array([j]))
         return np.concatenate(out)
 
-    def links(self) -> list[tuple[int, int]]:
-        """(doc, lead): links that connect all windows that are linked.
+    def _links(self, i: int, j: int) -> list[tuple]:
+        a, b = ((self.places[k] >> 2 * _ROOM) - self.lefts[k] for k in (i, j))
+        rows = [(a + x[0], a + x[1], b + x[2], b + x[3], x[4]) for x in self.passages.get((i, j), ())] or [(None,) * 5]
+        if self.docs[i] < self.docs[j]:
+            rows = [(*x[2:4], *x[:2], x[4]) for x in rows]
+        return [(max(self.docs[i], self.docs[j]), min(self.docs[i], self.docs[j]), *x) for x in rows]
+
+    def links(self) -> list[tuple]:
+        """(doc, lead, passage): links that connect all windows that are linked, with the passages that verify() gave here.
 
         Breadth first: each window is held against all that nothing has reached yet.
         """
@@ -458,14 +466,15 @@ class Crowd:
             left = left[left != i]
             for lo in range(0, len(left), BLOCK):
                 found = self._linked(i, left[lo : lo + BLOCK]).tolist()
-                out += [(max(self.docs[i], self.docs[j]), min(self.docs[i], self.docs[j])) for j in found]
+                for j in found:
+                    out += self._links(i, j)
                 reached += found
             left = left[~np.isin(left, reached)] if reached else left
         return out
 
 
 def connected(rows: DataFrame, span: int) -> DataFrame:
-    """(doc, lead): links that connect the windows of each key, from neighbourhoods() clustered by key."""
+    """OUT: links that connect the windows of each key, from neighbourhoods() clustered by key; without a passage where none had to be searched for."""
     def run(batches):
         at, crowd = None, None
         for batch in batches:
@@ -481,22 +490,24 @@ def connected(rows: DataFrame, span: int) -> DataFrame:
             yield pack(out)
 
     def pack(out):
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc", "lead"])
+        kinds = [pa.int64()] * 6 + [pa.float64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[f.split()[0] for f in OUT.split(", ")])
 
-    return rows.mapInArrow(run, "doc long, lead long")
+    return rows.mapInArrow(run, OUT)
 
 
-def candidate_pairs(found_in: DataFrame, reps: DataFrame, texts: DataFrame, span: int = SPAN) -> DataFrame:
+def candidate_pairs(found_in: DataFrame, reps: DataFrame, texts: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """(doc, lead): the pairs to verify, from windows(); reps (doc_id, rep) names the first of
-    the documents with the same words."""
+    the documents with the same words.  And OUT: the passages known already."""
     rows = found_in.repartition("key").sortWithinPartitions("key", "around", "doc", "place")
     found = workspace.Table(met(rows, min(span, RUN) - SHINGLE + 1), "met").df
     around = neighbourhoods(sharing(found.filter("key is not null").select("key", "doc", "place", "other"), texts, span), texts, span)
-    linked = connected(around.repartition("key").sortWithinPartitions("key", "doc", "place"), span)
-    pairs = found.filter("key is null").select("doc", "lead").union(linked).distinct()
+    linked = workspace.Table(connected(around.repartition("key").sortWithinPartitions("key", "doc", "place"), span), "connected").df
+    pairs = found.filter("key is null").select("doc", "lead").union(linked.select("doc_id", "partner_id")).distinct()
     named = lambda c: reps.select(F.col("doc_id").alias(f"_{c}"), F.col("rep").alias(f"{c}_rep"))
-    pairs = pairs.join(named("doc"), F.col("doc") == F.col("_doc")).join(named("lead"), F.col("lead") == F.col("_lead"))
-    return pairs.filter("doc_rep <> lead_rep").select(F.greatest("doc_rep", "lead_rep").alias("doc"), F.least("doc_rep", "lead_rep").alias("lead")).distinct()
+    both = lambda rows, d, p: rows.join(named("doc"), F.col(d) == F.col("_doc")).join(named("lead"), F.col(p) == F.col("_lead")).filter("doc_rep <> lead_rep")
+    known = both(linked.filter("start_word is not null"), "doc_id", "partner_id").select(F.col("doc_rep").alias("doc_id"), F.col("lead_rep").alias("partner_id"), *linked.columns[2:])
+    return both(pairs, "doc", "lead").select(F.greatest("doc_rep", "lead_rep").alias("doc"), F.least("doc_rep", "lead_rep").alias("lead")).distinct(), known
 
 
 class Hashes(Words):
@@ -845,6 +856,10 @@ def find_passages(docs: DataFrame, *, span: int = SPAN) -> DataFrame:
         F.lit(0).cast("long").alias("partner_start"), F.col("n_words").alias("partner_end"), F.lit(1.0).alias("similarity"),
     )
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    pairs = workspace.Table(candidate_pairs(windows(docs, span), reps.select("doc_id", "rep"), texts, span), "pairs").df
-    links = workspace.Table(verified(pairs, texts, span).distinct(), "verified").df
+    pairs, known = candidate_pairs(windows(docs, span), reps.select("doc_id", "rep"), texts, span)
+    links = workspace.Table(verified(workspace.Table(pairs, "pairs").df, texts, span).distinct(), "verified").df
+    # in a text that repeats its words a passage can show among the words around a window alone
+    sure = links.select(F.col("doc_id").alias("_doc"), F.col("partner_id").alias("_lead")).distinct()
+    known = known.join(sure, (F.greatest("doc_id", "partner_id") == F.col("_doc")) & (F.least("doc_id", "partner_id") == F.col("_lead")), "left_anti")
+    links = links.union(workspace.Table(known.distinct(), "known").df)
     return classes(links).union(copies).distinct()

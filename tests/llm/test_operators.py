@@ -234,6 +234,14 @@ def test_repeated_words_and_short_lines_are_few_windows(spark):
     assert len(in_line(crowd)) > 10 and in_line(kept) <= {8, 9}
 
 
+def test_repeated_words_hide_no_link(spark):
+    """Documents that end in 35 or more times one word and a line: 48 words in common, beside a word more, and other repeats before them."""
+    r, line = random.Random(13), prose(13, 7960).split()
+    rows = [(i + 1, " ".join(sum([[w] * r.randint(7, 60) for w in r.sample(["a", "same", "other", "third"], 3)], []) + ["same"] * r.randint(35, 47) + line)) for i in range(60)]
+    same = linked(tuple(x)[:2] for x in passages.find_passages(docs(spark, rows)).collect())
+    assert len({same(i) for i, _ in rows}) == 1
+
+
 def brute_near(rows, span=50, similarity=0.8):
     """Pairs of documents with spans of words of that similarity of shingles."""
     ids = {}
