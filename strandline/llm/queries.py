@@ -9,16 +9,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, sql_twins, token_files, token_rollup, workspace
+from strandline.llm import decontaminate, fill_in_middle, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, sql_twins, token_files, token_rollup, turn_repair, url_trust, workspace
 
 TOKENIZER = "word_bpe_49k.json"
 NEAR_DUP_PERCENT = 85  # of op10 alone; its SQL has the same
+#: Host, path and verdict of op12's rules; its SQL has the same.
+URL_RULES = sql_twins.URL_RULES
 
 SQL = {
     "op3_decontaminate": sql_twins.DECONTAMINATE,
     "op6_quality_rules": sql_twins.QUALITY_RULES,
     "word_rollup": sql_twins.WORD_ROLLUP,
     "op10_near_dup": sql_twins.NEAR_DUP,
+    "op11_fill_in_middle": sql_twins.FILL_IN_MIDDLE,
+    "op12_url_trust": sql_twins.URL_TRUST,
 }
 
 
@@ -91,6 +95,29 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), percent=NEAR_DUP_PERCENT)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+def op12_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of damaged conversations; one that lost all its rows has zeros and the digest of nothing."""
+    turns = _read(spark, sf_dir, "conversations")
+    repair = turn_repair.repair_turns(turn_repair.damaged(turns))
+    found = repair.report.select(F.col("conv_id").alias("_c"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    digests = turn_repair.conversation_digests(repair.turns).select(F.col("conv_id").alias("_d"), "repaired_sha256")
+    rows = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +125,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_passages, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, word_rollup, op10_near_dup, pipeline)}
+    return {f.__name__: f for f in (op1_token_files, op2_passages, op3_decontaminate, op4_personal_data, op5_quality_model, op6_quality_rules, op7_mix, op8_main_text, op9_token_rollup, word_rollup, op10_near_dup, op11_fill_in_middle, op12_url_trust, op13_turn_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

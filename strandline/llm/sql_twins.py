@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strandline.llm import url_trust
 from strandline.llm.quality_rules import LEAST_ROWS, LEAST_WORDS, RATIOS, REPEATED_PERCENT, SPREAD
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,3 +57,36 @@ FROM v LEFT JOIN r ON r.doc_id = v.doc_id LEFT JOIN s ON s.lang = v.lang AND s.s
 WORD_ROLLUP = rf"""
 WITH counted AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS n FROM documents WHERE doc_id IS NOT NULL)
 SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM counted GROUP BY source, lang"""
+
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (SELECT doc_id, n, t, form, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+#: Host, path and verdict: fixed values of op12.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_LINK = url_trust.LINK.replace("'", "''")
+_HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+URL_TRUST = rf"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {_RULES}),
+r AS (SELECT *, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS k FROM pages),
+p AS (SELECT k, page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM r),
+fits AS (SELECT k, arg_max(h || p || '|' || v, (length(h || p), length(h))) AS best FROM p, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
+ruled AS (SELECT p.*, split_part(best, '|', 1) AS rule, split_part(best, '|', 2) AS ruled FROM p LEFT JOIN fits USING (k)),
+seeds AS (SELECT host, count(*) FILTER (ruled = 'allow') * {url_trust.UNIT} // count(*) AS trust, count(*) FILTER (ruled = 'block') * {url_trust.UNIT} // count(*) AS distrust FROM ruled WHERE host <> '' GROUP BY host),
+links AS (SELECT source, target, count(*) AS n FROM (SELECT DISTINCT k, host AS source, translate(unnest(regexp_extract_all(html, '{_LINK}', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM p) WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL),
+both_ways AS (SELECT 'trust' AS kind, source AS host, target AS nxt, n FROM links UNION ALL SELECT 'distrust', target, source, n FROM links),
+edges AS (SELECT *, sum(n) OVER (PARTITION BY kind, host)::BIGINT AS total FROM both_ways),
+push AS (SELECT 'trust' AS kind, host, (trust * {100 - url_trust.DAMPING} // 100)::BIGINT AS v FROM seeds WHERE trust > 0 UNION ALL SELECT 'distrust', host, (distrust * {100 - url_trust.DAMPING} // 100)::BIGINT FROM seeds WHERE distrust > 0
+  UNION ALL SELECT kind, nxt, sum(v // total * n // 100 * {url_trust.DAMPING})::BIGINT FROM push JOIN edges USING (kind, host) WHERE v >= {url_trust.LEAST_PUSH} GROUP BY kind, nxt),
+score AS (SELECT host, coalesce(sum(v) FILTER (kind = 'trust'), 0)::BIGINT AS trust, coalesce(sum(v) FILTER (kind = 'distrust'), 0)::BIGINT AS distrust FROM push GROUP BY host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) > {url_trust.MARGIN} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0)::BIGINT AS trust, coalesce(distrust, 0)::BIGINT AS distrust
+FROM ruled LEFT JOIN score USING (host)"""
