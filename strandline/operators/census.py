@@ -1,4 +1,4 @@
-"""Structural defects, hard cases, and their tallies."""
+"""Structural defects and their tallies."""
 
 from __future__ import annotations
 
@@ -65,18 +65,3 @@ def worst_classes(found: DataFrame) -> DataFrame:
     rank = F.create_map(*[F.lit(x) for kv in CLASS_RANK.items() for x in kv])
     rows = found.withColumn("class", row_class(F.col("kind"), F.col("excused"))).withColumn("rank", rank[F.col("class")])
     return rows.groupBy("row_id").agg(F.max_by("class", "rank").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
-
-
-def hard_cases(rows: DataFrame, sequences: DataFrame) -> DataFrame:
-    """source_id, flags: what makes a feature hard to load, comma-joined in a fixed order."""
-    w = Window.partitionBy("source_id").orderBy("start", "end", "row_id")
-    r = rows.filter("source_id is not null").join(sequences.select("seqid", "length", "circular"), "seqid", "left")
-    r = r.withColumn("_touch", F.lag("end").over(w) >= F.col("start"))
-    f = r.groupBy("source_id").agg(
-        (F.count("*") > 1).alias("multi_row"), (F.count_distinct("strand") > 1).alias("mixed_strand"), (F.count_distinct("seqid") > 1).alias("mixed_sequence"), (F.count_distinct("source_type") > 1).alias("mixed_type"),
-        (F.count_distinct("parent_id") > 1).alias("several_parents"), F.bool_or(F.coalesce("_touch", F.lit(False))).alias("overlapping_rows"), F.bool_or(F.coalesce(F.col("end") > F.col("length"), F.lit(False))).alias("past_end"),
-        F.bool_or(F.coalesce(F.col("circular"), F.lit(False))).alias("on_circular"), F.bool_and(F.col("parent_id").isNull() & ~F.col("source_type").isin("gene", "pseudogene", "repeat_region")).alias("no_parent"),
-        F.bool_or(F.col("start") == F.col("end")).alias("one_base"),
-    )
-    names = [c for c in f.columns if c != "source_id"]
-    return f.select("source_id", F.concat_ws(",", *[F.when(F.col(c), c) for c in names]).alias("flags")).filter("flags <> ''")

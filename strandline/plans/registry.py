@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ["scalar_queries", "structure_queries", "region_queries", "graph_queries", "functional_queries", "verification_queries", "record_queries", "text_queries", "store_queries"]
+MODULES = ["scalar_queries", "structure_queries", "region_queries", "graph_queries", "functional_queries", "verification_queries", "plain_queries", "record_queries", "text_queries", "store_queries"]
 
 
 def query(sql: str | None = None) -> Callable:

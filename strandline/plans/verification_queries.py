@@ -152,14 +152,6 @@ def fidelity_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("type").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("kept", "changed", "lost", "extra")])
 
 
-@query(V("""WITH t AS (SELECT *, lag("end") OVER (PARTITION BY source_id ORDER BY "start","end",row_id) >= "start" AS touch FROM graph LEFT JOIN seqs USING (seqid)),
-  f AS (SELECT source_id, concat_ws(',', CASE WHEN count(*)>1 THEN 'multi_row' END, CASE WHEN count(DISTINCT strand)>1 THEN 'mixed_strand' END, CASE WHEN count(DISTINCT seqid)>1 THEN 'mixed_sequence' END, CASE WHEN count(DISTINCT source_type)>1 THEN 'mixed_type' END,
-   CASE WHEN count(DISTINCT parent_id)>1 THEN 'several_parents' END, CASE WHEN bool_or(coalesce(touch,false)) THEN 'overlapping_rows' END, CASE WHEN bool_or("end">length) THEN 'past_end' END, CASE WHEN bool_or(circular) THEN 'on_circular' END,
-   CASE WHEN bool_and(parent_id IS NULL AND source_type NOT IN ('gene','pseudogene','repeat_region')) THEN 'no_parent' END, CASE WHEN bool_or("start"="end") THEN 'one_base' END) AS flags FROM t GROUP BY source_id) SELECT * FROM f WHERE flags <> ''"""))
-def hard_case_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.hard_cases(_rows(spark, sf_dir), g.sequences(spark, sf_dir))
-
-
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = g.features(spark, sf_dir).withColumn("excused", F.col("row_id") % 5 == 0)
     return census.defects(rows, g.sequences(spark, sf_dir))
