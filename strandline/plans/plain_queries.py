@@ -209,3 +209,96 @@ def fidelity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fidelity_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five features of each way to differ."""
     return fidelity.examples(_compared(spark, sf_dir))
+
+
+# -- transcripts of a store of gene models
+
+KINDS = transcripts.Kinds(gene=["gene", "pseudogene"], transcript=["mRNA", "transcript"], exon=["exon"], cds=["CDS"])
+
+
+def gene_models(want: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a store of gene models made of the transcripts: transcripts, exons and coding pieces, with faults by the order's number."""
+    o = F.coalesce(_order("id"), F.lit(1))
+    rows = want.filter(o % 19 != 0).withColumn("exons", F.when(o % 41 == 0, F.transform("exons", lambda x, i: F.struct((x["start"] - F.when(i == 0, 1).otherwise(0)).alias("start"), x["end"].alias("end")))).otherwise(F.col("exons")))
+    rows = rows.withColumn("cds", F.when(o % 43 == 0, F.slice("cds", 2, 1000)).otherwise(F.col("cds"))).withColumn("genes", F.when(o % 47 == 0, F.array(F.lit("other"))).otherwise(F.col("genes")))
+    turned = F.when(o % 37 == 0, F.translate("strand", "+-", "-+")).otherwise(F.col("strand"))
+    rows = rows.select(
+        F.concat(F.lit("h"), "id").alias("id"), F.when((o % 23 == 0) | (o % 31 == 0) | (o % 37 == 0), "").otherwise(F.col("name")).alias("name"), F.when(o % 31 == 0, "other").otherwise(F.col("type")).alias("type"), "seqid", F.replace(turned, F.lit("."), F.lit("*")).alias("strand"),
+        (F.col("start") + F.when(o % 29 == 0, 1).otherwise(0)).alias("start"), "end", "genes", "exons", "cds", o.alias("_o"),
+    )
+    more = rows.filter("_o % 53 = 0").withColumn("id", F.concat(F.lit("y"), "id")).withColumn("seqid", F.lit("seq-x")).withColumn("name", F.concat(F.lit("x"), "name"))
+    rows = rows.unionByName(more)
+    pieces = lambda c: rows.select("id", F.inline(c))
+    return rows.drop("exons", "cds", "_o"), pieces("exons"), pieces("cds")
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """difference, genes, parts under no transcript, transcripts expected."""
+    text, found = _read(spark, sf_dir)
+    want, genes, lone = transcripts.expected(found, text.rows, KINDS)
+    want = _table(want, "want")
+    have = _table(transcripts.held(*gene_models(want)), "have")
+    o = _order("id")
+    said = want.filter(o % 38 == 0).select(F.concat(F.lit("dropped: ["), "id", F.lit("]")).alias("line"))
+    parts = want.filter((o % 82 == 0) & (F.size("below") > 0)).select(F.concat(F.lit("moved a base of "), F.element_at("below", -1)).alias("line"))
+    log = said.unionByName(parts)
+    return transcripts.difference(want, have, log, cut=lambda df: _table(df, "pairs")), genes, lone, want
+
+
+_TO = "coalesce(try_cast(regexp_extract(id, '^[a-z]([0-9]+)', 1) AS BIGINT), 1)"
+
+
+def _stage(i: int, name: str, columns: tuple[str, ...], unique: bool) -> str:
+    """One stage of the pairing, after those before it."""
+    names = [f'"{c}"' for c in columns]
+    by = ", ".join(names)
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    left = "".join(f" AND id NOT IN (SELECT left_id FROM s{k})" for k in range(1, i))
+    right = "".join(f" AND id NOT IN (SELECT right_id FROM s{k})" for k in range(1, i))
+    side = lambda t, rest: f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY id) AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {t} WHERE {ok}{rest})"
+    one = " WHERE a.n = 1 AND b.n = 1" if unique else ""
+    return f"s{i} AS MATERIALIZED (SELECT a.id AS left_id, b.id AS right_id, '{name}' AS stage FROM {side('want', left)} a JOIN {side('have', right)} b USING ({by}, i){one})"
+
+
+_STAGES = ",\n  ".join(_stage(i, *s) for i, s in enumerate(transcripts.STAGES, 1))
+_SPANS = "list_sort(list([split_part(x, '-', 1)::BIGINT, split_part(x, '-', 2)::BIGINT]) FILTER (type = '{}'))"
+
+TRANSCRIPT_SQL = f""", part_of AS (SELECT key, type, segs, flags, unnest(string_split(parents, ',')) AS up FROM hard WHERE type IN ('exon', 'CDS')),
+  found AS (SELECT *, false AS direct FROM hard WHERE type IN ('mRNA', 'transcript') UNION ALL SELECT *, true FROM hard WHERE type IN ('gene', 'pseudogene') AND key IN (SELECT up FROM part_of)),
+  owner AS (SELECT f.key, list_sort(list(DISTINCT h.key)) AS genes FROM (SELECT key, unnest(CASE WHEN direct THEN [key] ELSE string_split(parents, ',') END) AS up FROM found) f JOIN hard h ON h.key = f.up AND h.type IN ('gene', 'pseudogene') GROUP BY f.key),
+  piece AS (SELECT up, type, unnest(string_split(segs, ',')) AS x FROM part_of),
+  spans AS (SELECT up, {_SPANS.format("exon")} AS exons, {_SPANS.format("CDS")} AS cds FROM piece GROUP BY up),
+  under AS (SELECT up, list_sort(list(DISTINCT key)) AS below, string_agg(flags, ',') AS f FROM part_of GROUP BY up),
+  want AS (SELECT f.key AS id, type, CASE WHEN type = 'mRNA' THEN 'T'||substr(f.key, 2) ELSE f.key END AS name, seqid, strand, "start", "end", coalesce(genes, []::VARCHAR[]) AS genes, coalesce(exons, []::BIGINT[][]) AS exons, coalesce(cds, []::BIGINT[][]) AS cds,
+    coalesce(below, []::VARCHAR[]) AS below, array_to_string(list_sort(list_distinct(list_filter(string_split(flags||','||coalesce(f, ''), ','), lambda x: x <> ''))), ',') AS cases
+    FROM found f LEFT JOIN owner USING (key) LEFT JOIN spans ON spans.up = f.key LEFT JOIN under ON under.up = f.key),
+  made AS (SELECT 'h'||id AS id, {_TO} AS o, CASE WHEN {_TO} % 23 = 0 OR {_TO} % 31 = 0 OR {_TO} % 37 = 0 THEN NULL ELSE name END AS name, CASE WHEN {_TO} % 31 = 0 THEN 'other' ELSE type END AS type, seqid, CASE WHEN {_TO} % 37 = 0 THEN translate(strand, '+-', '-+') ELSE strand END AS strand,
+    "start" + CASE WHEN {_TO} % 29 = 0 THEN 1 ELSE 0 END AS "start", "end", CASE WHEN {_TO} % 47 = 0 THEN ['other'] ELSE genes END AS genes, CASE WHEN {_TO} % 41 = 0 AND len(exons) > 0 THEN list_sort(list_concat([[exons[1][1] - 1, exons[1][2]]], exons[2:])) ELSE exons END AS exons, CASE WHEN {_TO} % 43 = 0 THEN cds[2:] ELSE cds END AS cds
+    FROM want WHERE {_TO} % 19 <> 0),
+  have AS (SELECT * FROM made UNION ALL SELECT * REPLACE ('y'||id AS id, 'seq-x' AS seqid, 'x'||coalesce(name, '') AS name) FROM made WHERE o % 53 = 0),
+  {_STAGES},
+  pairs AS ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, len(transcripts.STAGES) + 1))}),
+  said AS (SELECT string_agg(word, ' ') AS log FROM (SELECT id AS word FROM want WHERE {_TO} % 38 = 0 UNION SELECT below[-1] FROM want WHERE {_TO} % 82 = 0 AND len(below) > 0)),
+  diff AS (SELECT w.id, h.id AS held_id, stage, CASE WHEN h.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN w.seqid <> h.seqid THEN 'seqid' END, CASE WHEN w.strand <> h.strand THEN 'strand' END, CASE WHEN w."start" <> h."start" OR w."end" <> h."end" THEN 'span' END, CASE WHEN w.genes <> h.genes THEN 'gene' END,
+    CASE WHEN len(w.exons) > 0 AND w.exons <> h.exons THEN 'exons' END, CASE WHEN w.cds <> h.cds THEN 'cds' END) END AS fields, w.cases, list_concat([w.id], w.below) AS names FROM want w LEFT JOIN pairs ON left_id = w.id LEFT JOIN have h ON h.id = right_id),
+  result AS (SELECT id, held_id, stage, CASE WHEN held_id IS NULL THEN 'lost' WHEN fields = '' THEN 'kept' ELSE 'changed' END AS state, CASE WHEN held_id IS NULL OR fields <> '' THEN len(list_filter(names, lambda x: contains(log, x))) > 0 END AS announced, fields, cases FROM diff, said
+    UNION ALL SELECT NULL, id, NULL, 'extra', NULL, '', '' FROM have WHERE id NOT IN (SELECT right_id FROM pairs))"""
+
+
+@query(_with(f"{TRANSCRIPT_SQL} SELECT * FROM result"))
+def transcript_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each transcript of the text, its partner in a store of gene models, the stage that found it, and what differs."""
+    return _transcripts(spark, sf_dir)[0]
+
+
+@query(_with(f"""{TRANSCRIPT_SQL}, c AS (SELECT *, list_filter([CASE WHEN state <> 'extra' THEN 'truth' END, state, CASE WHEN announced IS NOT NULL THEN state||CASE WHEN announced THEN '_announced' ELSE '_silent' END END], lambda x: x IS NOT NULL) AS s FROM result)
+  SELECT 'total' AS scope, '' AS name, counter, count(*) AS n FROM (SELECT unnest(s) AS counter FROM c) GROUP BY counter UNION ALL SELECT 'case', name, counter, count(*) FROM (SELECT name, unnest(s) AS counter FROM (SELECT s, unnest(string_split(cases, ',')) AS name FROM c WHERE cases <> '')) GROUP BY ALL
+  UNION ALL SELECT 'field', name, 'n', count(*) FROM (SELECT unnest(string_split(fields, ',')) AS name FROM c WHERE fields <> '') GROUP BY name UNION ALL SELECT 'stage', stage, 'n', count(*) FROM c WHERE stage IS NOT NULL GROUP BY stage
+  UNION ALL SELECT 'gene', '', unnest(['truth', 'held', 'absent']), unnest([count(*), count(*) FILTER (key IN (SELECT unnest(genes) FROM have)), count(*) FILTER (key NOT IN (SELECT unnest(genes) FROM have))]) FROM hard WHERE type IN ('gene', 'pseudogene')
+  UNION ALL SELECT 'orphan', type, 'n', count(*) FROM hard WHERE type IN ('exon', 'CDS') AND key NOT IN (SELECT key FROM part_of WHERE up IN (SELECT key FROM found)) GROUP BY type"""))
+def transcript_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts kept, changed and lost in all and by hard case, the stages that paired them, genes held, and parts under no transcript."""
+    found, genes, lone, want = _transcripts(spark, sf_dir)
+    have = gene_models(want)[0].select(F.explode("genes").alias("id"))
+    orphans = lone.select(F.lit("orphan").alias("scope"), F.col("type").alias("name"), F.lit("n").alias("counter"), "n")
+    return transcripts.counters(found).unionByName(transcripts.genes_found(genes, have)).unionByName(orphans)
