@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, fill_in_middle, main_text, mixing, near_dup, passages, personal_data, quality_model, quality_rules, sql_twins, token_files, token_rollup, turn_repair, url_trust, workspace
+from strandline.plans import registry
 
 TOKENIZER = "word_bpe_49k.json"
 NEAR_DUP_PERCENT = 85  # of op10 alone; its SQL has the same
@@ -129,4 +130,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    """SQL as materialised tables; ``registry.whole`` says why."""
+    return {name: registry.whole(sql) for name, sql in SQL.items()}
