@@ -4,14 +4,18 @@ root/_catalog/<revision>.json what is loaded: id, label, folder; the last revisi
 root/assemblies/<slug>-<id>/  sequence, source_file, feature, attribute, protein,
                               annotation, annotation_run (Parquet) and manifest.json
 root/functional/<id>/         annotation and annotation_run of a table attached later
+root/_work/<id>.json          what a writer is about, for as long as it is
 
 A load is written under root/.staging, counted again from what was stored, renamed,
 and then named in the catalog; whatever fails before that leaves the catalog as it was.
-A revision is published by a rename that fails where another writer was first.
+A revision is published by a rename that fails where another writer was first.  Folders
+are deleted only after a revision that doesn't name them, so a writer killed at any point
+leaves a catalog that names nothing that is gone; ``recover`` clears what it left.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import dataclass, field, replace
@@ -27,6 +31,7 @@ from strandline.operators import envelope, export_rows, functional, graph, hiera
 from strandline.operators.normalise import normalise
 from strandline.sources import bgzf, fasta, files, functional_files, genbank, gff3, profiles, recount
 from strandline.sources.config import OrganismConfig
+from strandline.sources.intents import Intent, Journal
 from strandline.sources.published import protein_fasta
 
 TABLES = ["sequence", "source_file", "feature", "attribute", "protein", "annotation", "annotation_run"]
@@ -68,6 +73,7 @@ def _show(problems: DataFrame, n: int = 10) -> tuple[int, str]:
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.journal = Journal(spark, self.root)
 
     # -- catalog ---------------------------------------------------------------
 
@@ -120,6 +126,54 @@ class Warehouse:
     def manifest(self, assembly_id: int) -> dict:
         return json.loads(files.read_bytes(self.spark, f"{self.root}/{self._assembly(assembly_id)['folder']}/manifest.json"))
 
+    # -- interrupted work ----------------------------------------------------------
+
+    def _named(self, catalog: dict) -> set[str]:
+        """The folders that the catalog names."""
+        return {f for a in catalog["assemblies"] for f in (a["folder"], *a.get("functional", []))}
+
+    def recover(self, *, fence: bool = False) -> list[dict]:
+        """Clears what killed writers left, and says what: kind, label, started_at, outcome.
+
+        Work whose revision was published is finished, other work undone.  Work that
+        builds on the last revision may be that of a writer that lives; with fence a
+        revision of the same content is published first, after which it can't be published.
+        """
+        catalog = self.catalog()
+        if fence and self.journal.open():
+            self._publish(catalog)
+            catalog = self.catalog()
+        named = self._named(catalog)
+        if fence:
+            self.journal.clear_asides()
+        stale = [i for i in self.journal.open() if i.revision < catalog["revision"]]
+        return [{"kind": i.kind, "label": i.label, "started_at": i.started_at, "outcome": self.journal.clear(i, named)} for i in stale]
+
+    def _work(self, intent: Intent, make, catalog_of) -> list[dict]:
+        """Makes the intent's folder in staging by make(folder), puts it in place, publishes
+        catalog_of() and deletes what the intent says; gives what recover cleared after that.
+
+        Whatever fails before the catalog is published is taken back.
+        """
+        staging = f"{self.root}/{intent.staging}"
+        self.journal.begin(intent)
+        try:
+            if intent.makes:
+                make(staging)
+                files.rename(self.spark, staging, f"{self.root}/{intent.makes[0]}")
+            self._publish(catalog_of())
+        except BaseException:
+            if not set(intent.makes) & self._named(self.catalog()):  # else the revision is there, whatever was reported
+                files.remove(self.spark, staging)
+                for f in intent.makes:
+                    files.remove(self.spark, f"{self.root}/{f}")
+                self.journal.end(intent)
+            raise
+        for f in intent.deletes:
+            files.remove(self.spark, f"{self.root}/{f}")
+        self.journal.end(intent)
+        return self.recover()
+
     # -- load --------------------------------------------------------------------
 
     def load(self, config: OrganismConfig, *, repair_envelopes: bool = False, strict_vocabulary: bool = False, force: bool = False) -> LoadReport:
@@ -132,27 +186,24 @@ class Warehouse:
         if len(set(paths)) < len(paths):
             raise Refused("a file is named twice")
         assembly_id = same[0]["assembly_id"] if same else catalog["next_id"]
-        staging = f"{self.root}/.staging/{uuid.uuid4().hex}"
-        try:
-            report = self._stage(config, assembly_id, staging, repair_envelopes, strict_vocabulary)
-            folder = f"assemblies/{scalars_slug(config.label)}-{uuid.uuid4().hex[:8]}"
-            files.rename(spark, staging, f"{self.root}/{folder}")
-        except BaseException:
-            files.remove(spark, staging)
-            raise
-        entry = {"assembly_id": assembly_id, "label": config.label, "folder": folder, "organism": f"{config.genus} {config.species}", "strain": config.strain, "loaded_at": datetime.now(UTC).isoformat(timespec="seconds")}
-        kept = [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]
-        try:
-            self._publish(catalog | {"assemblies": [*kept, entry], "next_id": max(catalog["next_id"], assembly_id + 1), "organisms": _upserted(catalog.get("organisms", []), config)})
-        except BaseException:
-            files.remove(spark, f"{self.root}/{folder}")
-            raise
-        for a in same:
-            for f in (a["folder"], *a.get("functional", [])):
-                files.remove(spark, f"{self.root}/{f}")
+        folder = f"assemblies/{scalars_slug(config.label)}-{uuid.uuid4().hex[:8]}"
+        intent = Intent("load", config.label, catalog["revision"], [folder], [f for a in same for f in (a["folder"], *a.get("functional", []))])
+        made: list[LoadReport] = []
+
+        def named() -> dict:
+            entry = {"assembly_id": assembly_id, "label": config.label, "folder": folder, "organism": f"{config.genus} {config.species}", "strain": config.strain, "loaded_at": datetime.now(UTC).isoformat(timespec="seconds"), "manifest_sha256": self._manifest_sha256(folder)}
+            kept = [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]
+            return catalog | {"assemblies": [*kept, entry], "next_id": max(catalog["next_id"], assembly_id + 1), "organisms": _upserted(catalog.get("organisms", []), config)}
+
+        cleared = self._work(intent, lambda staging: made.append(self._stage(config, assembly_id, staging, repair_envelopes, strict_vocabulary)), named)
+        report = made[0]
         report.folder = folder
+        report.warnings += [f"an interrupted {c['kind']} of {c['label']}, begun at {c['started_at']}, was {c['outcome']}" for c in cleared]
         return report
 
+    def _manifest_sha256(self, folder: str) -> str:
+        return hashlib.sha256(files.read_bytes(self.spark, f"{self.root}/{folder}/manifest.json")).hexdigest()
+
     def register(self, config: OrganismConfig, *, force: bool = False) -> LoadReport:
         """An assembly of sequences alone: its annotation may be loaded later, with force."""
         if not config.fasta:
@@ -343,16 +394,15 @@ class Warehouse:
         """Adds a functional table to an assembly that is loaded: its rows lie in a folder of their
         own, which the catalog's next revision names."""
         catalog, entry = self.catalog(), self._assembly(assembly_id)
-        aside = f"{self.root}/.staging/{uuid.uuid4().hex}"
-        folder = f"functional/{uuid.uuid4().hex}"
-        try:
-            report = self._attach(f"{self.root}/{entry['folder']}", aside, self.table(assembly_id, "annotation_run"), path, tool, minimum_match_rate)
-            files.rename(self.spark, aside, f"{self.root}/{folder}")
-            self._publish(catalog | {"assemblies": [a | {"functional": [*a.get("functional", []), folder]} if a["assembly_id"] == assembly_id else a for a in catalog["assemblies"]]})
-        except BaseException:
-            files.remove(self.spark, aside)
-            files.remove(self.spark, f"{self.root}/{folder}")
-            raise
+        folder, report = f"functional/{uuid.uuid4().hex}", {}
+
+        def named() -> dict:
+            return catalog | {"assemblies": [a | {"functional": [*a.get("functional", []), folder]} if a["assembly_id"] == assembly_id else a for a in catalog["assemblies"]]}
+
+        self._work(
+            Intent("attach", entry["label"], catalog["revision"], [folder]),
+            lambda staging: report.update(self._attach(f"{self.root}/{entry['folder']}", staging, self.table(assembly_id, "annotation_run"), path, tool, minimum_match_rate)), named,
+        )
         return report
 
     # -- verification --------------------------------------------------------------
@@ -609,32 +659,23 @@ class Warehouse:
         """Takes an assembly out of the catalog, with organisms and strains that have no other,
         then deletes its folders.
 
-        The folder must be the assembly's own by its manifest.  It is held aside first, and
-        put back if the catalog cannot be published.  keep_files leaves the folders; dry_run
-        only counts.
+        The folder must be the assembly's own by its manifest, and the manifest the one that
+        the load wrote.  The catalog is published first, so it never names a folder that is
+        gone.  keep_files leaves the folders; dry_run only counts.
         """
         plan, catalog, entry = self.plan_removal(assembly_id), self.catalog(), self._assembly(assembly_id)
         manifest = self.manifest(assembly_id)
         if (manifest["assembly_id"], manifest["label"]) != (assembly_id, entry["label"]):
             raise Refused(f"{plan['folder']} belongs to assembly {manifest['assembly_id']}, {manifest['label']}")
+        if entry.get("manifest_sha256", self._manifest_sha256(entry["folder"])) != self._manifest_sha256(entry["folder"]):
+            raise Refused(f"{plan['folder']}: the manifest is not the one that was loaded")
         if dry_run:
             return plan
         left = [a for a in catalog["assemblies"] if a["assembly_id"] != assembly_id]
         organisms = [o | {"strains": [s for s in o["strains"] if any(a["organism"] == f"{o['genus']} {o['species']}" and a["strain"] == s for a in left)]} for o in catalog.get("organisms", [])]
-        folders = [] if keep_files else [entry["folder"], *entry.get("functional", [])]
-        held = []
-        try:
-            for f in folders:
-                aside = f"{self.root}/.held/{uuid.uuid4().hex}"
-                files.rename(self.spark, f"{self.root}/{f}", aside)
-                held.append((f, aside))
-            self._publish(catalog | {"assemblies": left, "organisms": [o for o in organisms if o["strains"]]})
-        except BaseException:
-            for f, aside in held:
-                files.rename(self.spark, aside, f"{self.root}/{f}")
-            raise
-        for _, aside in held:
-            files.remove(self.spark, aside)
+        folders = [entry["folder"], *entry.get("functional", [])]
+        without = catalog | {"assemblies": left, "organisms": [o for o in organisms if o["strains"]]}
+        self._work(Intent("remove", entry["label"], catalog["revision"], [], [] if keep_files else folders, folders if keep_files else []), None, lambda: without)
         return plan
 
 
