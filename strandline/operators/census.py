@@ -16,6 +16,24 @@ def protein_length_mismatches(rows: DataFrame, declared: DataFrame) -> DataFrame
     return j.filter("residues <> declared").select("transcript", "bases", "residues", "declared")
 
 
+def declared_proteins(rows: DataFrame, proteins: DataFrame, exempt: Column) -> DataFrame:
+    """gene, problem: genes whose coding bases don't fit the protein (gene, protein) declared of them.
+
+    The bases of all coding rows under a gene's transcripts are its protein's residues and
+    a stop codon.  Genes with a coding row that is ``exempt`` aren't checked.
+    """
+    genes = rows.filter("feature_type = 'mRNA' and source_id is not null").select(F.col("source_id").alias("_t"), F.col("parent_id").alias("_g")).distinct()
+    coding = rows.filter("feature_type = 'CDS' and parent_id is not null").select("parent_id", (F.col("end") - F.col("start") + 1).alias("_n"), F.coalesce(exempt, F.lit(False)).alias("_x"))
+    by_gene = coding.join(genes, F.col("parent_id") == F.col("_t")).groupBy("_g").agg(F.sum("_n").alias("bases"), F.bool_or("_x").alias("_exempt"))
+    found = proteins.join(by_gene, F.col("gene") == F.col("_g"), "left").filter(~F.coalesce("_exempt", F.lit(False)))
+    residues = F.length("protein")
+    problem = (
+        F.when(F.col("bases").isNull(), "a protein is declared and no coding row is there").when(F.col("bases") % 3 != 0, F.concat("bases", F.lit(" coding bases are no whole number of codons")))
+        .when(F.expr("bases div 3 - 1") != residues, F.concat("bases", F.lit(" coding bases make "), F.expr("bases div 3 - 1"), F.lit(" residues, declared are "), residues))
+    )
+    return found.select("gene", problem.alias("problem")).filter("problem is not null")
+
+
 def defects(rows: DataFrame, sequences: DataFrame) -> DataFrame:
     """(row_id, seqid, kind, excused) of every structural defect of rows.
 

@@ -71,11 +71,11 @@ def organellar_sequences(regions: DataFrame) -> DataFrame:
     return regions.filter(match).select("seqid").distinct()
 
 
-def linkage_counts(features: DataFrame) -> DataFrame:
-    """linkage, n: how features are linked; 'unlinked', 'unrecorded' and 'top_level' tell
+def linkage_counts(features: DataFrame, *by: str) -> DataFrame:
+    """linkage, n, and the columns named: how features are linked; 'unlinked', 'unrecorded' and 'top_level' tell
     of a method without parent, a parent without method, and neither."""
     kind = (
         F.when(F.col("linkage_method").isNotNull() & F.col("parent_id").isNotNull(), F.col("linkage_method"))
         .when(F.col("linkage_method").isNotNull(), "unlinked").when(F.col("parent_id").isNotNull(), "unrecorded").otherwise("top_level")
     )
-    return features.groupBy(kind.alias("linkage")).agg(F.count("*").alias("n"))
+    return features.groupBy(*by, kind.alias("linkage")).agg(F.count("*").alias("n"))

@@ -30,6 +30,13 @@ def folded(counts: DataFrame, families: DataFrame, side: str, key: str = "source
     return counts.join(f, F.lower(F.col(key)) == F.col("_t")).groupBy("family").agg(F.sum(value).cast("long").alias("n"))
 
 
+def folded_all(counts: DataFrame, families: DataFrame, key: str = "source_type", value: str = "n") -> DataFrame:
+    """family, n: counts by family, a type of no family by its own name; families has (type, family), types in lower case."""
+    f = families.select(F.col("type").alias("_t"), F.col("family").alias("_f")).distinct()
+    rows = counts.join(f, F.lower(F.col(key)) == F.col("_t"), "left")
+    return rows.groupBy(F.coalesce("_f", key).alias("family")).agg(F.sum(value).cast("long").alias("n"))
+
+
 def published_counts(rows: DataFrame) -> DataFrame:
     """feature, n from a published table (feature, unit, unique_ids, placements): the sum of
     the units where there are any, else the rollup 'all'; unique ids, else placements."""

@@ -73,16 +73,29 @@ def write_bytes(spark: SparkSession, uri: str, parts: Iterable[bytes]) -> None:
     out.close()
 
 
-def sha256(spark: SparkSession, uri: str) -> str:
-    """Checksum of a file of any size, streamed; of a folder's files by name."""
-    h = hashlib.sha256()
+_LEAF = 12  # bits of a line's number within a block, and of a block's within the next
+
+
+def digest(spark: SparkSession, uri: str) -> str:
+    """Checksum of a text file or folder of any size, made by the executors.
+
+    A tree of SHA-256: of lines, of blocks of 4,096 lines, of 4,096 blocks, and of those
+    with the length in bytes.  Lines are numbered over the whole text, so the splits by which it
+    is read make no difference; compressed text is checked by what it holds.
+    """
+    rows = _numbered(spark, uri).select((F.col("line") - 1).alias("i"), F.sha2("value", 256).alias("h"))
+    for _ in range(2):
+        inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
+        rows = rows.groupBy(F.shiftright("i", _LEAF).alias("_j")).agg(F.sha2(inside, 256).alias("h")).select(F.col("_j").alias("i"), "h")
+    top = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "").alias("t")).first().t  # a row for each 16 million lines
+    return "tree:" + hashlib.sha256(f"{top} {length(spark, uri)}".encode()).hexdigest()
+
+
+def length(spark: SparkSession, uri: str) -> int:
+    """Bytes of a file, or of a folder's files that count."""
     if is_folder(spark, uri):
-        for name in text_parts(spark, uri):
-            h.update(f"{name} {sha256(spark, f'{uri}/{name}')}\n".encode())
-    else:
-        for block in _blocks(spark, uri):
-            h.update(block)
-    return h.hexdigest()
+        return sum(size(spark, f"{uri}/{n}") for n in text_parts(spark, uri))
+    return size(spark, uri)
 
 
 def is_folder(spark: SparkSession, uri: str) -> bool:
@@ -142,14 +155,19 @@ def is_gzip(spark: SparkSession, uri: str) -> bool:
 
 
 def lines(spark: SparkSession, uri: str) -> DataFrame:
-    """(file, line, value, block), lines from 1; a folder's files follow each other by name.
+    """(file, line, value, block), lines from 1, without the carriage return at their end; a
+    folder's files follow each other by name.
 
     A plain file of any size is read by Hadoop's splits; a line's number is its place in its
     split plus the lines of the splits before it, of which there is one row each.  block
     names the split, for sums and states that are carried over lines.  Compressed files
     cannot be split; a gzip file of another name is unpacked by Python.
     """
-    name = F.lit(uri)
+    return _numbered(spark, uri).select(F.lit(uri).alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"), "block")
+
+
+def _numbered(spark: SparkSession, uri: str) -> DataFrame:
+    """(line, value, block) of lines as they are."""
     if not is_folder(spark, uri) and is_gzip(spark, uri) and not uri.endswith(".gz"):
 
         def unpack(batches):
@@ -167,7 +185,7 @@ def lines(spark: SparkSession, uri: str) -> DataFrame:
         before = F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         splits = splits.select("_p", "_s", (F.row_number().over(by) - 1).cast("long").alias("block"), (before + 1 - F.col("_first")).alias("_shift"))
         rows = text.join(F.broadcast(splits), ["_p", "_s"]).withColumn("line", F.col("_id") + F.col("_shift"))
-    return rows.select(name.alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"), "block")
+    return rows.select("line", "value", "block")
 
 
 def carried_sum(rows: DataFrame, name: str, value: Column) -> DataFrame:

@@ -130,7 +130,101 @@ def test_the_origin_of_a_circle_explains(spark, tmp_path):
 
 
 def test_proteins_and_rows_twice(spark, tmp_path):
-    text = "# This output was generated with AUGUSTUS\n# start gene g1\nc\tAUGUSTUS\tgene\t1\t99\t.\t+\t.\tID=g1\nc\tAUGUSTUS\ttranscript\t1\t99\t.\t+\t.\tID=g1.t1;Parent=g1\n# protein sequence = [MKV\n# LLA]\n# end gene g1\n"
+    text = "# This output was generated with AUGUSTUS\n# start gene g1\nc\tAUGUSTUS\tgene\t1\t99\t.\t+\t.\tID=g1\nc\tAUGUSTUS\ttranscript\t1\t99\t.\t+\t.\tID=g1.t1;Parent=g1\nc\tAUGUSTUS\tCDS\t1\t21\t.\t+\t0\tID=g1.c;Parent=g1.t1\n# protein sequence = [MKV\n# LLA]\n# end gene g1\n"
     w = Warehouse.create(spark, f"file://{tmp_path}/store")
     w.load(OrganismConfig("A", "b", "n", annotations=(Annotation(put(tmp_path, "a.gff3", text)),)))
     assert [r.value for r in w.export_proteins(1).collect()] == [">g1\nMKVLLA"]
+
+
+AUGUSTUS = """# This output was generated with AUGUSTUS
+# start gene g1
+c\tAUGUSTUS\tgene\t1\t99\t.\t+\t.\tID=g1
+c\tAUGUSTUS\ttranscript\t1\t99\t.\t+\t.\tID=g1.t1;Parent=g1
+c\tAUGUSTUS\tCDS\t1\t12\t.\t+\t0\tID=g1.c;Parent=g1.t1
+c\tAUGUSTUS\tCDS\t31\t39\t.\t+\t0\tID=g1.c;Parent=g1.t1
+# protein sequence = [MKVLLA]
+# end gene g1
+"""
+
+
+def test_declared_proteins_fit_their_coding_rows(spark, tmp_path):
+    def load(text, prefix=None):
+        w = Warehouse.create(spark, f"file://{tmp_path}/store", force=True)
+        return w.load(OrganismConfig("A", "b", "n", annotations=(Annotation(put(tmp_path, "a.gff3", text), id_prefix=prefix),)))
+
+    assert load(AUGUSTUS, "x_").features == 3
+    with pytest.raises(Refused, match="21 coding bases make 6 residues, declared are 7"):
+        load(AUGUSTUS.replace("MKVLLA", "MKVLLAA"))
+    with pytest.raises(Refused, match="20 coding bases are no whole number"):
+        load(AUGUSTUS.replace("31\t39", "31\t38"))
+    load(AUGUSTUS.replace("31\t39", "31\t38").replace("ID=g1.c;", "ID=g1.c;partial=true;"))
+
+
+def test_another_taxon_is_a_warning(spark, tmp_path):
+    region = "chrA\tfunannotate\tregion\t1\t5000\t.\t+\t.\tID=r;Dbxref=taxon:{},x:1\n"
+    for taxon, warns in ((7, True), (5, False)):
+        w = Warehouse.create(spark, f"file://{tmp_path}/store{taxon}")
+        text = GFF.replace("# a comment\n", region.format(taxon))
+        report = w.load(OrganismConfig("A", "b", "n", ncbi_taxon_id=5, annotations=(Annotation(put(tmp_path, f"{taxon}.gff3", text)),)))
+        assert any("declares taxon 7, the configuration 5" in x for x in report.warnings) == warns
+
+
+FLAT = """LOCUS       M1                 5000 bp    DNA     linear PLN 01-JAN-2020
+VERSION     M.1
+FEATURES             Location/Qualifiers
+     source          1..5000
+     gene            100..900
+                     /gene="cox"
+                     /db_xref="GeneID:11"
+     CDS             100..900
+                     /gene="cox"
+                     /db_xref="GeneID:11"
+     gene            2000..2600
+                     /gene="act"
+     mRNA            2000..2600
+                     /gene="act"
+     CDS             2000..2600
+                     /gene="act"
+     gap             3000..3100
+ORIGIN
+        1 acgt
+//
+"""
+NINE = """##gff-version 3
+M.1\tRefSeq\tregion\t1\t5000\t.\t+\t.\tID=r
+M.1\tRefSeq\tgene\t100\t900\t.\t+\t.\tID=g1;gene=cox;Dbxref=GeneID:11
+M.1\tRefSeq\tmRNA\t100\t900\t.\t+\t.\tID=t1;Parent=g1;gene=cox;Dbxref=GeneID:11
+M.1\tRefSeq\tCDS\t100\t900\t.\t+\t0\tID=c1;Parent=t1;gene=cox
+M.1\tRefSeq\tgene\t2000\t2600\t.\t+\t.\tID=g2;gene=act
+M.1\tRefSeq\tmRNA\t2000\t2600\t.\t+\t.\tID=t2;Parent=g2;gene=act
+M.1\tRefSeq\tCDS\t2000\t2600\t.\t+\t0\tID=c2;Parent=t2;gene=act
+M.1\tRefSeq\texon\t2000\t2600\t.\t+\t.\tID=e2;Parent=t2
+"""
+
+
+def test_mrnas_that_one_format_implies_are_set_aside(spark, tmp_path):
+    w = Warehouse.create(spark, f"file://{tmp_path}/store")
+    w.load(OrganismConfig("A", "b", "n", annotations=(Annotation(put(tmp_path, "nine.gff3", NINE)),)))
+    tier = lambda text, name: next((r.outcome, r.detail) for r in w.verify(1, against=put(tmp_path, name, text)).collect() if r.tier == "cross format")
+    assert tier(FLAT, "a.gbff") == ("PASS", "1 mRNAs of genes with a coding sequence and no mRNA in the flat file are not compared")
+    lost = FLAT.replace('     mRNA            2000..2600\n                     /gene="act"\n', "")
+    assert tier(lost, "b.gbff")[0] == "PASS"  # both genes state no mRNA there
+    kind, text = tier(FLAT.replace("     gene            2000..2600\n", "     tRNA            2000..2600\n"), "c.gbff")
+    assert kind == "FAIL" and "gene 2 1 -1" in text and "tRNA 0 1 1" in text
+    # the other way round
+    v = Warehouse.create(spark, f"file://{tmp_path}/flat")
+    v.load(OrganismConfig("A", "b", "n", annotations=(Annotation(put(tmp_path, "flat.gbff", FLAT)),)))
+    got = {r.outcome for r in v.verify(1, against=put(tmp_path, "again.gff3", NINE)).collect() if r.tier == "cross format"}
+    assert got == {"PASS"}
+
+
+def test_the_checksum_of_a_text(spark, tmp_path):
+    text = "".join(f"line {i}\n" for i in range(9000))
+    path = put(tmp_path, "long.txt", text)
+    one = files.digest(spark, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    assert files.digest(spark, path) == one  # by whatever splits
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for other in (text.replace("line 8000\n", "line 8001\n"), text[:-1], text.replace("line 1\nline 2\n", "line 2\nline 1\n"), text.replace("line 5\n", "line 5\r\n"), ""):
+        assert files.digest(spark, put(tmp_path, "other.txt", other)) != one
