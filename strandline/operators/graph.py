@@ -46,18 +46,21 @@ def roots(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.groupBy("id").agg(F.min("parent_id").alias("ptr"))
     state = _cut(nodes.select("id", F.col("ptr"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("ptr").isNull().alias("done"), F.when(F.col("ptr").isNull(), F.col("id")).alias("root")))
+    done, near = state.filter("done"), state.filter("not done")
     rounds = max(1, int(state.count()).bit_length() + 1)
     for _ in range(rounds):
-        to = state.select(F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("done").alias("_done"), F.col("root").alias("_root"))
-        near = state.filter("not done").join(to, F.col("ptr") == F.col("_id"), "left")
+        # finished rows are read by the next rounds and never written again
+        to = done.unionByName(near).select(F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("depth").alias("_depth"), F.col("done").alias("_done"), F.col("root").alias("_root"))
+        rows = near.join(to, F.col("ptr") == F.col("_id"), "left")
         lost = F.col("_id").isNull()
-        near = near.select(
+        rows = _cut(rows.select(
             "id", F.when(lost | F.col("_done"), None).otherwise(F.col("_ptr")).alias("ptr"), F.when(lost, F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"),
             (lost | F.col("_done")).alias("done"), F.when(F.col("_done"), F.col("_root")).cast(state.schema["root"].dataType).alias("root"),
-        )
-        state = _cut(state.filter("done").unionByName(near))
-        if state.filter("not done").isEmpty():
+        ))
+        done, near = done.unionByName(rows.filter("done")), rows.filter("not done")
+        if near.isEmpty():
             break
+    state = done.unionByName(near)
     return state.select("id", F.when(F.col("done"), F.col("root")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(-1).cast("long").alias("depth"))
 
 

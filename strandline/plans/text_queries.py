@@ -14,7 +14,7 @@ from strandline.operators import export_rows
 from strandline.operators.normalise import normalise
 from strandline.plans import graph_view as g
 from strandline.plans.registry import query
-from strandline.sources import fasta, files, functional_files, genbank, gff3, profiles, recount
+from strandline.sources import cross_format, fasta, files, functional_files, genbank, gff3, profiles, recount
 
 V = g.with_view
 SHIFT = 500_000  # positions of the view may lie before 1
@@ -164,6 +164,12 @@ def genbank_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.count_genbank(files.lines(spark, genbank_text(spark, sf_dir)))
 
 
+@query(V("""WITH k AS (SELECT DISTINCT seqid, l_orderkey FROM part_all) SELECT seqid||v AS seqid, 'locus_tag' AS kind, 'L_'||l_orderkey AS value FROM k, (VALUES (''), ('.2')) t(v)"""))
+def flat_genes_without_mrna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes of flat files with a coding sequence and no mRNA, under both names of their record."""
+    return cross_format.genes_without_mrna(files.lines(spark, genbank_text(spark, sf_dir)))
+
+
 @query(V("""SELECT seqid||'.2' AS seqid, 1::BIGINT AS "start", length AS "end" FROM seqs"""))
 def genbank_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of flat files: version and length."""
@@ -252,6 +258,13 @@ def fasta_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fasta.read_sequences(spark, fasta_text(spark, sf_dir))[0]
 
 
+@query(f"""WITH {_FASTA}, b AS (SELECT *, length(seqid) + 7 AS head, CASE WHEN k % 41 = 0 THEN 0 ELSE (k % 9) * 11 + k % 7 + 2 END AS body, CASE WHEN length = 0 THEN 0 WHEN k % 9 > 0 THEN 10 ELSE k % 7 + 1 END::BIGINT AS line_bases FROM f)
+  SELECT row_number() OVER (ORDER BY k) AS ordinal, seqid, length, (coalesce(sum(head + body + 1) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + head)::BIGINT AS "offset", line_bases, CASE WHEN length = 0 THEN 0 ELSE line_bases + 1 END AS line_width, true AS even FROM b""")
+def fasta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of sequences in a file, by byte."""
+    return fasta.index(spark, fasta_text(spark, sf_dir))
+
+
 @query(f"""WITH {_FASTA} SELECT 'name twice' AS rule, seqid AS subject FROM f GROUP BY seqid HAVING count(*) > 1 UNION ALL SELECT 'empty sequence', seqid FROM f WHERE length = 0""")
 def fasta_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that come twice and empty sequences."""

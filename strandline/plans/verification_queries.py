@@ -230,3 +230,17 @@ def cross_file_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = g.read(spark, sf_dir, "customer").select(F.concat(F.lit("k"), "c_custkey").alias("source_id"), F.lit("a").alias("file"))
     b = g.read(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), F.col("s_suppkey") * 3).alias("source_id"), F.lit("b").alias("file"))
     return collisions(a.unionByName(b))
+
+
+@query(V("""WITH b AS (SELECT l_orderkey AS o, sum("end" - "start" + 1)::BIGINT AS bases FROM part_all WHERE source_type = 'CDS' AND l_linestatus = 'O' GROUP BY 1),
+  p AS (SELECT o_orderkey AS o, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE greatest(coalesce(bases // 3 - 1, 3), 0) END AS residues, bases FROM orders LEFT JOIN b ON b.o = o_orderkey WHERE o_orderkey % 3 <> 1)
+  SELECT 'g'||o AS gene, CASE WHEN bases IS NULL THEN 'a protein is declared and no coding row is there' WHEN bases % 3 <> 0 THEN bases||' coding bases are no whole number of codons' ELSE bases||' coding bases make '||(bases // 3 - 1)||' residues, declared are '||residues END AS problem
+  FROM p WHERE bases IS NULL OR bases % 3 <> 0 OR bases // 3 - 1 <> residues"""))
+def declared_protein_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes whose coding bases don't fit the protein declared of them."""
+    rows = g.features(spark, sf_dir, "transcript", "part").withColumn("feature_type", F.when(F.col("source_type").isin("mRNA", "transcript"), "mRNA").otherwise(F.col("source_type")))
+    bases = g.parts(spark, sf_dir).filter("source_type = 'CDS' and l_linestatus = 'O'").groupBy("l_orderkey").agg(F.sum(F.col("end") - F.col("start") + 1).alias("bases"))
+    o = g.read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 1").join(bases, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    residues = F.when(F.col("o_orderkey") % 5 == 0, 7).otherwise(F.greatest(F.coalesce(F.expr("bases div 3 - 1"), F.lit(3)), F.lit(0))).cast("int")
+    proteins = o.select(F.concat(F.lit("g"), "o_orderkey").alias("gene"), F.repeat(F.lit("M"), residues).alias("protein"))
+    return census.declared_proteins(rows, proteins, F.lit(False))

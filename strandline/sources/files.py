@@ -58,6 +58,25 @@ def read_bytes(spark: SparkSession, uri: str) -> bytes:
     return b"".join(_blocks(spark, uri))
 
 
+def read_range(spark: SparkSession, uri: str, at: int, n: int) -> bytes:
+    """n bytes of a file from a place on, by way of the driver; of a folder, as if its files were one."""
+    if is_folder(spark, uri):
+        out = b""
+        for name in text_parts(spark, uri):
+            held = size(spark, f"{uri}/{name}")
+            if at < held and n > 0:
+                part = read_range(spark, f"{uri}/{name}", at, min(n, held - at))
+                out, n, at = out + part, n - len(part), held
+            at -= held
+        return out
+    fs, p = _path(spark, uri)
+    stream, io = fs.open(p), spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    stream.seek(at)
+    data = bytes(io.toByteArray(stream, n))
+    stream.close()
+    return data
+
+
 def write_text(spark: SparkSession, uri: str, text: str) -> None:
     fs, p = _path(spark, uri)
     out = fs.create(p, True)
@@ -83,7 +102,7 @@ def digest(spark: SparkSession, uri: str) -> str:
     with the length in bytes.  Lines are numbered over the whole text, so the splits by which it
     is read make no difference; compressed text is checked by what it holds.
     """
-    rows = _numbered(spark, uri).select((F.col("line") - 1).alias("i"), F.sha2("value", 256).alias("h"))
+    rows = raw_lines(spark, uri).select((F.col("line") - 1).alias("i"), F.sha2("value", 256).alias("h"))
     for _ in range(2):
         inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")
         rows = rows.groupBy(F.shiftright("i", _LEAF).alias("_j")).agg(F.sha2(inside, 256).alias("h")).select(F.col("_j").alias("i"), "h")
@@ -163,10 +182,10 @@ def lines(spark: SparkSession, uri: str) -> DataFrame:
     names the split, for sums and states that are carried over lines.  Compressed files
     cannot be split; a gzip file of another name is unpacked by Python.
     """
-    return _numbered(spark, uri).select(F.lit(uri).alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"), "block")
+    return raw_lines(spark, uri).select(F.lit(uri).alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"), "block")
 
 
-def _numbered(spark: SparkSession, uri: str) -> DataFrame:
+def raw_lines(spark: SparkSession, uri: str) -> DataFrame:
     """(line, value, block) of lines as they are."""
     if not is_folder(spark, uri) and is_gzip(spark, uri) and not uri.endswith(".gz"):
 
