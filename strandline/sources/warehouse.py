@@ -2,7 +2,9 @@
 
 root/_catalog/<revision>.json what is loaded: id, label, folder; the last revision holds
 root/assemblies/<slug>-<id>/  sequence, source_file, feature, attribute, protein,
-                              annotation, annotation_run (Parquet) and manifest.json
+                              annotation, annotation_run (Parquet) and manifest.json;
+                              by_name has the features again, by the checksum of their
+                              name, and by_parent names by that of their parent
 root/functional/<id>/         annotation and annotation_run of a table attached later
 root/_work/<id>.json          what a writer is about, for as long as it is
 
@@ -18,12 +20,14 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+import zlib
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import scalars, vocabulary
 from strandline.functions.bins import bin_of, overlapping
@@ -34,6 +38,9 @@ from strandline.sources.config import OrganismConfig
 from strandline.sources.intents import Intent, Journal
 from strandline.sources.published import protein_fasta
 
+LOOKUP_MOST = 1000  # features of an answer that is found by name; a larger one is found by joins
+BUCKET_ROWS = 50_000
+BUCKETS_MOST = 4096
 TABLES = ["sequence", "source_file", "feature", "attribute", "protein", "annotation", "annotation_run"]
 ADDED = ["annotation", "annotation_run"]  # tables that attached runs add to
 SCHEMAS = {
@@ -368,6 +375,14 @@ class Warehouse:
         )
         # near rows lie together, so statistics of row groups prune regions
         stored.repartitionByRange("seqid", "start").sortWithinPartitions("seqid", "start").write.parquet(f"{staging}/feature")
+        feature = spark.read.parquet(f"{staging}/feature")
+        n = max(1, min(BUCKETS_MOST, feature.count() // BUCKET_ROWS))
+        name = F.coalesce("source_id", F.concat(F.lit("\x00"), F.col("feature_id").cast("string")))
+        placed = lambda df, c: df.withColumn("bucket", (F.crc32(c) % n).cast("int")).repartition("bucket").sortWithinPartitions("bucket", c)
+        placed(feature.withColumn("name", name), "name").write.partitionBy("bucket").parquet(f"{staging}/by_name")
+        kids = feature.filter("parent_id is not null").select("parent_id", name.alias("name")).distinct()
+        placed(kids, "parent_id").write.partitionBy("bucket").parquet(f"{staging}/by_parent")
+        files.write_text(spark, f"{staging}/buckets.json", json.dumps(n))
         attributes = rows.select("feature_id", F.posexplode("stored_attributes").alias("position", "a")).filter("a.key <> 'linkage_method'").select("feature_id", "position", "a.key", F.posexplode("a.values").alias("ordinal", "value"))
         attributes.write.parquet(f"{staging}/attribute")
         for t in ADDED:
@@ -522,29 +537,41 @@ class Warehouse:
         return s.seqid, parts.start, min(parts.end, s.length), s.circular, s.length
 
     def by_id(self, assembly_id: int, source_id: str, **options) -> DataFrame:
+        near = _Names.of(self, assembly_id)
+        found = near and near.answer([source_id], **options)
+        if found is not None:
+            return found
         feature = self.table(assembly_id, "feature")
-        return self._answer(feature, feature.filter(F.col("source_id") == source_id), **options)
+        return self._answer(assembly_id, feature, feature.filter(F.col("source_id") == source_id), **options)
 
     def in_region(self, assembly_id: int, text: str, **options) -> DataFrame:
         """Features with a row in the region; on a circular sequence also past its end."""
         seqid, lo, hi, circular, length = self.region(assembly_id, text)
         feature = self.table(assembly_id, "feature")
         where = overlapping(lo, hi) | overlapping(lo + length, hi + length) if circular else overlapping(lo, hi)
-        return self._answer(feature, feature.filter((F.col("seqid") == seqid) & where), **options)
+        return self._answer(assembly_id, feature, feature.filter((F.col("seqid") == seqid) & where), **options)
 
     def with_term(self, assembly_id: int, term: str, *, analysis: str | None = None, descendants: bool = False, ancestors: bool = False) -> DataFrame:
         """Features that carry a term in any of its forms."""
         variants = self.spark.range(1).select(F.lit(term).alias("t")).select(scalars.term_variants(F.col("t"))).first()[0]
         hits = functional.with_term(self.table(assembly_id, "annotation"), variants, analysis)
         feature = self.table(assembly_id, "feature")
-        return self._answer(feature, feature.join(hits.select("feature_id").distinct(), "feature_id", "left_semi"), descendants=descendants, ancestors=ancestors)
+        return self._answer(assembly_id, feature, feature.join(hits.select("feature_id").distinct(), "feature_id", "left_semi"), descendants=descendants, ancestors=ancestors)
 
-    def _answer(self, feature: DataFrame, rows: DataFrame, *, descendants: bool = False, types: tuple[str, ...] = (), ancestors: bool = False) -> DataFrame:
+    def _answer(self, assembly_id: int, feature: DataFrame, rows: DataFrame, *, descendants: bool = False, types: tuple[str, ...] = (), ancestors: bool = False) -> DataFrame:
         """Whole features of a selection of rows, in depth-first order (column place).
 
         Descendants hang under any row of a feature; types are filtered before ancestors
-        are added.
+        are added.  An answer of LOOKUP_MOST features at most is found by name, a larger one
+        by joins.
         """
+        near = _Names.of(self, assembly_id)
+        if near is not None:
+            name = F.coalesce("source_id", F.concat(F.lit("\x00"), F.col("feature_id").cast("string")))
+            some = [r.name for r in rows.select(name.alias("name")).distinct().limit(LOOKUP_MOST + 1).collect()]
+            found = near.answer(some, descendants=descendants, types=types, ancestors=ancestors)
+            if found is not None:
+                return found
         edges = feature.filter("source_id is not null").select(F.col("source_id").alias("id"), "parent_id")
         if descendants:
             names = graph.closure(edges, rows.select(F.col("source_id").alias("id")).filter("id is not null").distinct()).select(F.col("id").alias("_n")).distinct()
@@ -705,6 +732,108 @@ class Warehouse:
         return plan
 
 
+class _Names:
+    """The features of an assembly by name, read bucket by bucket: what is read follows the answer."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self.schema: dict[str, object] = {}
+
+    _OPEN: dict[tuple[str, str], _Names] = {}
+
+    @classmethod
+    def of(cls, w: Warehouse, assembly_id: int) -> _Names | None:
+        """None for an assembly that was loaded without these tables."""
+        folder = f"{w.root}/{w._assembly(assembly_id)['folder']}"
+        key = w.spark.sparkContext.applicationId, folder
+        if key not in cls._OPEN:
+            if not files.exists(w.spark, f"{folder}/buckets.json"):
+                return None
+            cls._OPEN[key] = cls(w.spark, folder, json.loads(files.read_bytes(w.spark, f"{folder}/buckets.json")))
+        return cls._OPEN[key]
+
+    def _read(self, table: str, column: str, names: list[str]) -> DataFrame:
+        """The rows of these names: only their buckets' folders are opened, and of these only row groups that may hold them."""
+        buckets = sorted({zlib.crc32(n.encode()) % self.buckets for n in names})
+        reader = self.spark.read.option("basePath", f"{self.folder}/{table}")
+        if table in self.schema:
+            reader = reader.schema(self.schema[table])
+        paths = [p for p in (f"{self.folder}/{table}/bucket={b}" for b in buckets) if files.exists(self.spark, p)]
+        if not paths:
+            whole = self.spark.read.parquet(f"{self.folder}/{table}") if table == "by_name" else self.spark.createDataFrame([], "parent_id string, name string, bucket int")
+            return whole.filter(F.lit(False))
+        rows = reader.parquet(*paths)
+        self.schema.setdefault(table, rows.schema)
+        return rows.filter(F.col(column).isin(names))
+
+    def _below(self, names: set[str]) -> set[str] | None:
+        """names and all below them; None beyond LOOKUP_MOST."""
+        seen, frontier = set(names), sorted(names)
+        while frontier:
+            kids = [r.name for r in self._read("by_parent", "parent_id", frontier).select("name").distinct().limit(LOOKUP_MOST + 1).collect()]
+            frontier = sorted(set(kids) - seen)
+            seen |= set(frontier)
+            if len(seen) > LOOKUP_MOST:
+                return None
+        return seen
+
+    def answer(self, names: list[str], *, descendants: bool = False, types: tuple[str, ...] = (), ancestors: bool = False) -> DataFrame | None:
+        """As Warehouse._answer, from names; None if it would be larger than LOOKUP_MOST."""
+        chosen = set(names)
+        if len(chosen) > LOOKUP_MOST:
+            return None
+        if descendants:
+            chosen = self._below(chosen)
+            if chosen is None:
+                return None
+        parent: dict[str, str | None] = {}
+        kinds: dict[str, set[str]] = {}
+        frontier = sorted(chosen)
+        while frontier:  # upwards, a step for each level
+            for r in self._read("by_name", "name", frontier).select("name", "parent_id", "feature_type").distinct().collect():
+                kinds.setdefault(r.name, set()).add(r.feature_type)
+                known = [x for x in (r.parent_id, parent.get(r.name)) if x is not None]
+                parent[r.name] = min(known, default=None)
+            frontier = sorted({p for p in parent.values() if p is not None} - set(parent) - set(frontier))  # one that is no feature is looked for once
+            if len(parent) + len(frontier) > 2 * LOOKUP_MOST:
+                return None
+        chosen &= set(kinds)
+        if types:
+            wanted = {vocabulary.SYNONYM_OF.get(t, t) for t in types}
+            chosen = {n for n in chosen if kinds[n] & wanted}
+        chain: dict[str, list[str]] = {}
+        for n in chosen:
+            way, at = [n], parent[n]
+            while at is not None and at not in way:
+                way.append(at)
+                at = parent.get(at)
+            chain[n] = way
+        if ancestors:
+            for n in list(chosen):
+                for i, a in enumerate(chain[n][1:], 1):
+                    if a in kinds and a not in chosen:
+                        chosen.add(a)
+                        chain[a] = chain[n][i:]
+        if len(chosen) > LOOKUP_MOST:
+            return None
+        whole = self._read("by_name", "name", sorted(chosen)).withColumn("row_id", F.col("feature_id")).drop("name", "bucket")
+        grouped = segments.regroup(whole)
+        rows = {(r.source_id if r.source_id is not None else f"\x00{r.first_row}"): r for r in grouped.collect()}
+        rank = {n: (r.seqid, r.start, r.end, r.first_row) for n, r in rows.items()}
+        out = []
+        for n, r in rows.items():
+            # ranks from the uppermost feature that the answer has without a gap down to it
+            way = []
+            for a in chain[n]:
+                if a not in rank:
+                    break
+                way.insert(0, rank[a])
+            top = chain[n][-1] if r.source_id is not None else None
+            out.append((*r, top, (False, way)))
+        more = T.StructType.fromDDL("top_level string, place struct<late: boolean, ranks: array<struct<seqid: string, start: bigint, end: bigint, first_row: bigint>>>")
+        return self.spark.createDataFrame(sorted(out, key=lambda x: x[-1]), T.StructType([*grouped.schema.fields, *more.fields]))
+
+
 def _upserted(organisms: list[dict], config: OrganismConfig) -> list[dict]:
     """organisms with this one and its strain, each once; what the config says of it is kept where it says nothing."""
     out, found = [], False

@@ -228,3 +228,17 @@ def test_the_checksum_of_a_text(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     for other in (text.replace("line 8000\n", "line 8001\n"), text[:-1], text.replace("line 1\nline 2\n", "line 2\nline 1\n"), text.replace("line 5\n", "line 5\r\n"), ""):
         assert files.digest(spark, put(tmp_path, "other.txt", other)) != one
+
+
+def test_answers_by_name_are_those_by_joins(loaded, monkeypatch):
+    from strandline.sources import warehouse
+
+    w = loaded[0] if isinstance(loaded, tuple) else loaded
+    asks = [
+        lambda: w.by_id(1, "G1", descendants=True), lambda: w.by_id(1, "cds2", ancestors=True), lambda: w.by_id(1, "G1", descendants=True, types=("exon",), ancestors=True), lambda: w.in_region(1, "chrA:1-3,000"),
+        lambda: w.in_region(1, "chrA:120-130", descendants=True), lambda: w.by_id(1, "nothing", descendants=True),
+    ]
+    found = [[tuple(r) for r in ask().collect()] for ask in asks]
+    monkeypatch.setattr(warehouse, "LOOKUP_MOST", 1)  # larger answers are found by joins
+    assert [[tuple(r) for r in ask().collect()] for ask in asks] == found
+    assert [len(f) for f in found][:3] == [5, 3, 4] and found[-1] == []
