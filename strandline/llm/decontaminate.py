@@ -20,7 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import workspace
@@ -163,11 +163,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: in
     found = seen.filter(F.size("places") > 0).select("_key", F.explode("places").alias("p")).select("_key", "p.*").dropDuplicates(["_key", "at", "size"])
     named = windows.groupBy("h", "size", "words").agg(F.collect_set("item").alias("items"))
     hits = workspace.Table(found.join(named, ["h", "size", "words"]).select("_key", "at", "size", "items"), "hits").df
-    spans = hits.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("w"), F.count_if(F.col("size") == span).alias("n_full"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("end"))).cast("array<struct<at:bigint,end:bigint>>")
-    last = lambda a: F.element_at(a, -1)
-    grow = lambda a, x: F.when(x["at"] > last(a)["end"], F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["at"].alias("at"), F.greatest(last(a)["end"], x["end"]).alias("end")))))
-    spans = spans.select("_key", "n_full", F.filter(F.aggregate("w", start, grow), lambda x: x["end"] > 0).alias("hits"))
+    # windows that touch are one span: a span begins where no window before reaches
+    by = Window.partitionBy("_key").orderBy("at", "size")
+    reach = F.max(F.col("at") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begun = hits.select("_key", "at", "size", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int").alias("_new"))
+    begun = begun.withColumn("_span", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = begun.groupBy("_key", "_span").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("size")).alias("end"), F.count_if(F.col("size") == span).alias("n"))
+    spans = spans.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("hits"), F.sum("n").alias("n_full"))
     items = hits.select("_key", F.explode_outer("items").alias("item")).groupBy("_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["at"])
     return spans.join(items, "_key").select("_key", n_hit.alias("n_hit"), "n_full", "hits", "items"), seen.select("doc_id", "_key", "n_words")
@@ -182,11 +184,13 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     anywhere, and those of which at least a twentieth is benchmark text (shorter items).
 
     No text that is left holds a window of ``span`` words of the benchmark.  Rows with
-    null or empty text stay; rows that repeat a text stay or go together.
+    null or empty text stay; rows that repeat a text stay or go together.  Other columns
+    stay as they are, whatever their names; an empty table stays empty.
     """
-    found, rows = find_leaks(docs, benchmark, **options)
-    leaks = rows.join(found, "_key").filter((F.col("n_full") > 0) | contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("_key").alias("_leak")).distinct()
-    return docs.join(workspace.Table(leaks, "leaks").df, _key(docs["text"]) == F.col("_leak"), "left_anti")
+    found, rows = find_leaks(docs.select("text"), benchmark, **options)
+    (name,) = workspace.free(docs, "_leak")
+    leaks = rows.join(found, "_key").filter((F.col("n_full") > 0) | contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("_key").alias(name)).distinct()
+    return docs.join(workspace.Table(leaks, "leaks").df, _key(docs["text"]) == F.col(name), "left_anti")
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MAX_BLOCKS = 50_000
 LEAST_BLOCK = 8
 BUCKET_ROWS = 4_000
+NAMES = ("_source", "_block", "_slot", "_position")
 ALPHA = 0.5
 _PER = 1_000_000
 
@@ -67,8 +68,8 @@ def schedule(blocks: dict[str | None, int], weights: dict[str | None, Fraction])
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, alpha: float = ALPHA, max_blocks: int = MAX_BLOCKS, least_block: int = LEAST_BLOCK) -> DataFrame:
-    """docs with _source, _block, _slot and _position: the place of each row in the mix.
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, *, alpha: float = ALPHA, max_blocks: int = MAX_BLOCKS, least_block: int = LEAST_BLOCK, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with the columns ``names``: source, block, slot and position of each row in the mix.
 
     ``weights``: target of each source, null a source of its own; sources not named
     have weight 0 and follow at the end.  None: in proportion to the sizes to the
@@ -77,17 +78,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     how the rows are stored; rows equal in both are interchangeable.  Rows without doc_id
     are dealt by where they lie, as all of them may have one text: docs with such rows
     has to be a stored table, so that they lie where they lay.
-    Columns of these names are replaced.  An empty table stays empty.
+    Columns of these names are replaced, others stay as they are.  An empty table stays empty.
 
     A source's rows are numbered in buckets of a hash, so a source of any size is
     dealt over many tasks.
     """
     spark = docs.sparkSession
-    docs = docs.drop("_source", "_block", "_slot", "_position")
+    docs = docs.drop(*names)
     columns = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "source", "text") else f"c{i}" for i, c in enumerate(columns)])  # no name clashes with those below
+    own = [F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, columns)]
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    text = F.col("text") if "text" in columns else F.lit(None).cast("string")
+    text = F.col("text") if "text" in docs.columns else F.lit(None).cast("string")
     order = F.xxhash64(F.col("doc_id"), text.cast("string"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
     keyed = docs.withColumn("_source", F.col("source").cast("string")).withColumn("_o", order).withColumn("_w", F.xxhash64(text.cast("string"))).withColumn("_q", F.pmod("_o", F.lit(buckets)))
     sizes = keyed.groupBy("_source", "_q").agg(F.count("*").alias("_n"))
@@ -95,8 +98,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     counts = {r["_source"]: r["n"] for r in sizes.groupBy("_source").agg(F.sum("_n").alias("n")).collect()}  # a row for each source
     if not counts:
-        empty = {"_source": "string", "_block": "long", "_slot": "long", "_position": "long"}
-        return docs.select("*", *[F.lit(None).cast(k).alias(c) for c, k in empty.items()])
+        return docs.select(*own, *[F.lit(None).cast(k).alias(c) for c, k in zip(names, ("string", "long", "long", "long"))])
     size = max(least_block, -(-total // max(1, max_blocks - len(counts))))
     blocks = {s: -(-n // size) for s, n in counts.items()}
     shares = {s: Fraction(w).limit_denominator(_PER) for s, w in weights.items()} if weights is not None else tempered(counts, alpha)
@@ -112,5 +114,5 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     ranked = ranked.withColumn("_rank", F.col("_r") + F.col("_before")).withColumn("_b", F.floor(F.col("_rank") / size))
     # the plan has at most max_blocks + sources rows
     placed = ranked.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_block")))
-    position = (F.col("_first") + F.col("_rank") % size).cast("long").alias("_position")
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "_source", "_block", "_slot", position)
+    position = (F.col("_first") + F.col("_rank") % size).cast("long")
+    return placed.select(*own, *[c.alias(n) for c, n in zip((F.col("_source"), F.col("_block"), F.col("_slot"), position), names)])

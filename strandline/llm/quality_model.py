@@ -207,6 +207,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, accept: float = ACCEPT
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, *, accept: float = ACCEPT, **options) -> DataFrame:
-    """docs without the rows that score below ``accept``."""
-    scored = with_score(docs, learn(docs, labels, **options), "_score")
-    return scored.filter(F.col("_score") >= accept).drop("_score")
+    """docs without the rows that score below ``accept``.
+
+    Null and empty texts are scored like others; rows that repeat a text stay or go
+    together; an empty table stays empty.  Other columns stay as they are, whatever
+    their names.
+    """
+    (name,) = workspace.free(docs, "_score")
+    scored = with_score(docs, learn(docs, labels, **options), name)
+    return scored.filter(F.col(name) >= accept).select(*[F.col(f"`{c}`") for c in docs.columns])

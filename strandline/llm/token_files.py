@@ -373,14 +373,15 @@ def write_token_files(
     """Encode whole texts and write them in ascending order of ``order_by`` (doc_id).
 
     A null text is empty and yields the end id alone; null ids come first; rows
-    that repeat an id are all written, in no particular order among themselves;
+    that repeat an id are all written, by a hash of their text among themselves, so
+    that only equal rows are interchangeable;
     an empty table makes no shard.  Other columns are ignored.  Sorting is by range,
     so each task holds one batch of rows, and sequences never need the driver.
     """
     spark = docs.sparkSession
     workspace.ship(spark)
     folder = folder or workspace.new_path(spark, "tokens")
-    order = order_by or [F.col("doc_id")]
+    order = [*(order_by or [F.col("doc_id")]), F.xxhash64(F.col("text").cast("string"))]
     keys = [f"_k{i}" for i in range(len(order))]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[c.alias(k) for c, k in zip(order, keys)])
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text", F.spark_partition_id().alias("_p"))

@@ -96,6 +96,17 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
     return True
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Table:
     """A DataFrame written to the shared folder: lineage ends here, and a lost
     executor costs only the tasks that it ran."""
