@@ -2,6 +2,12 @@
 
 Stages read and return documents; the last returns what the token files hold.  The
 mix lays the documents down in its order, and the token files follow that order.
+
+In every stage a null text is an empty one: it is scored, is near no other text, leaks
+nothing, has its place in the mix and becomes the end id alone.  A null doc_id is a document
+of its own.  Rows that repeat a text are judged alike, but for near duplicates, of which
+one document stays.  Columns beyond those of documents are kept as they are, whatever their
+names, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -37,15 +43,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix: part files in order, rows in order."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.repartitionByRange("_position").sortWithinPartitions("_position").select(docs.columns)
+    names = workspace.free(docs, *mixing.NAMES)
+    mixed = mixing.mix_sources(docs, names=tuple(names))
+    return mixed.repartitionByRange(names[-1]).sortWithinPartitions(names[-1]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order in which the documents lie; doc_id, start, n_tokens, ids_crc32 from them."""
     order = [F.col("doc_id")]
     if docs.inputFiles():
-        order = [F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.col("_metadata.row_index")]
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        order = [F.regexp_extract(name, "^part-([0-9]+)", 1).try_cast("long"), name, F.col("_metadata.row_index")]  # part-100000 follows part-99999
     return token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), order_by=order).documents()
 
 
