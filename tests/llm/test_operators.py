@@ -616,17 +616,28 @@ def test_differencing_takes_lines_on_the_given_pages(spark):
     assert main_text.extract_main_text(p).agg(F.sum("n_shared")).first()[0] > 0
 
 
-def test_differencing_takes_articles_that_neighbours_share(spark):
-    """A teaser in an article of its own, on pages with different articles; but no copy of a page's article."""
-    teaser, page = "<div><article><h2>Top story</h2><p>Read on</article></div>", lambda x: f"<article><p>Text {x}<p>Same line</article>"
-    html = {"a": page(1) + teaser, "b": teaser + page(2), "c": teaser, "d": page(3) + teaser, "e": page(3) + teaser}
-    hosts = [("x", "ab"), ("y", "ac"), ("z", "de"), ("w", "a")]
-    rows = [(10 * i + k, f"https://{h}.example/{k}", html[p]) for i, (h, names) in enumerate(hosts) for k, p in enumerate(names)]
+def test_articles_that_neighbours_share_stay(spark):
+    """Pages that carry one story beside a story of their own keep both."""
+    story, page = "<div><article><h2>Wire story</h2><p>Read on</article></div>", lambda x: f"<article><p>Text {x}<p>Same line</article>"
+    rows = [(k, f"https://x.example/{k}", h) for k, h in enumerate([page(1) + story, story + page(2), story, page(3) + story])]
     got = {r.page_id: r.text for r in main_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), segments=3).collect()}
-    both = "Top story\nRead on"
-    assert got[0] == "Text 1\nSame line" and got[1] == "Text 2\nSame line"
-    assert got[10] == f"Text 1\nSame line\n{both}" and got[11] == both  # the other page is that article's own
-    assert got[20] == got[21] == f"Text 3\nSame line\n{both}" and got[30] == f"Text 1\nSame line\n{both}"  # copies, and alone
+    wire = "Wire story\nRead on"
+    assert got == {0: f"Text 1\nSame line\n{wire}", 1: f"{wire}\nText 2\nSame line", 2: wire, 3: f"Text 3\nSame line\n{wire}"}
+
+
+@pytest.mark.parametrize("name", ['class="reader-comments"', 'class="comment-thread"', 'class="commentlist"', 'id="userComments"', 'id="disqus_thread"', 'class="ad-300x250"', 'class="google-ads"', "class=adsbygoogle", 'class="post-comments wide"', 'class="sharedaddy"', 'id="comment-12"', 'class="Ad"'])
+def test_comments_and_adverts_in_an_article(name):
+    text = lambda h: main_text.main_text(main_text.page_lines(h), [])[0]
+    assert text(f"<article><p>One<div {name}><p>said <b>x</b></div><p>two</article>") == "One\ntwo"
+    assert text(f"<article><p>One</article><div {name}><article>said</article></div>") == "One"
+
+
+def test_names_that_are_an_articles_own():
+    text = lambda h: main_text.main_text(main_text.page_lines(h), [])[0]
+    for name in ("has-comments", "no-sidebar", "discussion", "advertising-history", "thread", "is-ad-free", "comments-on-kant", "add-on", "header"):
+        assert text(f'<article><p>One<div class="{name}">two</div></article>') == "One\ntwo", name
+    assert text('<article>One</article><div class="discussion"><article>said</article></div>') == "One"
+    assert text('<div class="discussion"><article>the only one</article></div>') == "the only one"
 
 
 def test_longest_common_subsequence():
