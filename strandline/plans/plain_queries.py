@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.operators import fidelity, transcripts
 from strandline.plans import graph_view as g
 from strandline.plans.registry import query
-from strandline.sources import files, plain_reader
+from strandline.sources import files, foreign, plain_reader
 
 V = g.with_view
 SHIFT = 500_000
@@ -302,3 +302,76 @@ def transcript_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = gene_models(want)[0].select(F.explode("genes").alias("id"))
     orphans = lone.select(F.lit("orphan").alias("scope"), F.col("type").alias("name"), F.lit("n").alias("counter"), "n")
     return transcripts.counters(found).unionByName(transcripts.genes_found(genes, have)).unionByName(orphans)
+
+
+# -- other stores
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The text's rows as records (id), and their links to records of the parents they name."""
+    rows = hard_rows(spark, sf_dir).withColumn("record", F.concat(F.lit("r"), "k"))
+    up = rows.filter("id is not null").groupBy(F.col("id").alias("_u")).agg(F.min("record").alias("parent"))
+    links = rows.select(F.col("record").alias("child"), F.explode("parents").alias("_p")).join(up, F.col("_p") == F.col("_u")).select("parent", "child").distinct()
+    return rows, links
+
+
+_KEYED = """, up AS (SELECT key, string_agg(DISTINCT p, ',' ORDER BY p) AS held FROM (SELECT key, unnest(parents) AS p FROM hard_key) WHERE p IN (SELECT id FROM hard_row WHERE id IS NOT NULL) GROUP BY key)"""
+
+
+@query(_with(f"""{_KEYED} SELECT h.key, seqid, type, strand, "start", "end", nseg, segs, coalesce(held, '') AS parents, attrs, nseg AS records, '' AS flags FROM hard h LEFT JOIN up USING (key)"""))
+def attribute_store_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a store of records with JSON attributes and relations by level."""
+    rows, links = _identified(spark, sf_dir)
+    entry = lambda k, v: F.when(F.size(v) > 0, F.struct(F.lit(k).alias("key"), v.alias("value")))
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    yes = lambda c, v: F.when(F.col(c), F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    note = F.transform("note", lambda v, i: F.when(i == F.size("note") - 1, F.concat(v, F.lit("  "))).otherwise(v))
+    pairs = F.array_compact(F.array(entry("ID", one("id")), entry("Note", note), entry("Name", one("name")), entry("exception", yes("spliced", "trans-splicing")), entry("Is_circular", yes("circular", "true")), entry("genome", one("genome"))))
+    records = rows.select(F.col("record").alias("id"), "seqid", F.col("type").alias("featuretype"), "start", "end", "strand", F.to_json(F.map_from_entries(pairs)).alias("attributes"))
+    far = links.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.lit(2).alias("level"))  # not stated in the text
+    return foreign.from_attribute_store(records, links.withColumn("level", F.lit(1)).unionByName(far))
+
+
+@query(_with(f""", up AS (SELECT key, string_agg(DISTINCT p, ',' ORDER BY p) AS held FROM (SELECT key, unnest(parents) AS p FROM hard_key) WHERE p IN (SELECT id FROM hard_row WHERE id IS NOT NULL AND type <> 'region') GROUP BY key)
+  SELECT h.key, seqid, type, replace(strand, '?', '.') AS strand, "start", "end", nseg, segs, coalesce(held, '') AS parents, '' AS attrs, 1::BIGINT AS records, '' AS flags FROM hard h LEFT JOIN up USING (key) WHERE type <> 'region' AND NOT contains(strand, ',') AND NOT contains(flags, 'inverted') AND id_known"""
+  .replace(" AND id_known", " AND flags NOT LIKE '%no_id%'")))
+def relational_store_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named features of a store with half-open places from 0; sequences are landmarks there."""
+    text, found = _read(spark, sf_dir)
+    fine = found.filter("flags not like '%inverted%' and strand not like '%,%' and flags not like '%no_id%'").select("key")
+    rows, links = _identified(spark, sf_dir)
+    number = F.xxhash64("key")
+    sides = rows.filter("id is not null").select("record", F.col("id").alias("key"), "seqid", "type", "start", "end", "strand")
+    feature = sides.groupBy("key").agg(F.min("type").alias("type")).select(number.alias("feature_id"), F.col("key").alias("uniquename"), "type")
+    location = sides.filter("type <> 'region'").select(number.alias("feature_id"), "seqid", (F.col("start") - 1).alias("fmin"), F.col("end").alias("fmax"), F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", -1).otherwise(0).alias("strand"))
+    to = sides.select("record", number.alias("n"))
+    edges = links.join(to.select(F.col("record").alias("child"), F.col("n").alias("subject_id")), "child").join(to.select(F.col("record").alias("parent"), F.col("n").alias("object_id")), "parent").select("subject_id", "object_id").distinct()
+    return foreign.from_relational_store(feature, location, edges).join(fine, "key", "left_semi")
+
+
+def ontology_text(spark: SparkSession, sf_dir: str) -> str:
+    """A term for each part: a kind of one and in part of another part of a smaller number."""
+    p = g.read(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    n = lambda c: F.concat(F.lit("X:"), c)
+    value = F.concat_ws(
+        "\n", F.lit(""), F.when(k % 17 == 0, "[Typedef]").otherwise("[Term]"), F.concat(F.lit("id: "), n(k)), F.when(k % 19 != 0, F.concat(F.lit("name: "), "p_name")), F.concat(F.lit('synonym: "also \\\\"'), k, F.lit('\\\\"" EXACT []')), F.when(k % 2 == 0, F.concat(F.lit('synonym: "even" []'))),
+        F.when(k > 1, F.concat(F.lit("is_a: "), n(F.expr("p_partkey div 2")), F.lit(" ! a comment"))), F.when((k > 2) & (k % 5 == 0), F.concat(F.lit("relationship: part_of "), n(F.expr("p_partkey div 3")), F.lit(" ! another"))), F.when(k % 7 == 0, F.concat(F.lit("relationship: has_part "), n(k + 1))),
+        F.when(k % 11 == 0, "is_obsolete: true"),
+    )
+    head = spark.createDataFrame([(-1, "format-version: 1.2"), (0, "id: not in a stanza")], "k long, value string")
+    return files.write_lines(head.unionByName(p.select(k.cast("long").alias("k"), value.alias("value"))), files.scratch(spark, "ontology"), "k")
+
+
+@query("""SELECT 'X:'||p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 17 = 0 THEN 'Typedef' ELSE 'Term' END AS kind, p_partkey % 11 = 0 AS obsolete, 1 + (p_partkey % 2 = 0)::BIGINT AS synonyms FROM part WHERE p_partkey % 19 <> 0""")
+def ontology_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an ontology's text, and how many synonyms each has."""
+    terms, _, synonyms = foreign.ontology(spark, ontology_text(spark, sf_dir))
+    return terms.join(synonyms.groupBy("id").agg(F.count("*").alias("synonyms")), "id")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey > 1 AND p_partkey % 19 <> 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2 AND p_partkey % 5 = 0 AND p_partkey % 19 <> 0),
+  r AS (SELECT a, b, 1::BIGINT AS d FROM e UNION SELECT r.a, e.b, d + 1 FROM r JOIN e ON e.a = r.b) SELECT 'X:'||a AS id, 'X:'||b AS ancestor, min(d) AS depth FROM r GROUP BY a, b""")
+def ontology_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each term is or is part of."""
+    return foreign.ancestors(foreign.ontology(spark, ontology_text(spark, sf_dir))[1])

@@ -47,7 +47,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     width = F.octet_length("value") + 1
     rows = files.raw_lines(spark, path).withColumn("_head", F.startswith("value", F.lit(">")))
     rows = files.carried_sum(files.carried_sum(rows, "_after", width.cast("long")), "ordinal", F.col("_head").cast("int")).filter("ordinal > 0")
-    bases = F.length(F.trim("value"))
+    bases = F.length(F.trim("value", F.lit(" \t\r")))
     text = ~F.col("_head") & (bases > 0)
     only = lambda c: F.when(text, c)
     out = rows.groupBy("ordinal").agg(
