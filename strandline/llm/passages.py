@@ -21,8 +21,8 @@ intervals, laid over each other at the token, still hold a run (interval join):
 * of up to HOT different ones all pairs go on to verification, as do all pairs of documents
   where these are no more than PAIRS for each window;
 * of more, each is held against all that it isn't connected with: words compared from the
-  token outwards give verbatim passages, and leave out whom no shingle follows within GAP
-  words of a common run too short to do alone, and who have too few shingles in common;
+  token outwards give verbatim passages, and leave out whom no shingle follows within
+  a gap's words of a common run too short to do alone, and who have too few shingles in common;
   what is left is verified on these words.  Pairs that connect what is linked go on to
   verification.
 
@@ -52,7 +52,6 @@ SPAN = 50
 SIMILARITY = 0.8
 RUN = 22
 FUNCTIONS = 1
-GAP = 8
 MEMBERS = 64
 FEW_RUNS = 16
 HOT = 3
@@ -66,9 +65,20 @@ _WINDOW = np.dtype([("key", "<i8"), ("around", "<i8"), ("other", "<i4"), ("at",
 _ROOM = 5  # bits
 
 
+def _gap(span: int, similarity: float = SIMILARITY) -> int:
+    """Words that can stand between two runs of a passage, neither of which is a span of its own.
+
+    Runs of n words with g words between them on one side have n - 8 shingles of n + g in
+    common, and n is 2 (span - 1) at most.  A longer gap beside a longer run only makes that
+    run's similarity less, so the run is a passage by itself.
+    """
+    n = 2 * (span - 1)
+    return int((n - 2 * (SHINGLE - 1)) / similarity - n + 1e-9)
+
+
 def _reach(span: int) -> int:
     """Words on each side of a token that hold a passage's shortest part that passes: two runs, each shorter than a span, and a gap."""
-    return 2 * span + GAP - 2
+    return 2 * span + _gap(span) - 2
 
 
 def compact_windows(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -400,7 +410,7 @@ class Crowd:
         verbatim = left + right >= self.span
         out, rest = [others[verbatim]], np.flatnonzero(~verbatim)
         # a run that is long enough with words that differ, or a shingle within a gap of its ends
-        near, k = (left + right)[rest] - SHINGLE + 1 >= _common(self.span, SIMILARITY), np.arange(GAP + 1)
+        near, k = (left + right)[rest] - SHINGLE + 1 >= _common(self.span, SIMILARITY), np.arange(_gap(self.span) + 1)
         for at in ((side + right[rest])[:, None] + k, (side - left[rest])[:, None] - SHINGLE - k):
             good = (at >= 0) & (at < 2 * side)
             at = np.clip(at, 0, 2 * side - 1)
@@ -568,7 +578,7 @@ def _joined(row: np.ndarray, at: np.ndarray, span: int, similarity: float) -> np
     """Rows with common shingles, at these places in order, that a passage can be made of: runs and gaps of a span, or as many shingles as two runs need."""
     if not len(at):
         return row
-    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > GAP + SHINGLE)]))
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] - at[:-1] > _gap(span, similarity) + SHINGLE)]))
     last = np.append(first[1:], len(at)) - 1
     return np.unique(row[first[(at[last] - at[first] + SHINGLE >= span) | (last - first + 1 >= _common(span, similarity))]])
 
@@ -762,11 +772,11 @@ def _left_out(doc: Text, lead: Text, found: list[tuple[int, int, int, int, float
 
 def verify(doc: Text, lead: Text, span: int = SPAN, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """(start, end, lead_start, lead_end, similarity) of the passages, in words."""
-    chains: list[list[tuple[int, int, int]]] = []
+    chains, gap = [], _gap(span, similarity)
     for i, j, n in exact_runs(doc, lead):
         if chains:
             pi, pj, pn = chains[-1][-1]
-            if 0 <= i - pi - pn <= GAP and 0 <= j - pj - pn <= GAP:
+            if 0 <= i - pi - pn <= gap and 0 <= j - pj - pn <= gap:
                 chains[-1].append((i, j, n))
                 continue
         chains.append([(i, j, n)])

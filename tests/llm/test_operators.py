@@ -214,6 +214,45 @@ def test_recall_of_near_passages(spark):
         assert len(band) > 10 and sum(k in got for k in band) >= 0.9 * len(band)
 
 
+def edited(p, at, drop, put):
+    return [*p[:at], *put, *p[at + drop :]]
+
+
+def jaccard(p, q):
+    a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q))
+    return len(a & b) / len(a | b)
+
+
+def test_passages_around_inserted_and_deleted_words():
+    """Every pair with one edit at one place, as long as it is 0.8 similar: inserted, deleted and replaced words."""
+    text = lambda words: passages.Text(" ".join(words).encode())
+    x, y, n = prose(30, 501).split(), prose(30, 502).split(), 0
+    for size, at, more in ((88, 44, 9), (88, 44, 12), (86, 43, 10), (80, 40, 9), (60, 30, 3), *((s, k, g) for s in range(52, 99, 5) for k in (26, s // 2, s - 27) for g in range(1, 15))):
+        p = prose(size, 600 + size).split()
+        for q in (edited(p, at, 0, prose(more, 700 + more).split()), edited(p, at, more, []), edited(p, at, more // 2, prose(more - more // 2, 800).split())):
+            if jaccard(p, q) >= 0.8 and min(len(p), len(q)) >= 50:
+                n += 1
+                a, b = text([*x, *p, *y]), text([*y[::-1], *q, *x[::-1]])
+                assert passages._may_hold(a, b, 50) and passages.verify(a, b), (size, at, more)
+    assert n > 300
+
+
+def test_recall_of_passages_with_insertions_and_deletions(spark):
+    """Pairs of 50 to 120 words with up to 16 words inserted, deleted or replaced at one place or two: all of similarity 0.8 or more."""
+    r, rows, want = random.Random(14), [], {}
+    for n in range(260):
+        p = prose(r.randint(50, 120), 40_000 + n).split()
+        q = list(p)
+        for k in range(r.choice((1, 1, 1, 2))):
+            q = edited(q, r.randint(5, len(q) - 5), r.choice((0, 0, 1, 3, 8)), prose(r.choice((0, 1, 4, 9, 12, 14, 16)), 50_000 + 2 * n + k).split())
+        if min(len(p), len(q)) >= 50 and (s := jaccard(p, q)) >= 0.8:
+            want[2 * n, 2 * n + 1] = s
+        for i, t in ((2 * n, p), (2 * n + 1, q)):
+            rows.append((i, " ".join(prose(20, 60_000 + i).split() + t + prose(20, 70_000 + i).split())))
+    got = {tuple(sorted(tuple(x)[:2])) for x in passages.find_passages(docs(spark, rows)).collect()}
+    assert len(want) > 100 and set(want) <= got, sorted((round(want[k], 3), k) for k in set(want) - got)
+
+
 def test_repeated_words_and_short_lines_are_few_windows(spark):
     """Of one word that repeats, the first and the last run are windows; a line under a run is compared with nothing: the same groups as brute force."""
     r, line, texts = random.Random(12), prose(13, 7950).split(), []
