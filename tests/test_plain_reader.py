@@ -85,9 +85,9 @@ def test_features_of_a_text(spark, tmp_path, name, end):
     text = plain_reader.read(spark, f"file://{tmp_path}/{name}", ignore=["added"])
     got = {tuple(r) for r in plain_reader.features(text).collect()}
     assert got == model(ROWS, {"added"})
-    assert {f for r in got for f in r[11].split(",")} >= set(plain_reader.HARD_CASES) - {"past_end"} and sum(r[12] for r in got) == 1
+    assert {f for r in got for f in r[11].split(",")} >= set(plain_reader.HARD_CASES) and sum(r[12] for r in got) == 1
     facts = {(r.kind, r.name): r.n for r in plain_reader.summary(text, plain_reader.features(text)).collect()}
-    assert facts["total", "rows"] == 14 and facts["total", "non_numeric_rows"] == 1 and facts["total", "circular_sequences"] == 1 and facts["hard case", "past_end"] == 0 and facts["type with parent", "exon"] == 3
+    assert facts["total", "rows"] == 14 and facts["total", "non_numeric_rows"] == 1 and facts["total", "circular_sequences"] == 1 and facts["hard case", "past_end"] == 2 and facts["type with parent", "exon"] == 3
 
 
 def test_an_empty_text(spark, tmp_path):
