@@ -47,8 +47,8 @@ SYNONYM_OF = {s: c for c, names in SYNONYMS.items() for s in names}
 
 
 def rows() -> list[tuple[str, str, str]]:
-    """(term, canonical_term, tier): canonical terms are tier A, synonyms B."""
-    return [(c, c, "A") for c in CANONICAL] + [(s, c, "B") for s, c in sorted(SYNONYM_OF.items())]
+    """(term, canonical_term, tier): canonical terms and their synonyms, all of tier A."""
+    return [(c, c, "A") for c in CANONICAL] + [(s, c, "A") for s, c in sorted(SYNONYM_OF.items())]
 
 
 def table(spark: SparkSession) -> DataFrame:

@@ -88,33 +88,48 @@ def gzip_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recount.count_lines(files.lines(spark, _put(spark, "packed", rows, compression="gzip")))
 
 
-@query("""SELECT * FROM (VALUES ('annotation', false), ('blank lines before LOCUS', true), ('LOCUS later', false)) v("case", genbank)""")
+@query(V("""SELECT * FROM (SELECT 'annotation' AS "case", false AS genbank, (SELECT count(*) FROM feature) + 25 + 5 AS n_lines UNION ALL SELECT 'blank lines before LOCUS', true, 3 + count(*) FROM nation UNION ALL SELECT 'LOCUS later', false, 1 + count(*) FROM nation UNION ALL SELECT 'only blank lines', false, count(*) FROM nation)"""))
 def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat files by their first line that isn't blank."""
-    texts = {"annotation": ["##gff-version 3", "a\tb"], "blank lines before LOCUS": ["", "  ", "LOCUS       x 5 bp"], "LOCUS later": ["# c", "LOCUS x"]}
-    found = [(k, gff3.looks_like_genbank(spark, _put(spark, "sniff", _heads(spark, v)))) for k, v in texts.items()]
-    return spark.createDataFrame(found, "case string, genbank boolean")
+    """Flat files by their first line that isn't blank, of texts made of the tables."""
+    n = g.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
+    records = n.select("k", F.concat(F.lit("LOCUS       "), "n_name", F.lit(" 5 bp")).alias("value"))
+    texts = {
+        "annotation": gff3_text(spark, sf_dir), "blank lines before LOCUS": _put(spark, "sniff", _heads(spark, ["", "  ", "\t "]), records), "LOCUS later": _put(spark, "sniff", _heads(spark, ["# a comment"]), records),
+        "only blank lines": _put(spark, "sniff", n.select("k", F.lit("  ").alias("value"))),
+    }
+    out = [files.lines(spark, path).agg(F.count("*").alias("n_lines")).select(F.lit(case).alias("case"), F.lit(gff3.looks_like_genbank(spark, path)).alias("genbank"), "n_lines") for case, path in texts.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
 _ROW = "s\t{}\tgene\t1\t2\t.\t+\t.\tID=x"
 
+#: What the orders of a priority write in column 2, by the order's number, and a line before them.
+_PRODUCERS = {
+    "1-URGENT": (("RefSeq", "Gnomon", "me"), "#!processor NCBI annotwriter"), "2-HIGH": (("AUGUSTUS", "me"), "# nothing"), "3-MEDIUM": (("funannotate", "funannotate"), "##gff-version 3"), "4-NOT SPECIFIED": (("RefSeq", "AUGUSTUS"), "##gff-version 3"),
+    "5-LOW": (("me", "you"), "##gff-version 3"),
+}
+
 
-@query("""SELECT * FROM (VALUES ('refseq header', 'refseq', 'HIGH'), ('refseq producer', 'refseq', 'MEDIUM'), ('augustus', 'augustus', 'MEDIUM'), ('funannotate', 'funannotate', 'MEDIUM'), ('own export', 'export', 'HIGH'),
-  ('two producers', 'refused', 'more than one'), ('unknown', 'refused', 'no dialect'), ('stated', 'genbank', 'HIGH')) v("case", dialect, confidence)""")
+@query("""WITH v(priority, dialect, confidence) AS (VALUES ('1-URGENT', 'refseq', 'HIGH'), ('2-HIGH', 'augustus', 'MEDIUM'), ('3-MEDIUM', 'funannotate', 'MEDIUM'), ('4-NOT SPECIFIED', 'refused', 'more than one'), ('5-LOW', 'refused', 'no dialect'))
+  SELECT o_orderpriority AS "case", any_value(dialect) AS dialect, any_value(confidence) AS confidence, count(*) AS n_rows FROM orders JOIN v ON priority = o_orderpriority GROUP BY 1
+  UNION ALL SELECT '5-LOW stated', 'genbank', 'HIGH', count(*) FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT '4-NOT SPECIFIED exported', 'export', 'HIGH', count(*) FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'""")
 def dialect_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialects by header and producers."""
-    texts = {
-        "refseq header": ["#!processor NCBI annotwriter", _ROW.format("Gnomon")], "refseq producer": [_ROW.format("RefSeq")], "augustus": [_ROW.format("AUGUSTUS")], "funannotate": [_ROW.format("funannotate")],
-        "own export": [profiles.EXPORT_PRAGMA, _ROW.format("RefSeq")], "two producers": [_ROW.format("RefSeq"), _ROW.format("AUGUSTUS")], "unknown": [_ROW.format("me")], "stated": [_ROW.format("me")],
-    }
-    out = []
-    for case, lines in texts.items():
-        try:
-            p, sure, _ = profiles.detect(gff3.read(spark, _put(spark, "dialect", _heads(spark, lines))), "genbank" if case == "stated" else None)
-            out.append((case, p.name, sure))
-        except profiles.DialectError as e:
-            out.append((case, "refused", "more than one" if str(e).startswith("more") else "no dialect"))
-    return spark.createDataFrame(out, "case string, dialect string, confidence string")
+    """Dialects by header and producers, of a text for the orders of each priority."""
+    orders, out = g.read(spark, sf_dir, "orders"), []
+    for priority, (names, head) in _PRODUCERS.items():
+        k = F.col("o_orderkey")
+        program = F.element_at(F.array(*[F.lit(n) for n in names]), (k % len(names) + 1).cast("int"))
+        rows = orders.filter(F.col("o_orderpriority") == priority).select(k.cast("long").alias("k"), F.concat_ws("\t", F.lit("s"), program, F.lit("gene"), k + 1, k + 5, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=g"), k)).alias("value"))
+        cases = {"": (head, None)} | ({" stated": (head, "genbank")} if priority == "5-LOW" else {}) | ({" exported": (profiles.EXPORT_PRAGMA, None)} if priority.startswith("4") else {})
+        for more, (first, stated) in cases.items():
+            text = gff3.read(spark, _put(spark, "dialect", _heads(spark, [first]), rows))
+            try:
+                p, sure, _ = profiles.detect(text, stated)
+                found = p.name, sure
+            except profiles.DialectError as e:
+                found = "refused", "more than one" if str(e).startswith("more") else "no dialect"
+            out.append(text.rows.agg(F.count("*").alias("n_rows")).select(F.lit(priority + more).alias("case"), F.lit(found[0]).alias("dialect"), F.lit(found[1]).alias("confidence"), "n_rows"))
+    return reduce(DataFrame.unionByName, out)
 
 
 # -- flat files
@@ -316,10 +331,15 @@ def tabix_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("bin", bin_of(F.col("b") + 1, F.col("e"), TABIX_DEPTH))
 
 
-@query(f"""SELECT count(*) AS terms, count(DISTINCT canonical) AS canonical_terms, sha256(string_agg(term||chr(9)||canonical, chr(10) ORDER BY term)) AS hash
-FROM (VALUES {", ".join("('{}', '{}')".format(t.replace("'", "''"), c) for t, c in sorted([*((c, c) for c in vocabulary.CANONICAL), *vocabulary.SYNONYM_OF.items()]))}) v(term, canonical)""")
+_TERMS = ", ".join("('{}', '{}')".format(t.replace("'", "''"), c) for t, c in sorted([*((c, c) for c in vocabulary.CANONICAL), *vocabulary.SYNONYM_OF.items()]))
+
+
+@query(V(f"""WITH v(term, canonical) AS (VALUES {_TERMS}), t AS (SELECT source_type AS term, count(*) AS n FROM feature GROUP BY 1), j AS (SELECT t.term, coalesce(canonical, t.term) AS canonical, CASE WHEN canonical IS NULL THEN '' ELSE 'A' END AS tier, n FROM t LEFT JOIN v ON v.term = t.term)
+  SELECT count(*) AS terms, count(DISTINCT canonical) AS canonical_terms, count(*) FILTER (tier = 'A') AS known, sha256(string_agg(term||chr(9)||canonical||chr(9)||tier||chr(9)||n, chr(10) ORDER BY term)) AS hash FROM j"""))
 def vocabulary_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary's terms and their hash, from a table of them."""
-    rows = spark.createDataFrame([*((c, c) for c in vocabulary.CANONICAL), *vocabulary.SYNONYM_OF.items()], "term string, canonical string")
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "canonical"))), lambda x: F.concat_ws("\t", x["term"], x["canonical"])), "\n")
-    return rows.agg(F.count("*").alias("terms"), F.count_distinct("canonical").alias("canonical_terms"), F.sha2(lines, 256).alias("hash"))
+    """What the vocabulary makes of the tables' types, and its hash: terms beyond it stay as they are, without a tier."""
+    known = vocabulary.table(spark)
+    types = g.features(spark, sf_dir).groupBy(F.col("source_type").alias("term")).agg(F.count("*").alias("n"))
+    rows = types.join(known, "term", "left").select("term", F.coalesce("canonical_term", "term").alias("canonical"), F.coalesce("tier", F.lit("")).alias("tier"), "n")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "canonical", "tier", "n"))), lambda x: F.concat_ws("\t", x["term"], x["canonical"], x["tier"], x["n"])), "\n")  # a row for each type
+    return rows.agg(F.count("*").alias("terms"), F.count_distinct("canonical").alias("canonical_terms"), F.count_if(F.col("tier") == "A").alias("known"), F.sha2(lines, 256).alias("hash"))
