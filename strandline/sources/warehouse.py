@@ -688,12 +688,20 @@ class Warehouse:
         """
         return bgzf.to_files(self.spark, *self._packed(assembly_id), uri)
 
+    def write_indexed_parts(self, assembly_id: int, uri: str) -> DataFrame:
+        """The same rows as files of a folder, each with its index, all written by the executors; a row for each, as ``bgzf.PARTS``."""
+        return bgzf.write_parts(*self._in_order(assembly_id), uri)
+
     def _packed(self, assembly_id: int) -> tuple[DataFrame, list[str], list[str]]:
+        rows, names, header = self._in_order(assembly_id)
+        return bgzf.packed(rows), names, header
+
+    def _in_order(self, assembly_id: int) -> tuple[DataFrame, list[str], list[str]]:
         order = self.table(assembly_id, "sequence").select("seqid", "ordinal")
         names = [r.seqid for r in order.orderBy("ordinal").collect()]  # a row for each sequence
         keys = ["ordinal", "start", "end", "name", "feature_id"]
         rows = self._lines(assembly_id).join(order, "seqid").repartitionByRange(*keys).sortWithinPartitions(*keys)
-        return bgzf.packed(rows.select("ordinal", "start", "end", "line")), names, ["##gff-version 3"]
+        return rows.select(F.col("ordinal").cast("int").alias("sequence"), "start", "end", "line"), names, ["##gff-version 3"]
 
     def export_functional(self, assembly_id: int) -> DataFrame:
         """The functional table, by ID, analysis and accession."""

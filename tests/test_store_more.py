@@ -242,3 +242,24 @@ def test_answers_by_name_are_those_by_joins(loaded, monkeypatch):
     monkeypatch.setattr(warehouse, "LOOKUP_MOST", 1)  # larger answers are found by joins
     assert [[tuple(r) for r in ask().collect()] for ask in asks] == found
     assert [len(f) for f in found][:3] == [5, 3, 4] and found[-1] == []
+
+
+def test_indexed_parts_that_executors_write(loaded, spark):
+    w, folder = loaded
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    uri = f"file://{folder}/parts"
+    parts = w.write_indexed_parts(1, uri).orderBy("part").collect()
+    assert sum(p.n_rows for p in parts) == w.table(1, "feature").count() and all(p.indexed for p in parts) and before
+    lines = []
+    for p in parts:
+        data = (folder / "parts" / p.name).read_bytes()
+        assert len(data) == p.n_bytes
+        text = gzip.decompress(data).decode().splitlines()
+        assert text[0] == "##gff-version 3" and len(text) == p.n_rows + 1
+        assert gzip.decompress((folder / "parts" / f"{p.name}.tbi").read_bytes())[:4] == b"TBI\1"
+        lines += text[1:]
+    whole = f"{folder}/whole.gff3.gz"
+    w.write_indexed(1, f"file://{whole}")
+    assert lines == gzip.decompress(open(whole, "rb").read()).decode().splitlines()[1:]
+    one = bgzf.write_parts(spark.createDataFrame([], "sequence int, start long, end long, line string"), [], [], f"file://{folder}/none")
+    assert one.count() == 0
