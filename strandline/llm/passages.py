@@ -411,11 +411,17 @@ class Crowd:
         out, rest = [others[verbatim]], np.flatnonzero(~verbatim)
         # a run that is long enough with words that differ, or a shingle within a gap of its ends
         near, k = (left + right)[rest] - SHINGLE + 1 >= _common(self.span, SIMILARITY), np.arange(_gap(self.span) + 1)
-        for at in ((side + right[rest])[:, None] + k, (side - left[rest])[:, None] - SHINGLE - k):
+        for ends, steps in ((side + right[rest], k), (side - left[rest] - SHINGLE, -k)):
+            todo = np.flatnonzero(~near)
+            if not len(todo):
+                break
+            at = ends[todo][:, None] + steps
             good = (at >= 0) & (at < 2 * side)
             at = np.clip(at, 0, 2 * side - 1)
-            mine, theirs = np.where(good, self.s[i][at], 0), self.s[others[rest][:, None], at]
-            near |= ((mine[:, :, None] == theirs[:, None, :]) & (mine[:, :, None] != 0)).any((1, 2))
+            mine, theirs = self.s[i][at], self.s[others[rest[todo]][:, None], at]
+            # 31 bits of a shingle, odd where there is one: equal ones by chance only go on to verification
+            mine, theirs = (np.where(good & (x != 0), x.astype(np.uint32) | np.uint32(1), none) for x, none in ((mine, np.uint32(0)), (theirs, np.uint32(2))))
+            near[todo[(mine[:, :, None] == theirs[:, None, :]).reshape(len(todo), -1).any(1)]] = True
         rest = rest[near]
         if not len(rest):
             return out[0]
@@ -744,7 +750,12 @@ def _passages(doc: Text, lead: Text, chain: list[tuple[int, int, int]], span: in
 
 
 def _left_out(doc: Text, lead: Text, found: list[tuple[int, int, int, int, float]], span: int) -> list[tuple[int, int, int, int, float]]:
-    """Verbatim passages that no found one holds: a run that goes on elsewhere in the lead can hide their start."""
+    """Verbatim passages that no found one holds: a run that goes on elsewhere in the lead can hide their start.
+
+    Where no shingle repeats, runs can't hide each other: every run of a span is found.
+    """
+    if doc.distinct and lead.distinct:
+        return []
     mine, theirs = doc.spans(span), lead.spans(span)
     if not len(mine) or not len(theirs):
         return []
