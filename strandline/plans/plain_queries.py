@@ -107,6 +107,11 @@ def _read(spark: SparkSession, sf_dir: str) -> tuple[plain_reader.Text, DataFram
     return _READ[key]
 
 
+def forget() -> None:
+    """The next query writes and reads the text again, as a timing wants it."""
+    _READ.clear()
+
+
 @query(_with(" SELECT * FROM hard"))
 def plain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature of the text: place, strands, segments, parents, digest of attributes, hard cases, conflicts."""
