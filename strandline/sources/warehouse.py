@@ -433,7 +433,7 @@ class Warehouse:
 
     def _check(self, folder: str, read: list) -> list[dict]:
         """Tiers of a staged load, from the text and from what was stored of it."""
-        out, stored = [], _stored(self.spark.read.parquet(f"{folder}/feature"))
+        out, stored = [], _by_file(self.spark.read.parquet(f"{folder}/feature"))
         for i, entry, f, _ in read:
             out += _tiers(self._naive(entry.path, f.format), stored.get(i, []), entry.path, f.format)
         return out
@@ -455,7 +455,7 @@ class Warehouse:
         as SKIPPED.
         """
         feature, out = self.table(assembly_id, "feature"), []
-        stored, links = _stored(feature), _links(feature)
+        stored, links = _by_file(feature), _links(feature)
         for r in self.table(assembly_id, "source_file").orderBy("file_id").collect():
             if not files.exists(self.spark, r.path):
                 out.append({"tier": "source count", "subject": r.path, "outcome": "SKIPPED", "detail": "the file is gone"})
@@ -861,19 +861,23 @@ def scalars_slug(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "_", text).strip("._-").lower()
 
 
-def _stored(feature: DataFrame) -> dict[int, list]:
-    """file_id to the counts of its types, from one scan: a row for each file and type."""
-    counts = feature.groupBy("file_id", "source_type").agg(segments.feature_count().alias("features"), F.count("*").alias("n_rows"), F.count_if(F.col("parent_id").isNotNull()).alias("with_parent"))
+def _stored(feature: DataFrame, *by: str) -> DataFrame:
+    """The counts of each type (and file): a row for each."""
+    return feature.groupBy(*by, "source_type").agg(segments.feature_count().alias("features"), F.count("*").alias("n_rows"), F.count_if(F.col("parent_id").isNotNull()).alias("with_parent"))
+
+
+def _by_file(feature: DataFrame) -> dict[int, list]:
+    """file_id to the counts of its types, from one scan."""
     out: dict[int, list] = {}
-    for r in counts.collect():
+    for r in _stored(feature, "file_id").collect():
         out.setdefault(r.file_id, []).append(r)
     return out
 
 
-def _tiers(naive: DataFrame, stored: list, path: str, format: str) -> list[dict]:
-    """Source count, row count and stated parents: what the text holds against what is stored of it."""
+def _tiers(naive: DataFrame, stored: DataFrame | list, path: str, format: str) -> list[dict]:
+    """Source count, row count and stated parents: what the text holds against what is stored of it, rows or their counts."""
     text = {r.source_type: r for r in naive.collect()}  # a row for each type
-    kept = {r.source_type: r for r in stored}
+    kept = {r.source_type: r for r in (_stored(stored).collect() if isinstance(stored, DataFrame) else stored)}
     out = []
     for tier, column in [("source count", "features"), *([] if format == "genbank" else [("row count", "n_rows"), ("stated parents", "with_parent")])]:
         pairs = [(t, text[t][column] if t in text else 0, kept[t][column] if t in kept else 0) for t in sorted({*text, *kept})]
@@ -883,18 +887,24 @@ def _tiers(naive: DataFrame, stored: list, path: str, format: str) -> list[dict]
     return out
 
 
-def _links(feature: DataFrame) -> dict[int, dict[str, int]]:
-    """file_id to its features by linkage, those whose parent is lost, and those of types that must be linked, from one scan."""
+def _facts() -> list:
+    return [F.count_if(F.col("parent_id").isNotNull() & F.col("parent_feature_id").isNull()).alias("lost"), F.count_if(F.col("source_type").isin(vocabulary.LINKED)).alias("linkable")]
+
+
+def _links(feature: DataFrame) -> dict[int, dict]:
+    """file_id to its features by linkage, those whose parent is lost, and those of types that must be linked."""
     first = feature.filter("segment_index = 0")
-    counts = first.groupBy("file_id").agg(F.count_if(F.col("parent_id").isNotNull() & F.col("parent_feature_id").isNull()).alias("lost"), F.count_if(F.col("source_type").isin(vocabulary.LINKED)).alias("linkable")).collect()
-    out = {r.file_id: {"lost": r.lost, "linkable": r.linkable, "by": {}} for r in counts}
+    out = {r.file_id: {"lost": r.lost, "linkable": r.linkable, "by": {}} for r in first.groupBy("file_id").agg(*_facts()).collect()}
     for r in hierarchy.linkage_counts(first, "file_id").collect():
         out[r.file_id]["by"][r.linkage] = r.n
     return out
 
 
-def _edges(links: dict | None, path: str, format: str) -> dict:
-    """Parent edges: no link without a method or the other way round; GenBank states none."""
+def _edges(links: DataFrame | dict | None, path: str, format: str) -> dict:
+    """Parent edges, of rows or their counts: no link without a method or the other way round; GenBank states none."""
+    if isinstance(links, DataFrame):
+        first = links.filter("segment_index = 0")
+        links = first.agg(*_facts()).first().asDict() | {"by": {r.linkage: r.n for r in hierarchy.linkage_counts(first).collect()}}
     links = links or {"lost": 0, "linkable": 0, "by": {}}
     counts = links["by"]
     linked = sum(counts.get(m, 0) for m in vocabulary.LINKAGE)
