@@ -3,7 +3,7 @@ what queries write for a store takes less room than what it says."""
 
 from strandline.operators.normalise import normalise
 from strandline.plans import store_queries
-from strandline.sources import files, gff3, profiles
+from strandline.sources import files, gff3, plain_reader, profiles
 
 
 def put(tmp_path, *rows):
@@ -46,3 +46,11 @@ def test_what_is_written_for_a_store_is_compressed(spark):
     assert all(n.endswith(".gz") for uri in (annotation, fasta, table) for n in files.text_parts(spark, uri))
     bases = files.lines(spark, fasta).selectExpr("sum(length(value)) as n").first().n
     assert files.length(spark, fasta) * 100 < bases
+
+
+def test_the_second_reader_takes_a_line_apart_once(spark, tmp_path):
+    rows = plain_reader.read(spark, put(tmp_path, "s\tx\tgene\t1\t9\t.\t+\t.\tID=g;Note=a,b")).rows
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("split(line") for line in plan.splitlines()) <= 1
+    r = rows.first()
+    assert (r.id, r.start, r.end, r.multi_valued) == ("g", 1, 9, True)
