@@ -1,8 +1,10 @@
 """Work that must be done once: rows of a load meet by ID once, lines are split once, and
 what queries write for a store takes less room than what it says."""
 
+import re
+
 from strandline.operators.normalise import normalise
-from strandline.plans import store_queries
+from strandline.plans import graph_view, store_queries
 from strandline.sources import files, gff3, plain_reader, profiles
 
 
@@ -54,3 +56,14 @@ def test_the_second_reader_takes_a_line_apart_once(spark, tmp_path):
     assert max(line.count("split(line") for line in plan.splitlines()) <= 1
     r = rows.first()
     assert (r.id, r.start, r.end, r.multi_valued) == ("g", 1, 9, True)
+
+
+def test_a_larger_table_is_dealt_to_more_tasks(spark, monkeypatch):
+    sf, tasks = "/root/testdata/sf0.001", lambda: graph_view.parts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in tasks()
+    rows = sorted(graph_view.features(spark, sf).collect(), key=str)
+    shares = files.held(spark, f"{sf}/lineitem.parquet") // 4096
+    assert shares > spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(graph_view, "SHARE", 4096)
+    assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L?\], %d" % shares, tasks())
+    assert sorted(graph_view.features(spark, sf).collect(), key=str) == rows
