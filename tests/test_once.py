@@ -3,9 +3,12 @@ what queries write for a store takes less room than what it says."""
 
 import re
 
+from pyspark.sql import functions as F
+
+from strandline.operators import graph
 from strandline.operators.normalise import normalise
 from strandline.plans import graph_view, store_queries
-from strandline.sources import files, gff3, plain_reader, profiles
+from strandline.sources import files, foreign, genbank, gff3, plain_reader, profiles
 
 
 def put(tmp_path, *rows):
@@ -67,3 +70,26 @@ def test_a_larger_table_is_dealt_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(graph_view, "SHARE", 4096)
     assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L?\], %d" % shares, tasks())
     assert sorted(graph_view.features(spark, sf).collect(), key=str) == rows
+
+
+def test_records_of_a_flat_file_are_put_together_once(spark, tmp_path):
+    path = tmp_path / "a.gb"
+    path.write_text("LOCUS       A 90 bp DNA circular\nVERSION     A.1\nFEATURES             Location/Qualifiers\n     gene            1..9\n                     /locus_tag=\"x\"\n     mRNA            1..9\n                     /locus_tag=\"x\"\n//\nLOCUS       B 20 bp\nORIGIN\n//\n")
+    found = genbank.read(spark, str(path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan(found.rows) and "FEATURES" not in plan(found.rows)
+    assert sorted((r.source_type, r.source_id) for r in found.rows.collect()) == [("gene", "x"), ("mRNA", "x:mRNA")]
+    assert sorted((r.seqid, r.end) for r in genbank.directives(spark, str(path)).collect()) == [("A.1", 90), ("B", 20)]
+    assert sorted((r.seqid, r.end) for r in found.directives.collect()) == [("A.1", 90), ("B", 20)]
+
+
+def test_levels_and_rounds_read_edges_that_are_written(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "id string, parent_id string")
+    cut, written = graph._cut, []
+    monkeypatch.setattr(graph, "_cut", lambda df: written.append(df.columns) or cut(df))
+    found = graph.depth_first(edges, edges.select("id", F.ascii("id").alias("rank")))
+    assert {r.id: list(r.path.ranks) for r in found.collect()} == {"a": [97], "b": [97, 98], "c": [97, 98, 99]}
+    assert ["id", "parent_id", "_rank"] in written
+    above = foreign.ancestors(edges.filter("parent_id is not null").select("id", F.col("parent_id").alias("parent"), F.lit("is_a").alias("relation")))
+    assert {tuple(r) for r in above.collect()} == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
+    assert ["id", "parent_id"] in written
