@@ -1,6 +1,7 @@
 """Work that must be done once: rows of a load meet by ID once, lines are split once, and
 what queries write for a store takes less room than what it says."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from strandline.operators import graph
 from strandline.operators.normalise import normalise
 from strandline.plans import graph_view, store_queries
 from strandline.sources import files, foreign, genbank, gff3, plain_reader, profiles
+from strandline.sources.config import Annotation, OrganismConfig
+from strandline.sources.warehouse import Warehouse
 
 
 def put(tmp_path, *rows):
@@ -93,3 +96,39 @@ def test_levels_and_rounds_read_edges_that_are_written(spark, monkeypatch):
     above = foreign.ancestors(edges.filter("parent_id is not null").select("id", F.col("parent_id").alias("parent"), F.lit("is_a").alias("relation")))
     assert {tuple(r) for r in above.collect()} == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2)}
     assert ["id", "parent_id"] in written
+
+
+def test_blocks_of_a_split_are_summed_where_they_are_read(spark, tmp_path):
+    lines = [f"line {i}" for i in range(10_000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    rows = files.raw_lines(spark, str(tmp_path / "a.txt")).select((F.col("line") - 1).alias("i"), F.unhex(F.sha2("value", 256)).alias("h"))
+    assert {r.whole: r["count"] for r in files._leaves(rows.coalesce(1).sortWithinPartitions("i")).groupBy("whole").count().collect()} == {True: 2, False: 10_000 - 2 * 4096}
+    assert {r.whole: r["count"] for r in files._leaves(rows.coalesce(1).filter("i >= 5")).groupBy("whole").count().collect()} == {True: 1, False: 10_000 - 4096 - 5}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    blocks = "".join(sha("".join(sha(x) for x in lines[i : i + 4096])) for i in range(0, 10_000, 4096))
+    assert files.digest(spark, str(tmp_path / "a.txt")) == "tree:" + sha(f"{sha(blocks)} {len(chr(10).join(lines)) + 1}")
+
+
+def test_a_load_sends_and_writes_no_column_that_follows_from_others(spark, tmp_path):
+    row = "s\tfunannotate\t{}\t{}\t{}\t.\t+\t.\t{}".format
+    path = put(tmp_path, row("gene", 1, 90, "ID=g;Name=n"), row("mRNA", 1, 90, "ID=t;Parent=g"), row("exon", 1, 20, "ID=e;Parent=t"), row("exon", 30, 90, "ID=f;Parent=t,g"), row("CDS", 1, 20, "ID=c;Parent=t;k=1"), row("CDS", 30, 90, "ID=c;Parent=t;k=2"))
+    written = []
+    found = normalise(gff3.read(spark, path).rows, profiles.PROFILES[1], cut=lambda df: written.extend(df.columns) or graph._cut(df))
+    assert "_keeps" in written and "stored_attributes" not in written
+    assert {r.row_id: list(r.parents) for r in found.rows.collect()} == {2: [], 3: ["g"], 4: ["t"], 5: ["t", "g"], 6: ["t"], 7: ["t"]}
+    assert [r.rule for r in found.problems.collect()] == ["several parents"] and found.outside.count() == 0
+
+    path = put(tmp_path, row("gene", 1, 80, "ID=g"), row("mRNA", 1, 90, "ID=t;Parent=g"), row("exon", 1, 20, "ID=e;Parent=t"))
+    strays = normalise(graph._cut(gff3.read(spark, path).rows), profiles.PROFILES[1], cut=graph._cut)
+    assert [tuple(r) for r in strays.outside.collect()] == [("t", "g", 1, 90, 1, 80)] and not strays.problems.collect()
+
+    (tmp_path / "store").mkdir()
+    (tmp_path / "s.fa").write_text(">s\n" + "A" * 100 + "\n")
+    path = put(tmp_path, row("gene", 1, 90, "ID=g"), row("mRNA", 1, 90, "ID=t;Parent=g"), row("exon", 1, 20, "ID=e;Parent=t"))
+    w = Warehouse.create(spark, str(tmp_path / "store" / "w"))
+    w.load(OrganismConfig("Genus", "species", "A1", str(tmp_path / "s.fa"), annotations=(Annotation(path),)))
+    near = spark.read.parquet(f"{w.root}/{w._assembly(1)['folder']}/by_name").columns
+    assert not {"source_id", "feature_type", "bin", "line", "assembly_id"} & set(near)
+    assert sorted(r.source_id for r in w.by_id(1, "g", descendants=True).collect()) == ["e", "g", "t"]
+    feature = {r.source_id: r for r in w.table(1, "feature").collect()}
+    assert feature["e"].parent_feature_id == feature["t"].feature_id and feature["g"].parent_feature_id is None and feature["t"].feature_type == "mRNA"
