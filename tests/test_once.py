@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import graph
 from strandline.operators.normalise import normalise
-from strandline.plans import graph_view, store_queries
+from strandline.plans import graph_view, plain_queries, store_queries
 from strandline.sources import files, foreign, genbank, gff3, plain_reader, profiles
 from strandline.sources.config import Annotation, OrganismConfig
 from strandline.sources.warehouse import Warehouse
@@ -132,3 +132,24 @@ def test_a_load_sends_and_writes_no_column_that_follows_from_others(spark, tmp_p
     assert sorted(r.source_id for r in w.by_id(1, "g", descendants=True).collect()) == ["e", "g", "t"]
     feature = {r.source_id: r for r in w.table(1, "feature").collect()}
     assert feature["e"].parent_feature_id == feature["t"].feature_id and feature["g"].parent_feature_id is None and feature["t"].feature_type == "mRNA"
+
+
+def test_records_of_an_attribute_store_are_taken_apart_once(spark, monkeypatch):
+    cut, written = graph._cut, []
+    monkeypatch.setattr(graph, "_cut", lambda df: written.append(df.columns) or cut(df))
+    records = spark.createDataFrame(
+        [(1, "s", "gene", 1, 9, "+", '{"ID":["g"]}'), (2, "s", "mRNA", 1, 9, "+", '{"ID":["t"],"Note":["a "]}'), (3, "s", "mRNA", 12, 19, "+", '{"ID":["t"],"Note":["a"]}'), (4, "s", "exon", 1, 5, "+", None), (5, "s", "exon", 1, 5, "+", "{}")],
+        "id long, seqid string, featuretype string, start long, end long, strand string, attributes string",
+    )
+    found = foreign.from_attribute_store(records, spark.createDataFrame([(1, 2, 1), (2, 4, 1), (2, 5, 1), (1, 4, 2)], "parent long, child long, level int"))
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString() and written == [["id", "seqid", "type", "start", "end", "strand", "_id", "digest"]]
+    rows = sorted(found.collect(), key=lambda r: r.key)
+    assert [(r.key[:5], r.key[-2:] == "#2", r.nseg, r.segs, r.parents) for r in rows] == [("anon:", False, 1, "1-5", "t"), ("anon:", True, 1, "1-5", "t"), ("g", False, 1, "1-9", ""), ("t", False, 2, "1-9,12-19", "g")]
+    assert rows[0].key + "#2" == rows[1].key and not rows[3].attrs.startswith("rows:")
+
+
+def test_links_of_records_are_made_from_rows_that_are_written(spark):
+    rows, links = plain_queries._identified(spark, "/root/testdata/sf0.001")
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and plan.count("Aggregate") == 1
+    assert links.count() == links.distinct().count() > 0
