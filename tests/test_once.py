@@ -7,9 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from strandline.operators import graph
-from strandline.operators.normalise import normalise
+from strandline.operators.normalise import _opened, _packed, normalise
 from strandline.plans import graph_view, plain_queries, store_queries
-from strandline.sources import files, foreign, genbank, gff3, plain_reader, profiles
+from strandline.sources import files, foreign, genbank, gff3, plain_reader, profiles, warehouse
 from strandline.sources.config import Annotation, OrganismConfig
 from strandline.sources.warehouse import Warehouse
 
@@ -153,3 +153,32 @@ def test_links_of_records_are_made_from_rows_that_are_written(spark):
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in rows._jdf.queryExecution().optimizedPlan().toString() and plan.count("Aggregate") == 1
     assert links.count() == links.distinct().count() > 0
+
+
+def test_attributes_are_sent_as_text_wherever_it_holds_them(spark, tmp_path):
+    nine = ["ID=a;Note=x,y;k=", "ID=b;Note=x%1Ey", "ID=c;Note=x%1Fy,z%1D", "ID=d;=v;k=,", "."]
+    rows = gff3.read(spark, put(tmp_path, *[f"s\tx\tgene\t1\t9\t.\t+\t.\t{x}" for x in nine])).rows.select("row_id", "attributes")
+    odd = spark.createDataFrame([(20, [("k", [])]), (21, [(None, ["v"])]), (22, [("k", None)]), (23, [("k", [None, "v"])]), (24, None)], rows.schema)
+    rows = rows.unionByName(odd)
+    assert {r.row_id for r in _packed(rows).filter("_text is null").collect()} == {3, 4, 20, 21, 22, 23, 24}
+    assert sorted(_opened(_packed(rows)).collect(), key=lambda r: r.row_id) == sorted(rows.collect(), key=lambda r: r.row_id)
+
+
+def test_rows_of_a_bucket_meet_once_and_leaves_are_asked_last(spark, tmp_path, monkeypatch):
+    row = "s\tfunannotate\t{}\t{}\t{}\t.\t+\t.\t{}".format
+    path = put(tmp_path, row("gene", 1, 90, "ID=g"), row("mRNA", 1, 90, "ID=t;Parent=g"), row("exon", 1, 20, "ID=e;Parent=t"), row("exon", 1, 95, "ID=f;Parent=e"), row("motif", 1, 5, "ID=m;Parent=e"), row("exon", 1, 20, "ID=h;Parent=none"))
+    sent = []
+    found = normalise(gff3.read(spark, path).rows, profiles.PROFILES[1], cut=lambda df: sent.append(df._jdf.queryExecution().executedPlan().toString()) or graph._cut(df), shares=3)
+    assert "hashpartitioning(_share" in sent[0] and "hashpartitioning(source_id" not in sent[0]
+    assert {(r.rule, r.subject, r.detail) for r in found.problems.collect()} == {("parent type", "f", "exon under exon"), ("parent not in file", "h", "none")}
+    assert [tuple(r) for r in found.outside.collect()] == [("f", "e", 1, 95, 1, 20)]
+
+    monkeypatch.setattr(warehouse, "BUCKET_ROWS", 2)
+    path = put(tmp_path, profiles.EXPORT_PRAGMA, row("gene", 1, 90, "ID=g"), row("mRNA", 1, 90, "ID=t;Parent=g"), row("exon", 1, 20, "ID=e;Parent=t"), row("exon", 30, 90, "Parent=t"), row("CDS", 1, 20, "ID=c;Parent=t"), row("CDS", 30, 90, "ID=c;Parent=t"), row("motif", 1, 5, "ID=m;Parent=e"))
+    (tmp_path / "s.fa").write_text(">s\n" + "A" * 100 + "\n")
+    w = Warehouse.create(spark, str(tmp_path / "w"))
+    w.load(OrganismConfig("Genus", "species", "A1", str(tmp_path / "s.fa"), annotations=(Annotation(path),)))
+    by_name = spark.read.parquet(f"{w.root}/{w._assembly(1)['folder']}/by_name")
+    assert by_name.filter("bucket <> crc32(name) % 3").count() == 0 and by_name.count() == w.table(1, "feature").count() == 7
+    assert sorted(r.parent_feature_id - (1 << 40) for r in w.table(1, "feature").filter("parent_id is not null").collect()) == [3, 4, 4, 4, 4, 5]
+    assert [r.segments for r in w.by_id(1, "c").collect()] == ["1-20,30-90"] and len(w.by_id(1, "g", descendants=True).collect()) == 6
